@@ -154,6 +154,25 @@ def find_contamination(
     return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items", (F.size("spans") > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs, with all their columns, without the rows in which a window of the test set occurs; nothing is joined or shuffled."""
+    at, out = docs.columns.index(text_col), docs
+    for block in benchmark_blocks(benchmark, item_id_col, item_text_col, pass_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(sent=sent):
+            search = searchers(sent.value, window)
+
+            def clean(raw: bytes) -> bool:
+                words = words_of(raw)
+                return not any(True for s in search for _ in s.search(words))
+
+            return lambda batch: batch.filter(pa.array([clean(x) for x in utf8(batch.column(at))], pa.bool_()))
+
+        out = arrow_map(out, make, docs.schema)
+    return out
+
+
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256)

@@ -44,17 +44,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Rows (id, fp long: the 64 bits as a signed number) for every row of docs; null texts have no words, so 0."""
-    source = id_and_text(docs, id_col, text_col)
+    """Rows (id, text_hash, fp long: the 64 bits as a signed number) for every row of docs; null texts have no words, so 0."""
+    source = id_and_text(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             fp = np.array([fingerprint(x, shingle, seed) for x in utf8(batch.column(1))], dtype=np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["id", "text_hash", "fp"])
 
         return step
 
-    return arrow_map(source, make, T.StructType([source.schema["id"], T.StructField("fp", T.LongType())]))
+    return arrow_map(source, make, T.StructType([source.schema["id"], source.schema["text_hash"], T.StructField("fp", T.LongType())]))
 
 
 class BKForest:
@@ -182,21 +182,36 @@ def links(classes: DataFrame, radius: int = RADIUS, agree: int = 2, tree_rows: i
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, agree: int = 2) -> DataFrame:
-    """Rows (id_col, fingerprint, component_id, kept) for every row of docs; kept: the row's id is its component's smallest.
+    """Rows (id_col, fingerprint, component_id, kept) for every row of docs; kept: the row is its component's first by id (null
+    last), then text hash, so that of rows with one id and different texts one is kept.
 
     Texts with the same fingerprint are one class: classes, not documents, are compared, so a group of copies of any size costs
     one class. Null and empty texts have fingerprint zero and link like any other. Rows with a null id belong to components but
-    name none, and are kept only if the component has no id at all. Shard trees are built where their shard lies instead of
-    being broadcast, as all of them together would grow with the corpus.
+    name none. Rows that are alike in id and text are kept or not alike. Shard trees are built where their shard lies instead
+    of being broadcast, as all of them together would grow with the corpus.
     """
-    each = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    classes = cut(each.groupBy("fp").agg(F.min("id").alias("least_id")))
+    each = fingerprints(docs, id_col, text_col, shingle, seed)
+    return _components(cut(each), radius, agree).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
+
+
+def _components(each: DataFrame, radius: int, agree: int) -> DataFrame:
+    rank = F.struct(F.col("id").isNull().alias("z"), "id", "text_hash")
+    classes = cut(each.groupBy("fp").agg(F.min("id").alias("least_id"), F.min(rank).alias("head")))
     roots = connected_components(links(classes.select("fp"), radius, agree))
-    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = cut(rooted.join(cut(named), "root").select("fp", "component_id"))
-    out = each.join(named, "fp")
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", "head", F.coalesce("root", "fp").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("head").alias("head")))
+    of_class = cut(rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "head"))
+    return each.join(of_class, "fp").select("id", "text_hash", "fp", "component_id", rank.eqNullSafe(F.col("head")).alias("kept"))
+
+
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, agree: int = 2) -> DataFrame:
+    """docs, with all their columns, without near-duplicates: one row of each component stays. Of rows alike in id and text that
+    are kept, any one stays."""
+    found = _components(cut(fingerprints(docs, id_col, text_col)), radius, agree)
+    first = found.where("kept").select(F.col("id").alias("__ll_id"), F.col("text_hash").alias("__ll_hash")).distinct()
+    named = docs.withColumn("__ll_own", F.xxhash64(docs[text_col].cast("string")))
+    kept = named.join(first, named[id_col].eqNullSafe(F.col("__ll_id")) & (F.col("__ll_own") == F.col("__ll_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, "__ll_own"]).select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
