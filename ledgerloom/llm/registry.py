@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, simhash
+from . import bpe, covertree, decontam, licenses, lines, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_urls": urls.op3_urls,
     "op4_bpe": bpe.op4_bpe,
+    "op5_ordinal": quality.op5_ordinal,
+    "op6_covertree": covertree.op6_covertree,
+    "op7_licenses": licenses.op7_licenses,
     "op8_simhash": simhash.op8_simhash,
+    "op9_hilbert": sharding.op9_hilbert,
     "op10_decontamination": decontam.op10_decontamination,
 }
 
-ORACLE_SQL = {"op10_decontamination": decontam.OP10_SQL}
+ORACLE_SQL = {
+    "op1_lines": lines.OP1_SQL,
+    "op6_covertree": covertree.OP6_SQL,
+    "op10_decontamination": decontam.OP10_SQL,
+}
