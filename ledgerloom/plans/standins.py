@@ -88,7 +88,7 @@ RELATIONS: dict[str, tuple[str, list[str], str]] = {
         "o_orderdate AS created_at", "CASE WHEN o_orderkey % 19 = 0 THEN 'INVALID' ELSE 'VALID' END AS validation",
     ], ""),
     "imp": ("customer", [
-        "c_custkey AS import_id", "concat('f', cast(c_custkey % 120 as string)) AS sha", "c_custkey * 3 % 1501 AS at",
+        "c_custkey AS import_id", "concat('f', cast(c_custkey % 120 as string)) AS sha", "c_custkey * 3 % 1501 AS moment",
         "CASE c_custkey % 4 WHEN 0 THEN 'APPLIED' WHEN 1 THEN 'STAGED' WHEN 2 THEN 'FAILED' ELSE 'PROCESSING' END AS status",
     ], ""),
     "doc": ("documents", ["doc_id", "text", "lang", "source", "n_chars"], ""),
