@@ -62,7 +62,7 @@ doi_query("doi_plain", X.doi_plain, "nullif(lower(trim(doi)), '')")
 doi_query("doi_strict", X.doi_strict, "CASE WHEN regexp_full_match(lower(trim(doi)), '10\\.\\d+/\\S+') THEN lower(trim(doi)) END")
 
 unary("norm_email", "lec", "lec_id", "email", X.norm_email, "CASE WHEN regexp_full_match(lower(trim({0})), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN lower(trim({0})) END")
-unary("norm_scopus_id", "author", "author_id", "scopus_id", X.norm_scopus_id, "CASE WHEN regexp_full_match(trim({0}), '\\d{{8,12}}') THEN trim({0}) END")
+unary("norm_scopus_id", "author", "author_id", "scopus_id", X.norm_scopus_id, "CASE WHEN regexp_full_match(trim({0}), '\\d{{6,15}}') THEN trim({0}) END")
 unary("split_semicolon", "doc", "doc_id", "text", lambda c: digest(F.array_join(X.split_semicolon(F.translate(c, ".", ";")), "|")), "sha256(array_to_string(list_transform(string_split(regexp_replace(translate({0}, '.', ';'), '(?:\\s*;\\s*)+$', ''), ';'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '|'))")
 unary("split_id_list", "doc", "doc_id", "text", lambda c: digest(F.array_join(X.split_id_list(c), "+")), "sha256(array_to_string(list_filter(regexp_split_to_array({0}, '[\\s,;/|]+'), lambda x: x <> ''), '+'))")
 
