@@ -72,5 +72,7 @@ def plan_known(rows: DataFrame, existing: DataFrame) -> DataFrame:
         plan = known_plan(list(zip(left["line"].tolist(), text("doi"), text("title"), strict=True)), set(right["key"]))
         return pd.DataFrame({"snapshot": left["snapshot"].to_numpy(), "line": [p[0] for p in plan], "action": [p[1] for p in plan]})
 
+    # only snapshots that have rows: others would be groups with nothing to plan
+    existing = existing.select("snapshot", "key").join(rows.select("snapshot"), "snapshot", "left_semi")
     x = rows.select("snapshot", "line", X.doi_n0(F.col("doi")).alias("doi"), F.nullif(X.normalize_title_t0(F.col("title")), F.lit("")).alias("title"))
-    return x.groupBy("snapshot").cogroup(existing.select("snapshot", "key").groupBy("snapshot")).applyInPandas(run, "snapshot long, line long, action string")
+    return x.groupBy("snapshot").cogroup(existing.groupBy("snapshot")).applyInPandas(run, "snapshot long, line long, action string")

@@ -469,6 +469,12 @@ def sort_locale(r):
     return page(r.pub.withColumn("key", F.collate("title", "vi")), [F.asc("key"), F.asc("pub_id")], 50).select("pub_id", "title")
 
 
+@query("chunking", "pa pub", " SELECT pub_id, count(*) AS n FROM pa SEMI JOIN (SELECT pub_id FROM pub WHERE year = 1996) USING (pub_id) GROUP BY pub_id")
+def chunking(r):
+    """What takes lists of ids in chunks elsewhere is one semi-join here."""
+    return r.pa.join(r.pub.where("year = 1996").select("pub_id"), "pub_id", "left_semi").groupBy("pub_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("cap_errors", "raw", " , e AS (SELECT import_id, raw_id, row_number() OVER (PARTITION BY import_id ORDER BY raw_id) AS k FROM raw WHERE validation = 'INVALID') SELECT import_id, string_agg(CAST(raw_id AS VARCHAR), ',' ORDER BY raw_id) AS samples FROM e WHERE k <= 5 GROUP BY import_id")
 def cap_errors(r):
     """The first five of each import's errors: the report shows no more. Groups are cut before they are gathered."""

@@ -172,8 +172,8 @@ def raw_int(r):
     return r.pub.select("pub_id", X.raw_int(F.trim(F.expr(RAW_NUMBER))).alias("value"))
 
 
-@query("bounded_text", "pub", " SELECT pub_id, substr(nullif(trim(concat(coalesce(source_title, ''), ' ', title)), ''), 1, 20) AS value FROM pub")
-def bounded_text(r):
+@query("bounded", "pub", " SELECT pub_id, substr(nullif(trim(concat(coalesce(source_title, ''), ' ', title)), ''), 1, 20) AS value FROM pub")
+def bounded(r):
     return r.pub.select("pub_id", X.bounded(F.concat(F.coalesce("source_title", F.lit("")), F.lit(" "), "title"), 20).alias("value"))
 
 
@@ -254,6 +254,18 @@ def canonical_json(r):
     return x.select("cand_id", F.sha2(F.to_json(F.struct("author_id", "lec_id", "status"), {"ignoreNullFields": "false"}), 256).alias("digest"))
 
 
+@query("sha256_json", "cand", " SELECT sha256(string_agg(concat('{\"cand_id\":', cand_id, ',\"status\":\"', status, '\"}'), ',' ORDER BY cand_id)) AS digest, lec_id FROM cand GROUP BY lec_id")
+def sha256_json(r):
+    """Digest of each person's candidates as one canonical list."""
+    x = r.cand.groupBy("lec_id").agg(F.array_sort(F.collect_list(F.struct("cand_id", "status"))).alias("l"))
+    return x.select(F.sha2(F.array_join(F.transform("l", lambda e: F.to_json(e)), ","), 256).alias("digest"), "lec_id")
+
+
+@query("text_getters", "pub", " SELECT pub_id, nullif(trim(doc_type), '') AS doc_type, nullif(trim(stage), '') AS stage FROM pub")
+def text_getters(r):
+    return r.pub.select("pub_id", X.blank_to_null(F.col("doc_type")).alias("doc_type"), X.blank_to_null(F.col("stage")).alias("stage"))
+
+
 @query("payload_hash_ascii")
 def payload_hash_ascii(r):
     """Digest of JSON in which letters beyond ASCII are escaped (Spark's JSON has no such form, so an Arrow UDF)."""

@@ -30,15 +30,15 @@ def with_retries(fetch: Fetch, dois: list[str], wait: Callable[[float], None] =
     return status, works
 
 
-def lookup(dois: DataFrame, fetch: Fetch, concurrency: int = 4, doi: str = "doi") -> DataFrame:
-    """Rows (query_doi, http, work JSON) for distinct DOIs; as many batches at once as there are partitions."""
+def lookup(dois: DataFrame, fetch: Fetch, concurrency: int = 4, doi: str = "doi", size: int = BATCH) -> DataFrame:
+    """Rows (query_doi, http, work JSON) for distinct keys, `size` a request; as many requests at once as there are partitions."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             names = frame["doi"].tolist()
-            for k in range(0, len(names), BATCH):
-                status, works = with_retries(fetch, names[k : k + BATCH])
-                yield pd.DataFrame([(d, status, json.dumps(works[d]) if d in works else None) for d in names[k : k + BATCH]], columns=["query_doi", "http", "work"])
+            for k in range(0, len(names), size):
+                status, works = with_retries(fetch, names[k : k + size])
+                yield pd.DataFrame([(d, status, json.dumps(works[d]) if d in works else None) for d in names[k : k + size]], columns=["query_doi", "http", "work"])
 
     distinct = dois.select(F.col(doi).alias("doi")).where("doi is not null").distinct()
     return distinct.repartition(concurrency, "doi").mapInPandas(run, "query_doi string, http int, work string")
