@@ -66,11 +66,11 @@ def hash_join_rules(r):
 
 
 @query("evidence_gate", "lec author res pa", CANDIDATES + f"""
- , papers AS (SELECT author_id, count(DISTINCT (pub_id, author_order)) AS n FROM pa JOIN res USING (pub_id, author_order) WHERE author_id % 3 = 0 AND regexp_matches({fold_sql('affiliation')}, '\\bictu\\b') GROUP BY 1),
+ , papers AS (SELECT author_id, count(DISTINCT (pub_id, author_order)) AS n FROM pa JOIN res USING (pub_id, author_order) WHERE author_id % 3 = 0 AND regexp_matches({fold_sql('affiliation')}, '\\bvktu\\b') GROUP BY 1),
  pairs AS (SELECT lec_id, author_id, min(best[1]) AS rule FROM evidence GROUP BY ALL)
  SELECT lec_id, author_id FROM pairs WHERE rule < 7 OR author_id IN (SELECT author_id FROM papers)""")
 def evidence_gate(r):
-    named = r.res.where(F.rlike(X.folded(F.col("affiliation")), F.lit(r"\bictu\b"))).select("pub_id", "author_order").distinct()
+    named = r.res.where(F.rlike(X.folded(F.col("affiliation")), F.lit(r"\bvktu\b"))).select("pub_id", "author_order").distinct()
     papers = r.pa.where("author_id % 3 = 0").join(named, ["pub_id", "author_order"]).groupBy("author_id").agg(n_rows())
     return C.gate(evidence(r), papers).select("lec_id", "author_id").distinct()
 

@@ -174,13 +174,13 @@ INSTITUTION_SQL = fold_sql("affiliation")
 
 
 @query("agg_affiliation_papers", "pa res over", f"""
- , named AS (SELECT pub_id, author_order FROM res WHERE regexp_matches({INSTITUTION_SQL}, '\\bictu\\b') UNION SELECT pub_id, author_order FROM over WHERE state = 'ACTIVE' AND regexp_matches({INSTITUTION_SQL}, '\\bictu\\b|brand#1'))
+ , named AS (SELECT pub_id, author_order FROM res WHERE regexp_matches({INSTITUTION_SQL}, '\\bvktu\\b') UNION SELECT pub_id, author_order FROM over WHERE state = 'ACTIVE' AND regexp_matches({INSTITUTION_SQL}, '\\bvktu\\b|brand#1'))
  SELECT author_id, count(*) AS n FROM pa JOIN named USING (pub_id, author_order) GROUP BY author_id""")
 def agg_affiliation_papers(r):
     """Positions whose text, in any resolution or in an active override, names the institution; each counts once."""
     names = lambda pattern: F.rlike(X.folded(F.col("affiliation")), F.lit(pattern))
-    a = r.res.where(names(r"\bictu\b")).select("pub_id", "author_order")
-    b = r.over.where((F.col("state") == "ACTIVE") & names(r"\bictu\b|brand#1")).select("pub_id", "author_order")
+    a = r.res.where(names(r"\bvktu\b")).select("pub_id", "author_order")
+    b = r.over.where((F.col("state") == "ACTIVE") & names(r"\bvktu\b|brand#1")).select("pub_id", "author_order")
     return r.pa.join(a.union(b).distinct(), ["pub_id", "author_order"]).groupBy("author_id").agg(n_rows())
 
 

@@ -206,15 +206,21 @@ def evidence_url_for(r):
     return r.pub.select("pub_id", X.evidence_url(F.expr("CASE WHEN pub_id % 4 = 0 THEN 'https://x.org/1' END"), F.col("doi")).alias("url"))
 
 
-def is_institution(c):
-    """Whether a text names the institution, in either language or by its acronym."""
+#: How an institution's name may be written: pairs of folded phrases that stand together, and its acronym as a word.
+INSTITUTION = ((("cong nghe thong tin", "truyen thong"), ("information and communication technology", "ha long")), "vktu")
+
+
+def is_institution(c, names=INSTITUTION):
+    """Whether a text names the institution, in either language or by its acronym; its names are a parameter."""
+    pairs, acronym = names
     plain = X.folded(c)
-    has = lambda s: F.contains(plain, F.lit(s))
-    found = (has("cong nghe thong tin") & has("truyen thong")) | (has("information and communication technology") & has("thai nguyen")) | F.rlike(plain, F.lit(r"\bictu\b"))
+    found = F.rlike(plain, F.lit(rf"\b{acronym}\b"))
+    for a, b in pairs:
+        found = found | (F.contains(plain, F.lit(a)) & F.contains(plain, F.lit(b)))
     return F.coalesce(found, F.lit(False))
 
 
-@query("is_institution_text", "res", f" SELECT res_id, author_order, pub_id, regexp_matches({fold_sql('affiliation')}, '\\bictu\\b') AS named FROM res")
+@query("is_institution_text", "res", f" SELECT res_id, author_order, pub_id, regexp_matches({fold_sql('affiliation')}, '\\bvktu\\b') AS named FROM res")
 def is_institution_text(r):
     return r.res.select("res_id", "author_order", "pub_id", is_institution(F.col("affiliation")).alias("named"))
 
@@ -316,7 +322,7 @@ def profile_validate(r):
  a AS (SELECT author_id, count(*) AS na FROM cand GROUP BY 1), l AS (SELECT lec_id, count(*) AS nl FROM cand GROUP BY 1),
  x AS (SELECT cand_id, coalesce(n, 0) > 0 AS named, coalesce(p, 0) > 0 AS supported, coalesce(f, 0) > 0 AS affiliated, na > 12 AS shared, nl > 4 AS many FROM cand JOIN a USING (author_id) JOIN l USING (lec_id) LEFT JOIN e USING (cand_id))
  SELECT cand_id, CASE WHEN supported AND affiliated AND NOT shared THEN 'HIGH' WHEN supported OR (affiliated AND named) THEN 'MEDIUM' WHEN named OR affiliated THEN 'LOW' ELSE 'INSUFFICIENT' END AS level,
-  concat_ws(',', CASE WHEN supported THEN 'PUBLICATION_SUPPORT' END, CASE WHEN affiliated THEN 'ICTU_AFFILIATION' END, CASE WHEN named THEN 'NAME_MATCH' END, CASE WHEN named AND NOT supported AND NOT affiliated THEN 'NAME_ONLY' END,
+  concat_ws(',', CASE WHEN supported THEN 'PUBLICATION_SUPPORT' END, CASE WHEN affiliated THEN 'INSTITUTION_AFFILIATION' END, CASE WHEN named THEN 'NAME_MATCH' END, CASE WHEN named AND NOT supported AND NOT affiliated THEN 'NAME_ONLY' END,
    CASE WHEN shared THEN 'SHARED_ID' END, CASE WHEN many THEN 'MULTIPLE_IDS_FOR_LECTURER' END) AS reasons FROM x""")
 def assess_fit(r):
     of = lambda k: F.count_if(F.col("kind") == k)
@@ -331,5 +337,5 @@ def fit(x):
     """(level, reasons) from the flags named, supported, affiliated, shared and many."""
     e = F.expr
     level = F.when(e("supported and affiliated and not shared"), "HIGH").when(e("supported or (affiliated and named)"), "MEDIUM").when(e("named or affiliated"), "LOW").otherwise("INSUFFICIENT")
-    codes = (("supported", "PUBLICATION_SUPPORT"), ("affiliated", "ICTU_AFFILIATION"), ("named", "NAME_MATCH"), ("named and not supported and not affiliated", "NAME_ONLY"), ("shared", "SHARED_ID"), ("many", "MULTIPLE_IDS_FOR_LECTURER"))
+    codes = (("supported", "PUBLICATION_SUPPORT"), ("affiliated", "INSTITUTION_AFFILIATION"), ("named", "NAME_MATCH"), ("named and not supported and not affiliated", "NAME_ONLY"), ("shared", "SHARED_ID"), ("many", "MULTIPLE_IDS_FOR_LECTURER"))
     return level.alias("level"), F.array_join(F.array_compact(F.array(*[F.when(e(c), v) for c, v in codes])), ",").alias("reasons")

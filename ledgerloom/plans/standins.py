@@ -73,7 +73,7 @@ RELATIONS: dict[str, tuple[str, list[str], str]] = {
         "CASE WHEN l_returnflag <> 'R' THEN NULL WHEN l_suppkey % 5 = 0 THEN 'NAME_MISMATCH' WHEN l_suppkey % 5 = 1 THEN 'NO_EXTERNAL_WORK' WHEN l_suppkey % 5 = 2 THEN 'ID_CONFLICT' WHEN l_suppkey % 5 = 3 THEN 'AUTHOR_COUNT_MISMATCH' ELSE 'SOMETHING_NEW' END AS reason",
         "CASE WHEN l_partkey % 4 = 1 THEN 'ABSENT' ELSE 'PRESENT' END AS presence",
         "l_shipdate AS created_at", "l_partkey * 100000 + l_suppkey AS res_id",
-        "concat('Khoa ', cast(l_partkey % 7 as string), CASE WHEN l_partkey % 10 < 3 THEN ', ICTU University' ELSE ', Đại học' END) AS affiliation",
+        "concat('Khoa ', cast(l_partkey % 7 as string), CASE WHEN l_partkey % 10 < 3 THEN ', VKTU University' ELSE ', Đại học' END) AS affiliation",
     ], ""),
     "over": ("part", [
         "p_partkey AS over_id", "p_partkey % 1000 AS pub_id", "cast(1 + p_partkey % 7 as int) AS author_order",
