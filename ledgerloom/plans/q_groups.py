@@ -237,7 +237,9 @@ def agg_matching_counts(r):
 
 @query("agg_plan_summary", "cand evid", " SELECT count(DISTINCT lec_id) AS n_lecs, count(DISTINCT author_id) AS n_authors, (SELECT count(*) FROM evid) AS n_evid FROM cand")
 def agg_plan_summary(r):
-    return r.cand.agg(F.countDistinct("lec_id").alias("n_lecs"), F.countDistinct("author_id").alias("n_authors")).crossJoin(r.evid.agg(n_rows("n_evid")))  # one row and one row
+    c = r.cand.agg(F.countDistinct("lec_id").alias("n_lecs"), F.countDistinct("author_id").alias("n_authors"))
+    both = c.unionByName(r.evid.agg(n_rows("n_evid")), allowMissingColumns=True)  # two rows
+    return both.agg(*[F.max(x).alias(x) for x in ("n_lecs", "n_authors", "n_evid")])
 
 
 @query("agg_normalization_counters", "raw", """

@@ -58,7 +58,7 @@ def stream_resume(r):
     """The rest of an ordered work list after `processed` entries: the list's order is its key, so the rest is a comparison."""
     todo = r.pub.where("pub_id < 500").select("pub_id", "eid")
     done = todo.orderBy("eid").limit(120).agg(F.max("eid").alias("last"))
-    return todo.crossJoin(F.broadcast(done)).where("eid > last").select("pub_id")  # done is one row
+    return todo.where(F.col("eid") > done.scalar()).select("pub_id")
 
 
 @query("stream_dedup_content", "", "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
