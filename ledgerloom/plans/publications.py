@@ -15,7 +15,9 @@ def normalize(raw: DataFrame, existing: DataFrame) -> DataFrame:
     never overwritten; later rows of the EID only add provenance."""
     x = raw.withColumn("key", X.normalize_eid(F.col("eid_raw")))
     valid = (F.col("validation") == "VALID") & F.col("key").isNotNull()
-    x = ranked(x.withColumn("valid", valid), ["valid", "key"], [F.asc("row_number"), F.asc("raw_id")], "k")
+    # invalid rows rank alone: without a key of their own they would all meet in one task
+    x = x.withColumn("valid", valid).withColumn("group", F.when(F.col("valid"), F.col("key")).otherwise(F.concat(F.lit("\0"), F.col("raw_id").cast("string"))))
+    x = ranked(x, ["group"], [F.asc("row_number"), F.asc("raw_id")], "k")
     old = existing.select(F.col("eid").alias("key"), F.col("title").alias("old_title"), F.lit(True).alias("known"))
     x = x.join(old, "key", "left")
     outcome = (

@@ -246,8 +246,8 @@ def agg_plan_summary(r):
  , k AS (SELECT raw_id, CASE WHEN validation <> 'VALID' OR trim(eid_raw) = '' OR contains(trim(eid_raw), ' ') THEN 'INVALID_EID' WHEN row_number() OVER (PARTITION BY trim(eid_raw), validation ORDER BY raw_id) > 1 THEN 'DUPLICATE' ELSE 'NEW' END AS outcome FROM raw)
  SELECT outcome, count(*) AS n FROM k GROUP BY outcome""")
 def agg_normalization_counters(r):
-    eid = X.normalize_eid(F.col("eid_raw"))
-    x = ranked(r.raw.withColumn("eid", eid), ["eid", "validation"], [F.asc("raw_id")], "k")
+    x = r.raw.withColumn("eid", X.normalize_eid(F.col("eid_raw")))
+    x = ranked(x.withColumn("group", F.coalesce("eid", F.concat(F.lit("\0"), F.col("raw_id").cast("string")))), ["group", "validation"], [F.asc("raw_id")], "k")
     outcome = F.when((F.col("validation") != "VALID") | F.col("eid").isNull(), "INVALID_EID").when(F.col("k") > 1, "DUPLICATE").otherwise("NEW")
     return x.groupBy(outcome.alias("outcome")).agg(n_rows())
 
