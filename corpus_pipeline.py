@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontam, lines, quality, simhash
+from ledgerloom.llm import bpe, copies, decontam, lines, quality
 from ledgerloom.llm.common import table, written
 
 
@@ -21,8 +21,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_firsts(docs)
+    """One document of each group of near copies, by exact similarity of five-word shingles."""
+    return copies.keep_firsts(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", dedup_lines),
-    ("SimHash near-dedup", dedup_near),
+    ("near-dedup", dedup_near),
     ("benchmark decontamination", decontaminate),
     ("byte-level BPE", tokenize),
 ]

@@ -23,11 +23,12 @@ TREE_ROWS = 8192
 SLAB = 256
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of a UTF-8 text: bytes.lower() changes A-Z only, bytes.split() splits at 0x20 and 0x09-0x0D only."""
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of a UTF-8 text's word shingles in order: bytes.lower() changes A-Z only, bytes.split() splits at 0x20 and
+    0x09-0x0D only. A text of fewer words is one shingle, one without words has none."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) <= shingle:
@@ -35,7 +36,14 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     else:
         spans = zip([0, *(ends[: len(words) - shingle] + 1).tolist()], ends[shingle - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit SimHash of a UTF-8 text."""
+    h = shingle_hashes(raw, shingle, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 65_536):
         bits = np.unpackbits(h[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -208,10 +216,15 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, with all their columns, without near-duplicates: one row of each component stays. Of rows alike in id and text that
     are kept, any one stays."""
     found = _components(cut(fingerprints(docs, id_col, text_col)), radius, agree)
-    first = found.where("kept").select(F.col("id").alias("__ll_id"), F.col("text_hash").alias("__ll_hash")).distinct()
+    return only_rows(docs, found.where("kept").select("id", "text_hash"), id_col, text_col)
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each of kept (id, text_hash)."""
+    first = kept.select(F.col("id").alias("__ll_id"), F.col("text_hash").alias("__ll_hash")).distinct()
     named = docs.withColumn("__ll_own", F.xxhash64(docs[text_col].cast("string")))
-    kept = named.join(first, named[id_col].eqNullSafe(F.col("__ll_id")) & (F.col("__ll_own") == F.col("__ll_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "__ll_own"]).select(*docs.columns)
+    rows = named.join(first, named[id_col].eqNullSafe(F.col("__ll_id")) & (F.col("__ll_own") == F.col("__ll_hash")), "left_semi")
+    return rows.dropDuplicates([id_col, "__ll_own"]).select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
