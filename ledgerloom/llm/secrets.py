@@ -54,17 +54,12 @@ def is_known(run: str) -> bool:
     return bool(DIGEST.match(run) and len(run) in DIGEST_CHARS or UUID.match(run) or all(PART.match(x) for x in JOIN.split(run)))
 
 
-def has_mixture(run: str) -> bool:
-    """A letter and a digit, as random keys of 16 characters and more all but always have."""
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-
-
 def random_spans(text: str, runs: list[tuple[int, int]], taken: list[tuple[str, int, int]], enc, least: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
     """Runs of few characters a token that no base finding overlaps."""
     out = []
     for a, b in runs:
         run = text[a:b]
-        if not has_mixture(run) or is_known(run) or any(s < b and a < e for _, s, e in taken):
+        if is_known(run) or any(s < b and a < e for _, s, e in taken):
             continue
         if len(run) < least * len(enc.encode_ordinary(run)):
             out.append(("random", a, b))
@@ -85,8 +80,7 @@ FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_token: float = CHARS_PER_TOKEN, rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Rows (id_col, found) for every row of docs; found: kind, start and end in code points of each finding in the whole text.
 
-    Null and empty texts have none. A run is at most as long as its text, and only runs that hold letters and digits are
-    encoded. Rows are mapped where they lie, so repeated rows give repeated results; other columns aren't read.
+    Null and empty texts have none. A run is at most as long as its text, and all runs but known ones are encoded. Rows are mapped where they lie, so repeated rows give repeated results; other columns aren't read.
     """
     path, pat = (rank_path, pattern) if rank_path and pattern else default_ranks()
     source = id_and_text(docs, id_col, text_col)
