@@ -31,6 +31,8 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 #: Identifiers: parts that are numbers, very short, or words of one case or in camel case with a short number at the end.
 JOIN = re.compile(r"[+/_=-]+")
 PART = re.compile(r"(?:\d*|[A-Za-z0-9]{1,3}|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,4}|[A-Z]+\d{0,4})\Z")
+#: Least length of a run, and of a stretch inside one.
+RUN_CHARS = 16
 #: A run with fewer characters to a token than this is taken for random.
 CHARS_PER_TOKEN = 2.1
 
@@ -54,15 +56,56 @@ def is_known(run: str) -> bool:
     return bool(DIGEST.match(run) and len(run) in DIGEST_CHARS or UUID.match(run) or all(PART.match(x) for x in JOIN.split(run)))
 
 
+def stretches(run: str) -> list[tuple[int, int]]:
+    """Maximal stretches of a run between its known parts of more than three characters, without joining characters around."""
+    out, parts = [], [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", run)]
+    at = None
+    for a, b in parts:
+        if b - a > 3 and is_known(run[a:b]):
+            at = None
+        elif at is None:
+            at = a
+            out.append((a, b))
+        else:
+            out[-1] = (at, b)
+    return [(a, b) for a, b in out if b - a >= RUN_CHARS]
+
+
+def dense_spans(run: str, enc, least: float) -> list[tuple[int, int]]:
+    """A run's stretches and, where one isn't low in characters a token as a whole, its parts and its tokens' densest stretch."""
+    out = []
+    low = lambda x: len(x) >= RUN_CHARS and not is_known(x) and len(x) < least * len(enc.encode_ordinary(x))
+    for a, b in stretches(run):
+        if low(run[a:b]):
+            out.append((a, b))
+            continue
+        parts = [(a + m.start(), a + m.end()) for m in re.finditer(r"[A-Za-z0-9]+", run[a:b])]
+        found = [(x, y) for x, y in parts if low(run[x:y])]
+        if not found:
+            total, start, at, best, top = 0.0, a, a, None, 0.0
+            for size in map(len, enc.decode_tokens_bytes(enc.encode_ordinary(run[a:b]))):
+                if total <= 0:
+                    total, start = 0.0, at
+                total, at = total + least - size, at + size
+                if total > top:
+                    top, best = total, (start, at)
+            found = [best] if best and low(run[best[0] : best[1]]) else []
+        out += found
+    return out
+
+
 def random_spans(text: str, runs: list[tuple[int, int]], taken: list[tuple[str, int, int]], enc, least: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
-    """Runs of few characters a token that no base finding overlaps."""
+    """Runs of few characters a token, or else such stretches inside them, that no base finding overlaps."""
     out = []
     for a, b in runs:
         run = text[a:b]
-        if is_known(run) or any(s < b and a < e for _, s, e in taken):
+        if is_known(run):
             continue
-        if len(run) < least * len(enc.encode_ordinary(run)):
+        free = lambda x, y: not any(s < y and x < e for _, s, e in taken)
+        if free(a, b) and len(run) < least * len(enc.encode_ordinary(run)):
             out.append(("random", a, b))
+        else:
+            out += [("random", a + x, a + y) for x, y in dense_spans(run, enc, least) if free(a + x, a + y)]
     return out
 
 
