@@ -15,8 +15,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go, but for each template's first; n_chars follows the text."""
-    out = lines.drop_recurring(docs)
+    """Recurring lines go, but for each template's first; copies, which the next stage judges, stay whole. n_chars follows the text."""
+    out = lines.drop_recurring(docs, spare=0.8)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -1,10 +1,21 @@
 import hashlib
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, decontam, lines, quality, simhash
+from ledgerloom.llm import bpe, copies, decontam, lines, quality, simhash
 
 from .test_lines import brute as kept_lines
-from .test_simhash import components, plain
+
+
+def firsts(docs):
+    """docs without those that are connected with an earlier one by steps of 0.8 in five-word shingles."""
+    sets = [set(copies.shingle_set(t.encode()).tolist()) for _, t in docs]
+    group = list(range(len(docs)))
+    for k, x in enumerate(sets):
+        for j, y in enumerate(sets[:k]):
+            if 5 * len(x & y) >= 4 * len(x | y) and group[j] != group[k]:
+                low, high = sorted((group[j], group[k]))
+                group = [low if g == high else g for g in group]
+    return [d for k, d in enumerate(docs) if group[k] == k]
 
 
 def test_run_against_plain_versions(spark, sf_dir):
@@ -13,9 +24,8 @@ def test_run_against_plain_versions(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.train(frame, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     docs = [(i, t) for i, t in docs if model.tails(quality.features(t.encode()))[-1] >= quality.KEEP]
-    docs = sorted(kept_lines(docs).items())
-    roots = components([plain(t) for _, t in docs])
-    docs = [d for k, d in enumerate(docs) if roots[k] == k]
+    docs = sorted(kept_lines(docs, spare=0.8).items())
+    docs = firsts(docs)
     search = decontam.searchers((r.item_id, r.text) for r in table("benchmark"))
     docs = [(i, t) for i, t in docs if not decontam.hits(decontam.words_of(t.encode()), search)[0]]
     assert 20 < len(docs) < 200
