@@ -24,16 +24,40 @@ COVERAGE = 0.75
 BAND = 4
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
+# Words that tell licenses of alike wording apart. Names, and by a family's mark the words that its members differ in.
+NAMES = {b"apache", b"boost", b"bsd", b"cc", b"cc0", b"creative", b"eclipse", b"gnu", b"isc", b"mit", b"mozilla", b"zlib"}
+DIFFER = {
+    b"gnu": {b"affero", b"lesser", b"library"},
+    b"creative": {b"nc", b"nd", b"noncommercial", b"noderivatives", b"noderivs", b"sa", b"sharealike", b"zero"},
+    b"redistributions": {b"endorse", b"neither"},
+}
+SAME = {b"cc": b"creative", b"cc0": b"creative", b"nc": b"noncommercial", b"nd": b"noderivatives", b"noderivs": b"noderivatives", b"sa": b"sharealike"}
+#: A number after one of these is a version.
+BEFORE_VERSION = {b"version", b"v", b"license", b"gpl", b"lgpl", b"agpl", b"mpl", b"by", b"zero", b"attribution", b"cc0"} | DIFFER[b"creative"]
+
+
+def told_by(words: list[bytes]) -> frozenset[bytes]:
+    """What of words (in lower case) can tell licenses apart: names, members' words, and versions without .0 at the end."""
+    out, k = set(), 0
+    for k, w in enumerate(words):
+        if w in NAMES or any(w in x for x in DIFFER.values()):
+            out.add(SAME.get(w, w))
+        elif w.isdigit() and k and words[k - 1] in BEFORE_VERSION:
+            run = [w, *(x for x in words[k + 1 : k + 2] if x.isdigit())]
+            out.add(run[0] if run[1:] in ([], [b"0"]) else b".".join(run))
+    return frozenset(out)
+
 
 class Templates:
-    """Templates as word numbers, and the inverted index from fingerprint to (template, place)."""
+    """Templates as word numbers, what tells each apart, and the inverted index from fingerprint to (template, place)."""
 
     def __init__(self, templates: Iterable[tuple[str, str, str]] = TEMPLATES):
-        self.names, self.words, self.vocabulary = [], [], {}
+        self.names, self.words, self.marks, self.vocabulary = [], [], [], {}
         for license_, name, text in templates:
             words = [w.lower() for w in WORD.findall(text.encode())]
             if words:
                 self.names.append((license_, name))
+                self.marks.append(self.marks_of(words))
                 self.words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
         self.index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.words):
@@ -43,6 +67,21 @@ class Templates:
                 self.index[size][self.gram(words[i : i + size])].append((t, i))
         self.keys = {size: np.array(sorted(x), dtype=np.int64) for size, x in self.index.items()}
 
+    @staticmethod
+    def marks_of(words: list[bytes]) -> tuple[frozenset[bytes], frozenset[bytes]]:
+        """(the marks that a match must have, those that it may not have)."""
+        own = told_by(words)
+        # names bar each other only in notices, which name a license; a license's text may name anyone
+        family = set().union(*(DIFFER[k] for k in DIFFER if k in own or k in words), NAMES if own & NAMES else ())
+        return own, frozenset(SAME.get(w, w) for w in family) - own
+
+    def agrees(self, t: int, words: list[bytes]) -> bool:
+        """Whether a match with these words tells the same license as template t: the same names, members' words and versions."""
+        must, never = self.marks[t]
+        have = told_by(words)
+        version = lambda x: {w for w in x if w[:1].isdigit()}
+        return must <= have and not have & never and (not version(must) or version(have) == version(must))
+
     def gram(self, words) -> int:
         value = 0
         for w in words:
@@ -57,19 +96,19 @@ def winnow(prints: list[int], window: int) -> list[int]:
     return sorted({min(range(k, k + window), key=lambda i: (prints[i], -i)) for k in range(len(prints) - window + 1)})
 
 
-def align(template: list[int], words: list[int], shift: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best local alignment of the template with words on diagonals shift - band .. shift + band
-    (place in words less place in the template): 2 for an equal word, -1 for a word changed, left out or put in.
+def align(template: list[int], words: list[int], shift: int, band: int) -> tuple[int, int, int, int]:
+    """(matched words, first, end, template words between) of the best local alignment of the template with words on diagonals
+    shift - band .. shift + band (place in words less place in the template): 2 for an equal word, -1 for a word changed, left out
+    or put in.
     """
     width = 2 * band + 1
-    score, matched, begin = [0] * (width + 1), [0] * (width + 1), [-1] * (width + 1)
-    best = (0, 0, 0, 0)
+    score, matched, begin = [0] * (width + 1), [0] * (width + 1), [None] * (width + 1)
+    best = (0, 0, (0, 0), 0, 0)
     for i, t in enumerate(template):
-        new_score, new_matched, new_begin = [0] * (width + 1), [0] * (width + 1), [-1] * (width + 1)
-        for k in range(width):
-            j = i + shift - band + k
-            if not 0 <= j < len(words):
-                continue
+        new_score, new_matched, new_begin = [0] * (width + 1), [0] * (width + 1), [None] * (width + 1)
+        first = i + shift - band
+        for k in range(max(0, -first), min(width, len(words) - first)):
+            j = first + k
             equal = words[j] == t
             s, m, b = score[k] + (2 if equal else -1), matched[k] + equal, begin[k]
             if score[k + 1] - 1 > s:  # a template word left out
@@ -77,17 +116,24 @@ def align(template: list[int], words: list[int], shift: int, band: int) -> tuple
             if k and new_score[k - 1] - 1 > s:  # a word put in
                 s, m, b = new_score[k - 1] - 1, new_matched[k - 1], new_begin[k - 1]
             if s > 0:
-                b = j if b < 0 else b
+                b = (j, i) if b is None else b
                 new_score[k], new_matched[k], new_begin[k] = s, m, b
                 if s > best[0]:
-                    best = (s, m, b, j + 1)
+                    best = (s, m, b, j + 1, i + 1)
         score, matched, begin = new_score, new_matched, new_begin
-    return best[1:]
+    _, m, (j0, i0), j1, i1 = best
+    return m, j0, j1, i1 - i0
+
+
+def coverage_of(matched: int, template_words: int, between: int, span: int) -> float:
+    """Matched words as a part of the template's and of those put in."""
+    return matched / (template_words + max(0, span - between))
 
 
 def scan(raw: bytes, templates: Templates, coverage: float = COVERAGE) -> list[tuple[str, str, float, int, int]]:
-    """(license, template, coverage, start, end) of matches in a UTF-8 text, in bytes; of matches of one license that overlap, the
-    one with most matched words stays."""
+    """(license, template, coverage, start, end) of matches in a UTF-8 text, in bytes; of matches that overlap, of whatever
+    license, the one with most matched words and then the highest coverage stays. A match whose names, versions or members' words
+    differ from its template's is none."""
     low = raw.lower()
     numbers = templates.vocabulary.get
     found = WORD.findall(low)
@@ -117,13 +163,14 @@ def scan(raw: bytes, templates: Templates, coverage: float = COVERAGE) -> list[t
         for shift in sorted(shifts):
             if end is not None and shift <= end:  # its diagonal lies in the last one's band
                 continue
-            matched, a, b = align(template, words, shift + band // 2, band)
+            matched, a, b, between = align(template, words, shift + band // 2, band)
             end = shift + band // 2
-            if matched >= coverage * len(template):
-                matches.append((matched, matched / len(template), *templates.names[t], a, b))
+            covered = coverage_of(matched, len(template), between, b - a)
+            if covered >= coverage and templates.agrees(t, found[a:b]):
+                matches.append((matched, covered, *templates.names[t], a, b))
     kept = []
-    for m in sorted(matches, key=lambda m: (-m[0], -m[1], m[4], m[5], m[3])):
-        if not any(k[2] == m[2] and k[4] < m[5] and m[4] < k[5] for k in kept):
+    for m in sorted(matches, key=lambda m: (-m[0], -m[1], m[4], m[5], m[2], m[3])):
+        if not any(k[4] < m[5] and m[4] < k[5] for k in kept):
             kept.append(m)
     if not kept:
         return []
@@ -135,8 +182,8 @@ FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.St
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, templates=TEMPLATES) -> DataFrame:
-    """Rows (id_col, found) for every row of docs; found: license, template, coverage of the template's words, and start and end in
-    code points, of every match in the whole text.
+    """Rows (id_col, found) for every row of docs; found: license, template, coverage (matched words as a part of the template's and
+    of those put in), and start and end in code points, of every match in the whole text.
 
     Null and empty texts have none. The templates (a fixed list) go to the executors with the code; rows are mapped where they
     lie. Only texts that share a fingerprint with a template are aligned, along the diagonals of the shared ones.
