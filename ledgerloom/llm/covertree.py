@@ -14,69 +14,81 @@ from pyspark.sql import types as T
 from .common import arrow_map, connected_components, cut, merge_labels, table
 
 THRESHOLD = 0.95
-#: Cells that vectors are dealt into, by the nearest centre; centres come from a sample of SAMPLE distinct vectors at most.
-CELLS = 16
+#: Vectors are dealt into cells by the nearest centre; there are as many cells as hold CELL_ROWS distinct vectors each, MOST_CELLS at
+#: most. Centres come from a sample of SAMPLE distinct vectors.
+CELL_ROWS = 4096
+MOST_CELLS = 512
 SAMPLE = 4096
 #: Vectors of a cell that one task compares with as many others.
 PIECE_ROWS = 8192
-#: Points of a leaf block, compared by one matrix product.
+#: Centres or points whose distances are computed by one matrix product.
 BLOCK = 512
-#: Nodes of fewer points aren't divided.
-LEAST_NODE = 32
+#: Points tried as centres of a net at a time.
+TRIED = 256
 #: Added to every bound, so that rounding can only lead to a pair's comparison, not to its loss.
 SLACK = 1e-6
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, unit vectors in double precision); zero, non-finite and null ones aren't usable."""
-    x = np.array(vectors, dtype=np.float64)
-    norm = np.linalg.norm(x, axis=1)
-    return norm > 0, x / np.where(norm > 0, norm, 1)[:, None]
-
-
-class Node:
-    """Points within `radius` of the centre; either children, each within half the level's radius, or one block of points."""
-
-    __slots__ = ("centre", "children", "points", "radius")
-
-    def __init__(self, centre, radius, points, children):
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
-
-
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x - c) ** 2).sum(axis=1), 0))
-
-
-def build(x: np.ndarray, points: np.ndarray, level: float) -> Node:
-    """Cover tree of x[points]: a node's points are covered by a net whose radius is half the level's, greedily chosen.
-
-    Points that a net doesn't gather (each would be a node of its own) go into one block of the node instead: comparing them
-    by matrix products costs less than walking single points. The covering radius of every node is measured, not assumed.
-    """
-    centre = x[points[0]]
-    d = distances(x[points], centre)
-    radius = float(d.max())
-    if len(points) <= LEAST_NODE or radius < 1e-9:
-        return Node(centre, radius, points, [])
-    half, rest, loose, children, lone = min(level, radius) / 2, points, [], [], 0
+def net(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
+    """Groups of points, each within radius of its first one; first points of groups are further than that from each other."""
+    least, out, rest = 1 - radius * radius / 2, [], points
     while len(rest):
-        near = distances(x[rest], x[rest[0]]) <= half
-        members = rest[near]
-        rest = rest[~near]
-        if len(members) >= LEAST_NODE:
-            children.append(build(x, members, half))
-        else:
-            loose.append(members)
-            lone += 1
-            if lone >= 16 and lone * LEAST_NODE > 2 * (len(points) - len(rest)):  # the net gathers nothing here
-                loose.append(rest)
-                break
-    if not children:
-        return Node(centre, radius, points, [])
-    if loose:
-        own = np.concatenate(loose)
-        children.append(Node(x[own[0]], float(distances(x[own], x[own[0]]).max()), own, []))
-    return Node(centre, radius, points, children)
+        tried = rest[:TRIED]
+        near = x[tried] @ x[tried].T >= least
+        free, chosen = np.ones(len(tried), dtype=bool), []
+        for i in range(len(tried)):
+            if free[i]:
+                chosen.append(i)
+                free &= ~near[i]
+                free[i] = False
+        cosine = x[rest] @ x[tried[chosen]].T
+        own = cosine.argmax(axis=1)
+        within = cosine[np.arange(len(rest)), own] >= least
+        own[chosen], within[: len(tried)] = np.arange(len(chosen)), True
+        order = np.argsort(own[within], kind="stable")
+        ends = np.cumsum(np.bincount(own[within], minlength=len(chosen)))[:-1]
+        for c, members in zip(tried[chosen], np.split(rest[within][order], ends), strict=True):
+            out.append(np.concatenate([[c], members[members != c]]))
+        rest = rest[~within]
+    return out
+
+
+class Tree:
+    """Cover tree: the children of a node of level R are a net of its points of radius R / 2, the first of them at its own centre.
+
+    Levels go down from 2, the sphere's diameter, until a node is a single point or its level is below a quarter of a link. The
+    covering radius of every node is measured over all points below it, not assumed. Nodes are rows of flat arrays.
+    """
+
+    def __init__(self, x: np.ndarray, points: np.ndarray, far: float):
+        self.centre: list[int] = []
+        self.points: list[np.ndarray] = []
+        self.children: list[list[int]] = []
+        self.parent: list[int] = []
+        level, todo = 2.0, [self.add(points, -1)]
+        while todo and level >= far / 4:
+            level /= 2
+            todo = [child for node in todo if len(self.points[node]) > 1 for child in self.divide(x, node, level)]
+        self.centre, self.parent = np.array(self.centre), np.array(self.parent)
+        self.size = np.array([len(p) for p in self.points])
+        self.radius = np.zeros(len(self.size))
+        for k in np.flatnonzero(self.size > 1):
+            self.radius[k] = np.sqrt(max(2 - 2 * float((x[self.points[k]] @ x[self.centre[k]]).min()), 0))
+
+    def add(self, points: np.ndarray, parent: int) -> int:
+        self.centre.append(points[0])
+        self.points.append(points)
+        self.children.append([])
+        self.parent.append(parent)
+        return len(self.centre) - 1
+
+    def divide(self, x: np.ndarray, node: int, radius: float) -> list[int]:
+        self.children[node] = [self.add(p, node) for p in net(x, self.points[node], radius)]
+        return self.children[node]
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The nodes' children; those without any stay."""
+        return np.array([c for k in nodes.tolist() for c in self.children[k] or (k,)], dtype=np.int64)
 
 
 class Links:
@@ -85,6 +97,7 @@ class Links:
     def __init__(self, weight: np.ndarray):
         self.weight = weight
         self.count = np.zeros(len(weight), dtype=np.int64)
+        self.compared = 0  # distances computed, of centres and of points
         self.parent = np.arange(len(weight))
 
     def all_of(self, a: np.ndarray, b: np.ndarray | None) -> None:
@@ -98,13 +111,11 @@ class Links:
         both = np.concatenate([a, b])
         self.parent = merge_labels(self.parent, both[1:], np.full(len(both) - 1, both[0]))
 
-    def some_of(self, a: np.ndarray, b: np.ndarray, near: np.ndarray, same: bool) -> None:
-        """near[i, j]: a[i] links with b[j]."""
-        self.count[a] += near @ self.weight[b]
-        if not same:
-            self.count[b] += near.T @ self.weight[a]
-        i, j = np.nonzero(near)
-        self.parent = merge_labels(self.parent, a[i], b[j])
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """a[i] links with b[i]; a pair is listed once."""
+        np.add.at(self.count, a, self.weight[b])
+        np.add.at(self.count, b, self.weight[a])
+        self.parent = merge_labels(self.parent, a, b)
 
 
 def compare(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, links: Links) -> None:
@@ -114,47 +125,77 @@ def compare(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, links
         p = a[i : i + BLOCK]
         for j in range(i if same else 0, len(b), BLOCK):
             q = b[j : j + BLOCK]
+            links.compared += len(p) * len(q)
             near = x[p] @ x[q].T >= threshold
-            alone = same and i == j
-            if alone:
-                np.fill_diagonal(near, False)
-            if near.any():
-                links.some_of(p, q, near, alone)
+            if same and i == j:
+                near = np.triu(near, 1)
+            at = np.nonzero(near)
+            if len(at[0]):
+                links.pairs(p[at[0]], q[at[1]])
 
 
-def dual(x: np.ndarray, a: Node, b: Node, threshold: float, links: Links) -> None:
-    """All links between the points of two nodes, or of one with itself: apart by their covering radii, no pair can link; so
-    close that all must, all are counted; else the larger node is divided, and blocks are compared."""
-    far = float(np.sqrt(2 - 2 * threshold))
-    stack = [(a, b)]
+def dual(x: np.ndarray, left: Tree, right: Tree, threshold: float, links: Links) -> None:
+    """All links between the points of two trees, or of one with itself.
+
+    Each step takes a node of the left tree with the nodes of the right one that it may link with, and puts their children in
+    their place. Of a pair of nodes that are apart by their covering radii no points can link, and it is pruned; of one that lies
+    so close together that all must link, all links are counted without listing them. Pairs of points are decided where they
+    meet. Distances of all children of a step come from matrix products of BLOCK rows.
+    """
+    far, same = float(np.sqrt(2 - 2 * threshold)), left is right
+    stack = [(0, np.zeros(1, dtype=np.int64))]
     while stack:
-        a, b = stack.pop()
-        if a is b:
-            if 2 * a.radius <= far - SLACK:
-                links.all_of(a.points, None)
-            elif a.children:
-                stack += [(p, q) for i, p in enumerate(a.children) for q in a.children[i:]]
-            else:
-                compare(x, a.points, a.points, threshold, links)
+        node, others = stack.pop()
+        if same and 2 * left.radius[node] <= far - SLACK and node in others:
+            links.all_of(left.points[node], None)
+            others = others[others != node]
+        mine = np.array(left.children[node] or [node], dtype=np.int64)
+        yours = right.below(others)
+        if not len(yours):
             continue
-        d = float(np.sqrt(((a.centre - b.centre) ** 2).sum()))
-        if d > a.radius + b.radius + far + SLACK:
+        if len(mine) == 1 and mine[0] == node and len(yours) == len(others) and (yours == others).all():  # nothing is left to divide
+            if same and node in yours:
+                compare(x, left.points[node], left.points[node], threshold, links)
+                yours = yours[yours != node]
+            if len(yours):
+                compare(x, left.points[node], np.concatenate([right.points[k] for k in yours.tolist()]), threshold, links)
             continue
-        if d + a.radius + b.radius <= far - SLACK:
-            links.all_of(a.points, b.points)
-        elif a.children and (a.radius >= b.radius or not b.children):
-            stack += [(p, b) for p in a.children]
-        elif b.children:
-            stack += [(a, q) for q in b.children]
-        else:
-            compare(x, a.points, b.points, threshold, links)
+        for i in range(0, len(mine), BLOCK):
+            m = mine[i : i + BLOCK]
+            kept: list[list[np.ndarray]] = [[] for _ in m]
+            for j in range(0, len(yours), BLOCK):
+                y = yours[j : j + BLOCK]
+                links.compared += len(m) * len(y)
+                cosine = x[left.centre[m]] @ x[right.centre[y]].T
+                # apart by more than both radii and a link: by cosines, so that most pairs need one comparison
+                reach = np.minimum(left.radius[m][:, None] + right.radius[y][None, :] + far + SLACK, 2)
+                open_ = cosine >= 1 - reach * reach / 2
+                if same:  # of two children of one node each pair is taken once
+                    twins = (right.parent[y] == node)[None, :] & (left.parent[m] == node)[:, None] & (y[None, :] < m[:, None])
+                    open_ &= ~twins
+                at = np.nonzero(open_)
+                if not len(at[0]):
+                    continue
+                a, b = m[at[0]], y[at[1]]
+                single = (left.size[a] == 1) & (right.size[b] == 1)
+                hit = single & (cosine[at] >= threshold) & ((a != b) if same else True)
+                if hit.any():
+                    links.pairs(left.centre[a[hit]], right.centre[b[hit]])
+                a, b, row = a[~single], b[~single], at[0][~single]
+                d = np.sqrt(np.maximum(2 - 2 * cosine[at][~single], 0))
+                inside = (d + left.radius[a] + right.radius[b] <= far - SLACK) & ((a != b) if same else True)
+                for p, q in zip(a[inside].tolist(), b[inside].tolist(), strict=True):
+                    links.all_of(left.points[p], right.points[q])
+                for k in np.unique(row[~inside]).tolist():
+                    kept[k].append(b[~inside & (row == k)])
+            stack += [(int(m[k]), np.concatenate(nodes)) for k, nodes in enumerate(kept) if nodes]
 
 
 def search(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> Links:
     """Links inside left, or between left and right."""
-    links = Links(weight)
-    a = build(x, left, 2.0)
-    dual(x, a, a if right is None else build(x, right, 2.0), threshold, links)
+    links, far = Links(weight), float(np.sqrt(2 - 2 * threshold))
+    a = Tree(x, left, far)
+    dual(x, a, a if right is None else Tree(x, right, far), threshold, links)
     return links
 
 
@@ -193,15 +234,24 @@ def node_of(raw: np.ndarray) -> bytes:
     return hashlib.md5(raw.tobytes(), usedforsecurity=False).digest()
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cells: int = CELLS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def centres_by_length(sample: list[np.ndarray], cells: int) -> dict[int, np.ndarray]:
+    """Centres for each length of vectors in the sample, shared out by how many of it have that length."""
+    by: dict[int, list[np.ndarray]] = {}
+    for v in sample:
+        by.setdefault(len(v), []).append(v / np.linalg.norm(v))
+    return {n: centres_of(np.array(v), max(1, round(cells * len(v) / len(sample)))) for n, v in sorted(by.items())}
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, cells: int | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Rows (id_col, n_links, component_id, kept) for every row of vectors: all pairs with cosine >= threshold are links.
 
-    Equal vectors are one class, so copies cost one vector. Cells come from a bounded sample; every vector is dealt to its cell
-    and visits each later cell that may hold a partner, so every pair meets exactly once, in the later one's cell. Cells of more
-    than piece_rows vectors are cut into pieces by hash and each pair of pieces is a task of bounded size; inside, cover trees
-    are walked in pairs. Null vectors, and those that are zero, hold null or non-finite components or differ in length from
-    most of the sample, link with nothing: no links, their own id as component. A row with a null id counts as a partner but
-    names no component. Rows with equal ids and vectors are each other's links like any copies.
+    Equal vectors are one class, so copies cost one vector. Vectors are compared with those of their own length. Cells (by default
+    as many as the distinct vectors need) come from a bounded sample; every vector is dealt to its cell and visits each later
+    cell that may hold a partner, so every pair meets exactly once, in the later one's cell; lengths that the sample lacks are a
+    cell each. Cells of more than piece_rows vectors are cut into pieces by hash and each pair of pieces is a task of bounded
+    size; inside, cover trees are walked in pairs. Null vectors, and those that are zero or hold null or non-finite components,
+    link with nothing: no links, their own id as component. A row with a null id counts as a partner but names no component.
+    Rows with equal ids and vectors are each other's links like any copies.
     """
     spark = vectors.sparkSession
     source = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
@@ -226,38 +276,43 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed = arrow_map(source, key, keyed_schema)
     # what joins need is kept without the vectors, which go to the classes only
     classes = cut(keyed.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v")))
-    sizes = classes.orderBy("node").limit(SAMPLE).groupBy(F.octet_length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return source.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = classes.where(F.octet_length("v") == sizes["n"])
-    sample = np.array([np.frombuffer(r["v"]) for r in usable.select("v", "node").orderBy("node").limit(SAMPLE).toLocalIterator()])
-    sent = spark.sparkContext.broadcast(centres_of(sample / np.linalg.norm(sample, axis=1)[:, None], cells))  # `cells` vectors
+    if cells is None:
+        cells = min(MOST_CELLS, max(1, classes.count() // CELL_ROWS))
+    sample = [np.frombuffer(r["v"]) for r in classes.select("v", "node").orderBy("node").limit(SAMPLE).toLocalIterator()]
+    sent = spark.sparkContext.broadcast(centres_by_length(sample, cells))  # at most a centre for each vector of the sample
 
     def place():
         centres = sent.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([np.frombuffer(b) for b in batch.column(2).to_pylist()])
-            cell, visits = cell_visits(x / np.linalg.norm(x, axis=1)[:, None], centres, threshold)
-            places = [[{"cell": int(c), "guest": False}, *({"cell": int(k), "guest": True} for k in v)] for c, v in zip(cell, visits, strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.list_(pa.struct([("cell", pa.int32()), ("guest", pa.bool_())])))], names=[*batch.schema.names, "places"])
+            vectors = [np.frombuffer(b) for b in batch.column(2).to_pylist()]
+            sizes = np.array([len(v) for v in vectors])
+            places: list[list[dict]] = [[{"cell": 0, "guest": False}] for _ in vectors]
+            for n in set(sizes.tolist()) & centres.keys():
+                at = np.flatnonzero(sizes == n)
+                x = np.array([vectors[k] for k in at])
+                cell, visits = cell_visits(x / np.linalg.norm(x, axis=1)[:, None], centres[n], threshold)
+                for k, c, v in zip(at.tolist(), cell.tolist(), visits, strict=True):
+                    places[k] = [{"cell": c, "guest": False}, *({"cell": i, "guest": True} for i in v.tolist())]
+            arrays = [*batch.columns, pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.struct([("cell", pa.int32()), ("guest", pa.bool_())])))]
+            return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "size", "places"])
 
         return step
 
-    placed_schema = "node binary, copies long, v binary, places array<struct<cell int, guest boolean>>"
-    placed = usable.select("node", "copies", "v").mapInArrow(_run(place), placed_schema).select("node", "copies", "v", F.inline("places"))
+    placed_schema = "node binary, copies long, v binary, size int, places array<struct<cell int, guest boolean>>"
+    placed = classes.select("node", "copies", "v").mapInArrow(_run(place), placed_schema).select("node", "copies", "v", "size", F.inline("places"))
     placed = cut(placed)
-    counts = placed.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("hosts"), F.count_if("guest").alias("guests"))  # a row a cell
+    counts = placed.groupBy("size", "cell").agg(F.count_if(~F.col("guest")).alias("hosts"), F.count_if("guest").alias("guests"))  # a row a cell
     pieces = lambda n: F.greatest(F.ceil(F.col(n) / piece_rows), F.lit(1)).cast("int")
-    rows = placed.join(F.broadcast(counts), "cell").withColumn("h", pieces("hosts")).withColumn("g", pieces("guests"))
+    rows = placed.join(counts, ["size", "cell"]).withColumn("h", pieces("hosts")).withColumn("g", pieces("guests"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.col("g")).otherwise(F.col("h"))).cast("int"))
-    # a task (cell, kind, i, j): pieces i <= j of the hosts, or piece i of the guests with piece j of the hosts
+    # a task (size, cell, kind, i, j): pieces i <= j of the hosts, or piece i of the guests with piece j of the hosts
     task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     own = F.col("own")
     hosts = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda k: task(0, F.least(own, k), F.greatest(own, k)))
     asked = F.when(F.col("guests") > 0, F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: task(1, k, own))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
     guests = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda k: task(1, own, k))
-    rows = rows.select("cell", "guest", "own", "node", "copies", "v", F.inline(F.when(F.col("guest"), guests).otherwise(F.concat(hosts, asked))))
+    rows = rows.select("size", "cell", "guest", "own", "node", "copies", "v", F.inline(F.when(F.col("guest"), guests).otherwise(F.concat(hosts, asked))))
 
     def compare_task(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -282,7 +337,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         at = np.flatnonzero(found.count)
         return pa.table({"node": pa.array([nodes[k] for k in at], pa.binary()), "root": pa.array([nodes[found.parent[k]] for k in at], pa.binary()), "n": pa.array(found.count[at], pa.int64())})
 
-    found = cut(rows.groupBy("cell", "kind", "i", "j").applyInArrow(compare_task, "node binary, root binary, n long"))
+    found = cut(rows.groupBy("size", "cell", "kind", "i", "j").applyInArrow(compare_task, "node binary, root binary, n long"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     partners = found.groupBy("node").agg(F.sum("n").alias("n"))
     classed = cut(classes.select("node", "least_id", "copies").join(partners, "node", "left").join(roots, "node", "left").select(
@@ -290,9 +345,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ))
     named = cut(classed.groupBy("root").agg(F.min("least_id").alias("component_id")))
     classed = cut(classed.join(named, "root").select("node", "n_links", "component_id"))
-    wrong = classes.where(F.octet_length("v") != sizes["n"]).select("node", F.lit(True).alias("odd"))
-    out = keyed.select("id", "node").join(classed, "node", "left").join(wrong, "node", "left")
-    linked = F.col("n_links").isNotNull() & F.col("odd").isNull()
+    out = keyed.select("id", "node").join(classed, "node", "left")
+    linked = F.col("n_links").isNotNull()
     component = F.when(linked, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.when(linked, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -15,7 +15,7 @@ def brute(rows, threshold=0.95):
 
     for a in ok:
         for b in ok:
-            if a < b:
+            if a < b and len(rows[a][1]) == len(rows[b][1]):
                 x, y = np.array(rows[a][1], float), np.array(rows[b][1], float)
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
                     n[a], n[b] = n[a] + 1, n[b] + 1
@@ -60,9 +60,25 @@ def test_trees_without_spark():
         assert (two.count[:300] == near[:300, 300:].sum(axis=1)).all() and (two.count[300:] == near[:300, 300:].sum(axis=0)).all()
 
 
+def test_levels_prune():
+    """Trees compare few of the pairs of vectors that lie in clusters, link or not, and lose none."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 50, axis=0) + rng.normal(size=(3000, 32)) * 0.004
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = covertree.search(x, np.ones(len(x), dtype=np.int64), np.arange(len(x)), None, 0.95)
+    near = x @ x.T >= 0.95
+    assert (found.count == near.sum(axis=1) - 1).all() and found.compared < 0.05 * len(x) ** 2 / 2
+    tree = covertree.Tree(x, np.arange(len(x)), 0.316)
+    for k, children in enumerate(tree.children):
+        assert sorted(p for c in children for p in tree.points[c].tolist()) == (sorted(tree.points[k].tolist()) if children else [])
+        assert np.sqrt(((x[tree.points[k]] - x[tree.centre[k]]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-6
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (None, [1.0, 0.01]), (9, []), (8, [-1.0, -0.0]), (10, [1e-30, 0.0])]
+    rows += [(20, [1.0, 0.0, 0.0]), (21, [5.0, 0.0, 0.1]), (22, [0.0, 1.0, 0.0]), (23, [1.0, 0.0, 0.0]), (24, [3.0]), (25, [-2.0]), (26, [1.0])]
     df = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "vec_id long, embedding array<float>, node string, v string, n_links int")
     got = covertree.near_duplicates(df).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows)
