@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_map, id_and_text, table, utf8
+from .common import arrow_map, id_and_text, table, text_of, utf8
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Texts of more characters are cut into pieces of about this many before the tokenizer sees them.
@@ -20,8 +20,9 @@ PIECE_CHARS = 16_384
 #: Ids are ordinary text's only: no special token is ever recognised.
 IDS = T.ArrayType(T.IntegerType(), False)
 
-#: No match of a byte-level pattern goes over these places, whatever stands around them: white space follows something else, or
-#: a letter and a digit meet. Each alternative takes white space only at its start, and never letters and digits together.
+#: No match of the default pattern goes over these places, whatever stands around them: white space follows something else, or
+#: a letter and a digit meet. Each of its alternatives takes white space only at its start, and never letters and digits together.
+#: That need not hold for other patterns, by which texts are encoded whole.
 SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
 
@@ -54,9 +55,9 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 
 
 def encode(text: str, rank_path: str, pattern: str) -> list[int]:
-    """Token ids of a text, as the tiktoken library gives them for the whole text at once."""
+    """Token ids of a text, as the tiktoken library gives them for the whole text at once; only by the default pattern is it cut."""
     enc = encoding(rank_path, pattern)
-    if len(text) <= PIECE_CHARS:
+    if len(text) <= PIECE_CHARS or pattern != default_ranks()[1]:
         return enc.encode_ordinary(text)
     return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
 
@@ -73,7 +74,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [encode(x or "", path, pat) for x in batch.column(1).to_pylist()]
+            ids = [encode(text_of(x), path, pat) for x in utf8(batch.column(1))]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = pa.array((i for x in ids for i in x), pa.int32())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[id_col, "ids"])
@@ -103,7 +104,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (the decoded bytes are the text's), and with keep_ids the ids.
 
     Null and empty texts have no tokens and the digests of nothing. Long texts are cut at safe places only, so their ids are
-    those of the whole text. Repeated rows give repeated results; other columns of docs aren't read.
+    those of the whole text. Bytes that aren't UTF-8 are encoded as U+FFFD, so such a text isn't lossless. Repeated rows give repeated results; other columns of docs aren't read.
     """
     path, pat = (rank_path, pattern) if rank_path and pattern else default_ranks()
     source = id_and_text(docs, id_col, text_col)
@@ -123,7 +124,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, of_ids, of_bytes, same, kept = [], [], [], [], []
             for raw in utf8(batch.column(1)):
-                ids = encode(raw.decode("utf-8"), path, pat)
+                ids = encode(text_of(raw), path, pat)
                 back = enc.decode_bytes(ids)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())

@@ -68,6 +68,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_of(raw: bytes) -> str:
+    """A text's characters; bytes that aren't UTF-8, which a string column may hold, become U+FFFD."""
+    return raw.decode("utf-8", "replace")
+
+
 def merge_labels(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the sets of a[i] and b[i]; parent[x] <= x, and in the result every entry is its set's smallest member."""
     while len(a):

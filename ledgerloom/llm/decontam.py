@@ -4,74 +4,134 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, id_and_text, table, utf8
+from .common import arrow_map, id_and_text, table, text_of, utf8
 
 WINDOW = 10
 #: Words of a block in the shift table.
 BLOCK = 2
 #: Bytes of test texts that are sent to the executors at once; a larger test set is searched for in several passes.
 PASS_BYTES = 16_000_000
+MASK = (1 << 64) - 1
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words_of(raw: bytes) -> list[str]:
     """Words of a text in UTF-8; bytes.lower() changes A-Z only."""
-    return WORD.findall(raw.lower().decode("utf-8"))
+    return WORD.findall(text_of(raw.lower()))
 
 
 class WuManber:
-    """Occurrences of word sequences of one length.
+    """Occurrences of word sequences of one length m: the windows of given items.
 
     A text is read in windows of m words. The window's last BLOCK words give the shift: how far the window may move without
-    skipping a place at which a pattern could stand. At shift 0 the same block names a bucket of patterns, which are compared
-    word by word. Patterns of a single word have blocks of one word.
+    skipping a place at which a pattern could stand; blocks of one hash share an entry, which holds their least shift. At shift 0
+    the block's bucket and the hash of the whole window select the patterns, which are compared word by word.
+
+    Words are numbers, an item's words lie in one flat array, and a pattern is its place there, so that a window costs about 30
+    bytes however many others overlap it. Items of fewer words than m are left out.
     """
 
-    def __init__(self, patterns: dict[tuple[str, ...], set]):
-        self.m = m = len(next(iter(patterns)))
-        self.block = b = min(BLOCK, m)
-        self.far = m - b + 1
-        self.shift: dict[str, int] = {}
-        self.bucket: dict[str, list[tuple[tuple[str, ...], set]]] = defaultdict(list)
-        for pattern, owners in patterns.items():
-            for end in range(b, m + 1):
-                key = " ".join(pattern[end - b : end])
-                self.shift[key] = min(self.shift.get(key, self.far), m - end)
-            self.bucket[" ".join(pattern[m - b :])].append((pattern, owners))
+    def __init__(self, items: list[np.ndarray], owners: list, m: int, vocabulary: dict[str, int]):
+        self.m, self.block, self.vocabulary, self.owners = m, min(BLOCK, m), vocabulary, owners
+        self.far = m - self.block + 1
+        items = [(k, w) for k, w in enumerate(items) if len(w) >= m]
+        sizes = np.array([len(w) for _, w in items])
+        words = np.concatenate([w for _, w in items]).astype(np.int32)
+        begin = np.cumsum(sizes) - sizes
+        inside = np.arange(len(words)) - np.repeat(begin, sizes)  # place in the item
+        left = np.repeat(sizes, sizes) - inside  # words from here to the item's end
+        blocks = left >= self.block
+        self.bits = max(12, int(4 * blocks.sum()).bit_length())
+        hashed = self.hash_blocks(words)
+        shift = np.full(1 << self.bits, min(self.far, 255), dtype=np.uint8)
+        np.minimum.at(shift, hashed[blocks[: len(hashed)].nonzero()[0]], np.minimum(np.maximum(m - self.block - inside[blocks], 0), 255).astype(np.uint8))
+        self.shift = shift.tobytes()
+        at = np.flatnonzero(left >= m)
+        keys = self.keys_of(hashed[at + m - self.block], self.hash_windows(words)[at])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order].astype(np.int32)
+        self.owner = np.repeat(np.array([k for k, _ in items], dtype=np.int32), sizes)[self.at]
+        self.words = words.tobytes()
+
+    def hash_blocks(self, words: np.ndarray) -> np.ndarray:
+        """Bucket of the block that begins at each place."""
+        w = words.astype(np.uint64)
+        if self.block == 2:
+            w = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]
+        return ((w * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def bucket(self, a: int, b: int) -> int:
+        """The same for one block of words a and b, or of b alone."""
+        w = (a * 0x9E3779B97F4A7C15 + b) & MASK if self.block == 2 else b
+        return (w * 0xBF58476D1CE4E5B9 & MASK) >> (64 - self.bits)
+
+    def hash_windows(self, words: np.ndarray) -> np.ndarray:
+        """Hash of the m words from each place on."""
+        out = np.zeros(len(words) - self.m + 1, dtype=np.uint64)
+        for k in range(self.m):
+            out = out * np.uint64(0x100000001B3) + words[k : len(words) - self.m + 1 + k].astype(np.uint64)
+        return out * np.uint64(0x9E3779B97F4A7C15)
+
+    @staticmethod
+    def keys_of(buckets: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return (buckets.astype(np.uint64) << np.uint64(36)) ^ (windows >> np.uint64(28))
 
     def search(self, words: list[str]) -> Iterable[tuple[int, set]]:
         """(start, owners) of each occurrence."""
-        m, b, far, shift, n = self.m, self.block, self.far, self.shift.get, len(words)
-        end = m
+        m, far, shift, n, number = self.m, self.far, self.shift, len(words), self.vocabulary.get
+        two, first, end = self.block == 2, 0, m
         while end <= n:
-            key = words[end - 1] if b == 1 else words[end - 2] + " " + words[end - 1]
-            step = shift(key, far)
+            b = number(words[end - 1], 0)
+            a = number(words[end - 2], 0) if two else 1
+            step = shift[hashed := self.bucket(a, b)] if a and b else far
             if step:
                 end += step
                 continue
-            for pattern, owners in self.bucket[key]:
-                if tuple(words[end - m : end]) == pattern:
-                    yield end - m, owners
+            own = np.array([number(w, 0) for w in words[end - m : end]], dtype=np.int32)
+            if own.all():
+                key = self.keys_of(np.array([hashed]), self.hash_windows(own))
+                first, last = (int(self.keys.searchsorted(key, side)[0]) for side in ("left", "right"))
+                raw = own.tobytes()
+                found = {self.owners[self.owner[k]] for k in range(first, last) if self.words[4 * self.at[k] : 4 * (self.at[k] + m)] == raw}
+                if found:
+                    yield end - m, found
             end += 1
 
 
 def searchers(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> list[WuManber]:
     """One searcher for each pattern length: windows of `window` words, and whole items that are shorter."""
-    by_length: dict[int, dict[tuple[str, ...], set]] = defaultdict(lambda: defaultdict(set))
+    vocabulary: dict[str, int] = {}
+    by_length: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
     for item_id, text in items:
         words = words_of((text or "").encode("utf-8"))
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            by_length[size][tuple(words[i : i + size])].add(item_id)
-    return [WuManber(x) for x in by_length.values()]
+        if words:
+            numbers = np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), dtype=np.int32, count=len(words))
+            own, ids = by_length[min(window, len(words))]
+            own.append(numbers)
+            ids.append(item_id)
+    return [WuManber(own, ids, m, vocabulary) for m, (own, ids) in by_length.items()]
+
+
+_built: dict[str, list[WuManber]] = {}
+
+
+def searchers_of(name: str, items: list, window: int) -> list[WuManber]:
+    """The searchers of a block of the test set; a Python worker builds them once for all its tasks and keeps those of two blocks."""
+    if name not in _built:
+        while len(_built) > 1:
+            del _built[next(iter(_built))]
+        _built[name] = searchers(items, window)
+    return _built[name]
 
 
 def hits(words: list[str], search: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
@@ -120,8 +180,9 @@ def find_contamination(
 
     The test set is the stated query set: its size is summed first, and it is sent to the executors in blocks of bounded size,
     each of which is searched for in all documents. Null and empty texts have no words. Items without words have no windows;
-    an item id that stands in several rows counts once. A null item id counts as the string "null". Docs are mapped where they
-    lie: no shuffle, and a passage that many documents share costs each of them the same.
+    an item id that stands in several rows counts once. Items without an id count as one, listed as null before all others. Bytes
+    of docs that aren't UTF-8 count as U+FFFD. Docs are mapped where they lie: no shuffle, and a passage that many documents share
+    costs each of them the same.
     """
     spark = docs.sparkSession
     blocks = benchmark_blocks(benchmark, item_id_col, item_text_col, pass_bytes)
@@ -131,10 +192,10 @@ def find_contamination(
     none = [F.lit(0).cast("long").alias("n_words"), F.array().cast(state["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items")]
     found = source.select("id", "text", *none)
     for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def make(sent=sent):
-            search = searchers(((i if i is not None else "null", t) for i, t in sent.value), window)
+        def make(sent=sent, name=name):
+            search = searchers_of(name, sent.value, window)
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 counts, spans, items = [], [], []
@@ -143,7 +204,7 @@ def find_contamination(
                     ranges, owners = hits(words, search)
                     counts.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in merged(ranges + [(x["start"], x["end"]) for x in old])])
-                    items.append(sorted(owners.union(had)))
+                    items.append(sorted(owners.union(had), key=lambda i: (i is not None, i)))
                 arrays = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
                 return pa.RecordBatch.from_arrays(arrays, names=state.names)
 
@@ -158,10 +219,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """docs, with all their columns, without the rows in which a window of the test set occurs; nothing is joined or shuffled."""
     at, out = docs.columns.index(text_col), docs
     for block in benchmark_blocks(benchmark, item_id_col, item_text_col, pass_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def make(sent=sent):
-            search = searchers(sent.value, window)
+        def make(sent=sent, name=name):
+            search = searchers_of(name, sent.value, window)
 
             def clean(raw: bytes) -> bool:
                 words = words_of(raw)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, id_and_text, table, utf8
+from .common import arrow_map, id_and_text, table, text_of, utf8
 from .license_texts import TEMPLATES
 
 #: Words of a fingerprint, and fingerprints of a window of which the least is kept. A template of fewer words is one fingerprint.
@@ -196,7 +196,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = Templates(listed)
 
         def of(raw: bytes) -> list[dict]:
-            at = lambda k: len(raw[:k].decode("utf-8"))
+            at = lambda k: len(text_of(raw[:k]))
             return [{"license": lic, "template": name, "coverage": c, "start": at(a), "end": at(b)} for lic, name, c, a, b in scan(raw, own, coverage)]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import default_ranks, encoding
-from .common import arrow_map, id_and_text, table, utf8
+from .common import arrow_map, id_and_text, table, text_of, utf8
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -111,7 +111,7 @@ def random_spans(text: str, runs: list[tuple[int, int]], taken: list[tuple[str,
 
 def scan(raw: bytes, enc, least: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
     """All findings of a UTF-8 text by start, then kind as listed in KINDS."""
-    text = raw.decode("utf-8")
+    text = text_of(raw)
     found, runs = base_spans(text, raw)
     found += random_spans(text, runs, found, enc, least)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -120,10 +120,19 @@ def scan(raw: bytes, enc, least: float = CHARS_PER_TOKEN) -> list[tuple[str, int
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_token: float = CHARS_PER_TOKEN, rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def find_secrets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chars_per_token: float = CHARS_PER_TOKEN,
+    rank_path: str | None = None,
+    pattern: str | None = None,
+) -> DataFrame:
     """Rows (id_col, found) for every row of docs; found: kind, start and end in code points of each finding in the whole text.
 
-    Null and empty texts have none. A run is at most as long as its text, and all runs but known ones are encoded. Rows are mapped where they lie, so repeated rows give repeated results; other columns aren't read.
+    Null and empty texts have none; bytes that aren't UTF-8 count as one character each, U+FFFD. A run is at most as long as its
+    text, and all runs but known ones are encoded. Rows are mapped where they lie, so repeated rows give repeated results; other
+    columns aren't read.
     """
     path, pat = (rank_path, pattern) if rank_path and pattern else default_ranks()
     source = id_and_text(docs, id_col, text_col)

@@ -47,3 +47,13 @@ def test_encode_decode_frames(spark, docs_of):
 
 def test_empty(docs_of):
     assert bpe.round_trip(docs_of([])).count() == 0
+
+
+def test_bytes_that_are_not_utf8_and_other_patterns(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"one \xff two"))], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    r = bpe.round_trip(docs, keep_ids=True).first()
+    path, pattern = bpe.default_ranks()
+    assert not r.lossless and bpe.decode(r.ids, path, pattern) == "one \ufffd two".encode()
+    assert bpe.encode_texts(docs).first().ids == r.ids
+    other, text = r"[a-z]+[ \d]*|.|\s", "ab 12 cd " * 6000
+    assert bpe.encode(text, path, other) == bpe.encoding(path, other).encode_ordinary(text)
