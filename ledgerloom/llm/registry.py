@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_lines": lines.OP1_SQL,
+    "op3_urls": urls.OP3_SQL,
     "op6_covertree": covertree.OP6_SQL,
     "op10_decontamination": decontam.OP10_SQL,
 }

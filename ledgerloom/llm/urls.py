@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, table
 
 # Fixed values: (verdict, host, path) rules.
 RULES = (
@@ -64,15 +64,30 @@ def tokens_of(url: Column) -> Column:
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence, support) from rows (tokens, bad boolean): combinations that go with the bad label more often than
-    bad URLs do among all, pruned by confidence and support, and by dropping those that hold a shorter rule."""
-    items = labelled.where("tokens is not null and size(tokens) > 0").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    bad URLs do among all, pruned by confidence and support, and by dropping those that hold a shorter rule.
+
+    What FP-growth sees is made small first, without changing which minimal rules there are: tokens of too few bad URLs can't be
+    in a rule; a token that is a rule by itself is in no other; and tokens that stand in the same URLs always are one token, for
+    which the least of them stands in longer rules. So any number of equal URLs, however long, adds one token.
+    """
+    rows = cut(labelled.where("tokens is not null and size(tokens) > 0").select("tokens", F.col("bad").cast("int").alias("bad"), F.monotonically_increasing_id().alias("at")))
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not n_bad:
+        return rows.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
+    each = rows.select(F.explode("tokens").alias("token"), "bad", "at")
+    where = [F.sum(F.xxhash64(F.lit(k), "at").cast("decimal(38,0)")).alias(f"w{k}") for k in (0, 1)]
+    counted = cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"), *where).where(F.col("n_bad") >= F.lit(support * n)))
+    is_rule = (F.col("n_bad") / F.col("n") >= confidence) & (F.col("n_bad") / F.col("n") > F.lit(n_bad / n))
+    single = counted.where(is_rule).select(F.array("token").alias("tokens"), (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support"))
+    left = counted.where(~is_rule).groupBy("n", "w0", "w1").agg(F.min("token").alias("token")).select("token")
+    items = each.join(left, "token").groupBy("at").agg(F.collect_set("token").alias("tokens"), F.max("bad").alias("bad"))
+    # URLs without a token left still count as URLs
+    items = rows.select("at", F.col("bad").alias("own")).join(items.drop("bad"), "at", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "own")
+    items = items.select(F.when(F.col("own") > 0, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") > 1)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    # a longer rule holds a shorter one only if it holds all of its tokens: count them by an equi-join on tokens
-    short = found.select(F.col("tokens").alias("part"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    long = found.select("tokens", F.explode("tokens").alias("token"))
-    holds = long.join(short, "token").where(F.size("tokens") > F.col("n")).groupBy("tokens", "part", "n").count().where("count = n").select("tokens").distinct()
-    return found.join(holds, "tokens", "left_anti")
+    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") > 1))
+    found = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    return single.union(match(found, found, strict=True).where("mined is null").drop("mined"))
 
 
 class RuleIndex:
@@ -84,15 +99,16 @@ class RuleIndex:
         for r in rules:
             self.by[min(r, key=lambda t: (held[t], t))].append(frozenset(r))
 
-    def first(self, tokens: list[str]) -> str | None:
-        """The least of the rules that fit, in a fixed order."""
+    def first(self, tokens: list[str], strict: bool = False) -> str | None:
+        """The least of the rules that fit, in a fixed order; strict: of those with fewer tokens."""
         own = set(tokens)
-        fit = [sorted(r) for t in own for r in self.by.get(t, ()) if r <= own]
+        fit = [sorted(r) for t in own for r in self.by.get(t, ()) if (r < own if strict else r <= own)]
         return " ".join(min(fit, key=lambda r: (len(r), r))) if fit else None
 
 
-def match(urls: DataFrame, rules: DataFrame, pass_rules: int = PASS_RULES) -> DataFrame:
-    """Add a column `mined` to rows with a column `tokens`: the tokens of the least mined rule that fits, or null.
+def match(urls: DataFrame, rules: DataFrame, pass_rules: int = PASS_RULES, strict: bool = False) -> DataFrame:
+    """Add a column `mined` to rows with a column `tokens`: the tokens of the least mined rule that fits (strict: and that has fewer
+    tokens), or null.
 
     Rules are counted first and sent in blocks of bounded size; each pass over the rows keeps what earlier ones found.
     """
@@ -112,7 +128,7 @@ def match(urls: DataFrame, rules: DataFrame, pass_rules: int = PASS_RULES) -> Da
             index = RuleIndex(sent.value)
             for batch in batches:
                 had = batch.column(batch.num_columns - 1).to_pylist()
-                new = [index.first(x or []) for x in batch.column(at).to_pylist()]
+                new = [index.first(x or [], strict) for x in batch.column(at).to_pylist()]
                 both = [min((x for x in p if x is not None), key=lambda x: (x.count(" "), x), default=None) for p in zip(had, new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, pa.string())], names=schema.names)
 
@@ -142,3 +158,20 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
 def op3_urls(spark, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("toxic") > 0) | (F.col("quality") == 0)).alias("bad"))
     return judge(table(spark, sf_dir, "pages"), labels)
+
+
+#: The fixed rules in SQL. No combination of tokens reaches the confidence in tables whose labels don't depend on URLs, so `mined` is null.
+OP3_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict FROM cut, rules
+  WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS mined
+FROM cut LEFT JOIN fits USING (page_id)
+"""

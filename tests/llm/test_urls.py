@@ -1,3 +1,7 @@
+import random
+import re
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import urls
@@ -45,6 +49,38 @@ def test_mined_rules(spark):
     assert {r.page_id for r in urls.judge(pages, known).collect() if r.verdict == "block"} == {i for i in range(600) if i % 6 == 0}
 
 
+def test_equal_long_urls(spark):
+    """20 equal bad URLs of 25 tokens among 1000: one rule for them, and no search through their combinations."""
+    tokens = [f"t{k}" for k in range(25)]
+    rows = [(tokens, True)] * 20 + [([f"x{i % 90}", "com"], i % 40 == 0) for i in range(980)]
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert sorted(r.tokens for r in got) == [[t] for t in sorted(tokens)] and all(r.confidence == 1 and r.support == 0.02 for r in got)
+    mixed = [(tokens, i % 2 == 0) for i in range(40)] + [([*tokens, "bait"], True) for _ in range(20)] + [(["com", "bait"], False) for _ in range(940)]
+    assert [r.tokens for r in urls.mine(spark.createDataFrame(mixed, "tokens array<string>, bad boolean")).collect()] == [["bait", "t0"]]
+
+
+def brute_rules(rows, support, confidence):
+    """Minimal combinations by trying all of them."""
+    n, share = len(rows), sum(bad for _, bad in rows) / len(rows)
+    out = []
+    for size in range(1, 5):
+        for combo in sorted({c for t, _ in rows for c in combinations(sorted(t), size)}):
+            held = [bad for t, bad in rows if set(combo) <= set(t)]
+            if sum(held) >= support * n and sum(held) / len(held) >= confidence and sum(held) / len(held) > share and not any(set(r) < set(combo) for r in out):
+                out.append(combo)
+    return out
+
+
+def test_mining_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(sorted(rng.sample("abcdefgh", rng.randint(0, 4))), False) for _ in range(300)]
+    rows = [(t, {"a", "b"} <= set(t) or {"c", "d", "e"} <= set(t) or rng.random() < 0.05) for t, _ in rows]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    rows = [r for r in rows if r[0]]
+    got = sorted(tuple(r.tokens) for r in urls.mine(labelled, 0.02, 0.8).collect())
+    assert got == sorted(brute_rules(rows, 0.02, 0.8)) and len(got) >= 2
+
+
 def test_rules_in_passes(spark):
     rules = spark.createDataFrame([([f"t{i}", f"t{i + 1}"],) for i in range(50)], "tokens array<string>")
     pages = spark.createDataFrame([(i, [f"t{i}", f"t{i + 1}", "x"]) for i in range(60)] + [(99, None)], "id long, tokens array<string>")
@@ -55,3 +91,10 @@ def test_rules_in_passes(spark):
 def test_query(spark, sf_dir):
     got = urls.op3_urls(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and {r.verdict for r in got} <= {"allow", "block"}
+    for r, (url,) in zip(sorted(got), spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").select("url").collect(), strict=True):
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fits = [(v, h, p) for v, h, p in urls.RULES if ("." + host.lower()).endswith("." + h) and path.startswith(p)]
+        best = max(fits, key=lambda x: len(x[1] + x[2]), default=("allow", None, None))
+        assert (r.host, r.path, r.rule) == (host.lower(), path, best[1] and best[1] + best[2]) and (r.verdict == best[0] or r.mined), r
