@@ -38,7 +38,7 @@ def of_word(word: bytes) -> tuple[int, ...]:
         marks = word.replace(core, b"", 1) if core else word
         out = [bucket(b"w " + core.decode("utf-8", "replace").lower().encode())] if core else []
         if len(marks) > 1 or marks and marks not in b".,;:!?":
-            out.append(bucket(b"m " + marks[:8]))
+            out.append(bucket(b"m " + marks))
         if len(_known) > REMEMBERED:
             _known.clear()
         got = _known[word] = tuple(out)
@@ -128,11 +128,13 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = 3, fit_rows: int =
     """Fit on at most fit_rows labelled rows of docs. grades: (id, grade); an id with several has the least. None if there is
     nothing to learn: fewer than two grades among the rows.
 
-    The sample's ids (fit_rows rows at most) are broadcast; only its rows' features, not texts, come to the driver.
+    The sample's ids (fit_rows rows at most) are broadcast; only its rows' features, not texts, come to the driver. Of rows with
+    one id the least text is used, so the rows are bounded as well as the ids.
     """
     chosen = grades.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("grade", "text")
+    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id").agg(F.min("grade").alias("grade"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("grade", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

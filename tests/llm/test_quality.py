@@ -37,6 +37,59 @@ def test_gradient():
     assert np.allclose(tails, [(grades > 0).mean(), (grades > 1).mean()], atol=0.02)
 
 
+def test_against_a_plain_optimiser():
+    """The penalised likelihood that fit() reaches is that of small plain steps on the same objective."""
+    rng = np.random.default_rng(7)
+    rows = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(400)]
+    true = rng.normal(size=12) * 2
+    z = np.array([true[x].sum() for x in rows]) + rng.logistic(size=400)
+    grades, l1 = (z > -1).astype(int) + (z > 1.5), 2e-3
+
+    def loss(w, cuts):
+        z = np.array([w[x].sum() for x in rows])
+        tail = np.stack([np.ones(400), *(quality.sigmoid(z - c) for c in cuts), np.zeros(400)])
+        at = np.arange(400)
+        return -np.log(tail[grades, at] - tail[grades + 1, at]).mean() + l1 * np.abs(w).sum()
+
+    model = quality.fit(rows, grades, 3, l1=l1)
+    best, w, cuts, step = np.inf, np.zeros(12), np.array([-1.0, 1.0]), 0.5
+    while step > 1e-4:  # coordinate search
+        before = best
+        for k in range(14):
+            for d in (step, -step):
+                w2, c2 = w.copy(), cuts.copy()
+                (w2 if k < 12 else c2)[k if k < 12 else k - 12] += d
+                if c2[0] < c2[1] and (got := loss(w2, c2)) < best:
+                    best, w, cuts = got, w2, c2
+        step = step if best < before - 1e-9 else step / 2
+    assert loss(model.weights[:12].astype(float), model.cuts) < best + 2e-3
+
+
+def test_repeated_ids_are_bounded(spark):
+    docs = spark.range(30_000).selectExpr("cast(1 as bigint) as doc_id", "concat('idiot word', id) as text").union(spark.sql("select 2L, 'fine words stand here'"))
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    fitted = quality.fit
+    try:
+        quality.fit = lambda rows, grades, n: seen.append(len(rows)) or fitted(rows, grades, n, rounds=2)
+        assert quality.train(docs, quality.graded(labels), fit_rows=2) is not None
+    finally:
+        quality.fit = fitted
+    assert seen == [2]
+
+
+def test_query_against_plain_scoring(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    model = quality.train(read("documents"), quality.graded(read("labels")))
+    texts = {r.doc_id: r.text for r in read("documents").collect()}
+    got = quality.op5_ordinal(spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        total = sum(float(model.weights[b]) for b in quality.features(texts[r.doc_id].encode()))
+        tails = [1 / (1 + np.exp(c - total)) for c in model.cuts]
+        assert abs(r.expected_grade - sum(tails)) < 1e-4 and abs(r.tail_prob - tails[-1]) < 1e-4 and r.kept == (r.tail_prob >= 0.5)
+
+
 def test_frames(spark, docs_of, prose):
     rows = graded_texts(prose, 150, 0)
     docs = docs_of([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, prose(50_000, 3)), (None, "x"), (0, rows[0][1])])
@@ -69,4 +122,4 @@ def test_on_the_documents(spark):
     found = quality.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id")
     clean, toxic = F.expr("quality = 1 and toxic = 0"), F.expr("toxic = 1")
     r = found.agg(F.avg(F.when(clean, F.col("kept").cast("int"))).alias("clean"), F.avg(F.when(toxic, F.col("kept").cast("int"))).alias("toxic")).first()
-    assert r.clean > 0.9 and r.toxic < 0.75, r
+    assert r.clean > 0.97 and r.toxic < 0.5, r
