@@ -52,13 +52,18 @@ def by_hash(col: Column, bits: int = BITS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(col.cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int")
 
 
-def by_log(col: Column, bits: int = BITS) -> Column:
-    """A size's coordinate: its power of two, the grid's last for all above it; null counts as nothing."""
-    return F.least(F.floor(F.log2(F.greatest(F.coalesce(col, F.lit(0)), F.lit(0)) + 1.0)), F.lit((1 << bits) - 1)).cast("int")
+def by_quantile(docs: DataFrame, col: Column, bits: int = BITS) -> Column:
+    """A number's coordinate: how many of 2 ** bits - 1 quantiles of docs are below it, so that the grid's rows are about even
+    however large the numbers are. Null counts as nothing. The quantiles are taken in Spark; only they come to the driver."""
+    n = 1 << bits
+    value = F.coalesce(col, F.lit(0)).cast("double")
+    cuts = docs.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10_000).alias("c")).first()["c"] or []
+    return sum((F.when(value > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
 
 
-def assign_shards(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """Rows (id_col, size, text_crc32, *dims, h, shard, slot) for every row of docs.
+def assign_shards(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, carry: str | None = None) -> DataFrame:
+    """Rows (id_col, size, text_crc32, *dims, h, shard, slot) for every row of docs; carry: name of a further column that holds the
+    whole row as a struct.
 
     dims: coordinates by name, each from 0 to 2 ** bits - 1. Rows are sorted by curve index, then text, then id, so that equal
     texts of a cell are neighbours, and cut into runs whose row counts differ by one at most; with fewer rows than shards some
@@ -79,6 +84,7 @@ def assign_shards(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS
     rows = docs.select(
         docs[id_col].alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         F.xxhash64(text).alias("text_hash"), *[c.alias(n) for n, c in zip(names, dims.values(), strict=True)], cell.alias("cell"),
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("whole")] if carry else []),
     )
     keyed = cut(rows.join(F.broadcast(curve(spark, len(dims), bits)), "cell"))  # the curve's table has 2 ** (bits * dims) rows
     key = ["h", "text_hash", "id"]
@@ -94,7 +100,7 @@ def assign_shards(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS
     ranked = numbered.withColumn("part", part).join(first, "part").withColumn("rank", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1))
     ranked = ranked.withColumn("shard", F.expr(f"cast(((rank + 1) * {shards} + {max(total, 1)} - 1) div {max(total, 1)} - 1 as int)"))
     slot = F.col("rank") - F.expr(f"(shard * cast({max(total, 1)} as bigint)) div {shards}")
-    return ranked.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), *[F.col(a).alias(b) for a, b in zip(names, dims, strict=True)], "h", "shard", slot.alias("slot"))
+    return ranked.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), *[F.col(a).alias(b) for a, b in zip(names, dims, strict=True)], "h", "shard", slot.alias("slot"), *([F.col("whole").alias(carry)] if carry else []))
 
 
 def manifest(assigned: DataFrame, dims: list[str]) -> DataFrame:
@@ -103,16 +109,19 @@ def manifest(assigned: DataFrame, dims: list[str]) -> DataFrame:
     return assigned.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"), *bounds)
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
-    """Write docs as Parquet under path/shard=K, in slot order; a shard may be written by many tasks."""
-    to = assigned.select(F.col(id_col).alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    joined = docs.join(to, docs[id_col].eqNullSafe(F.col("__id"))).repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
-    out = joined.select(*[joined[c] for c in docs.columns], F.col("__shard").alias("shard"))
-    out.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, dims: dict[str, Column], path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 1_000_000) -> None:
+    """Write docs as Parquet under path/shard=K, each row once, in slot order; a shard may be written by many tasks.
+
+    Whole rows are carried through the sort, as ids may repeat; ranked rows are in order already and aren't shuffled again.
+    """
+    placed = assign_shards(docs, dims, shards, id_col, text_col, carry="__row")
+    out = placed.select(F.col("shard").alias("__shard"), "__row").select("__shard", *[F.col("__row")[c].alias(c) for c in docs.columns])
+    name = "shard" if "shard" not in docs.columns else "__shard"
+    out.withColumnRenamed("__shard", name).write.option("maxRecordsPerFile", rows_per_file).partitionBy(name).parquet(path)
 
 
 def dims_of(docs: DataFrame) -> dict[str, Column]:
-    return {"source": by_hash(docs["source"]), "lang": by_hash(docs["lang"]), "length": by_log(F.octet_length(docs["text"]))}
+    return {"source": by_hash(docs["source"]), "lang": by_hash(docs["lang"]), "length": by_quantile(docs, F.octet_length(docs["text"]))}
 
 
 def op9_hilbert(spark, sf_dir: str) -> DataFrame:

@@ -41,10 +41,20 @@ def test_assign(spark, docs_of, prose, tmp_path):
     out = sharding.assign_shards(docs, sharding.dims_of(docs))
     parts = {r.shard: r for r in sharding.manifest(out, ["source", "lang", "length"]).collect()}
     assert sum(r.n_rows for r in parts.values()) == len(rows) and all(r.min_source <= r.max_source for r in parts.values())
-    named = docs.where("doc_id < 500")
-    sharding.write_shards(named, sharding.assign_shards(named, sharding.dims_of(named), 5), f"{tmp_path}/s")
+    alike = docs.union(docs.where("doc_id in (1, 2)").withColumn("n_chars", F.lit(7)))
+    sharding.write_shards(alike, sharding.dims_of(alike), f"{tmp_path}/s", 5)
     again = spark.read.parquet(f"{tmp_path}/s")
-    assert again.count() == 500 and set(docs.columns) < set(again.columns)
+    assert sorted(map(str, again.select(*docs.columns).collect())) == sorted(map(str, alike.collect())) and again.columns == [*docs.columns, "shard"]
+    counts = [r["count"] for r in again.groupBy("shard").count().collect()]
+    assert len(counts) == 5 and max(counts) - min(counts) <= 1
+
+
+def test_null_dimensions_and_long_texts(docs_of):
+    docs = docs_of([(i, "x" * 2**i if i < 20 else None) for i in range(32)]).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit(None).cast("string"))
+    got = sharding.assign_shards(docs, sharding.dims_of(docs), 4).collect()
+    length = {r.doc_id: r.length for r in got}
+    assert len({r.source for r in got}) == len({r.lang for r in got}) == 1
+    assert [length[i] for i in range(20)] == sorted(length[i] for i in range(20)) and len({length[i] for i in range(14, 20)}) >= 3
 
 
 def test_query(spark, sf_dir):
