@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, copies, decontam, lines, quality
-from ledgerloom.llm.common import table, written
+from ledgerloom.llm.common import delete, table, written_at
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by exact similarity of five-word shingles."""
+    """One document of each group of near copies: SimHash trees and bands give the pairs, exact similarity of five-word shingles decides."""
     return copies.keep_firsts(docs)
 
 
@@ -38,7 +38,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", dedup_lines),
-    ("near-dedup", dedup_near),
+    ("SimHash near-dedup", dedup_near),
     ("benchmark decontamination", decontaminate),
     ("byte-level BPE", tokenize),
 ]
@@ -48,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each written as Parquet in the shared folder and read again; a stage's rows are deleted
+    once the next one's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-stage{k}")
+        docs, path = written_at(stage(spark, docs, sf_dir), f"pipeline-stage{k}")
+        if before:
+            delete(spark, before)
+        before = path
     return docs

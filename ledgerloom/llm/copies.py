@@ -1,4 +1,5 @@
-"""Near copies: texts whose five-word shingles are alike by 0.8, found by min-hash bands and confirmed by exact similarity."""
+"""Near copies: texts whose five-word shingles are alike by 0.8. SimHash trees give most links, min-hash bands those that a radius
+of a few bits doesn't reach, and all are confirmed by exact similarity."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, connected_components, cut, id_and_text, utf8, written
-from .simhash import SEED, only_rows, shingle_hashes
+from .simhash import RADIUS, SEED, fingerprint_of, links, only_rows, shingle_hashes
 
 SHINGLE = 5
 #: Least Jaccard similarity of two texts' shingle sets, as a fraction.
@@ -31,6 +32,15 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(raw, SHINGLE))
 
 
+def simhash_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of classes (cls, fp) to confirm: those of one fingerprint with its least, and the least of linked fingerprints."""
+    least = cut(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    equal = classes.join(least, "fp").where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    found = links(least.select("fp"), radius).select(F.col("a").alias("fp"), F.col("b").alias("fp_b"))
+    found = found.join(least, "fp").select(F.col("least").alias("x"), F.col("fp_b").alias("fp")).join(least, "fp")
+    return equal.union(found.select(F.least("x", "least").alias("a"), F.greatest("x", "least").alias("b")))
+
+
 def bands(h: np.ndarray) -> list[int]:
     """Signed 64-bit keys of a shingle set's bands; an empty set has none."""
     if not len(h):
@@ -72,37 +82,41 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs, with all their columns, with one row of each group of near copies: the first by id (null last), then text hash.
 
-    Groups are the components of all pairs of texts that share a band and are alike by exact shingle similarity. Texts with the
-    same shingles are one class, so copies cost one; texts without words are one class too. Each class is first compared with
-    the least of each of its bands, then, where a band's classes aren't in one group yet, with all of them that aren't in its
-    own. That is quadratic only in texts that share a band without being alike. Of rows alike in id and text any one stays.
+    Groups are the components of all pairs of texts that are linked by the trees of SimHash fingerprints or share a band, and are
+    alike by exact shingle similarity. Texts with the same shingles are one class, so copies cost one; texts without words are
+    one class too. Each class is first compared with its neighbours in the trees and the least of each of its bands, then, where
+    a band's classes aren't in one group yet, with all of them that aren't in its own. That is quadratic only in texts that share
+    a band without being alike. Of rows alike in id and text the least by their other columns stays.
     """
     source = id_and_text(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(x) for x in utf8(batch.column(1))]
+            whole = [shingle_hashes(x, SHINGLE) for x in utf8(batch.column(1))]
+            fp = pa.array(np.array([fingerprint_of(h) for h in whole], dtype=np.uint64).view(np.int64))
+            found = [np.unique(h) for h in whole]
             cls = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
             n = pa.array([len(h) for h in found], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, n, pa.array([bands(h) for h in found], pa.list_(pa.int64()))], names=["id", "text_hash", "cls", "n", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, n, fp, pa.array([bands(h) for h in found], pa.list_(pa.int64()))], names=["id", "text_hash", "cls", "n", "fp", "bands"])
 
         return step
 
-    each = arrow_map(source, make, T.StructType([source.schema["id"], source.schema["text_hash"], T.StructField("cls", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    each = arrow_map(source, make, T.StructType([source.schema["id"], source.schema["text_hash"], T.StructField("cls", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "text_hash")
-    classes = cut(each.groupBy("cls").agg(F.min(rank).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = cut(each.groupBy("cls").agg(F.min(rank).alias("head"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     rows = classes.select("cls", "n", F.explode("bands").alias("band"))
     heads = cut(rows.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "least"))
     met = cut(rows.join(heads, "band"))
-    asked = met.select("cls").distinct().join(classes.select("cls", F.col("head.text_hash").alias("text_hash")), "cls")
+    near_fp = cut(simhash_pairs(classes.select("cls", "fp"), radius))
+    asked = met.select("cls").union(near_fp.select("a")).union(near_fp.select("b")).distinct().join(classes.select("cls", F.col("head.text_hash").alias("text_hash")), "cls")
     texts = written(source.select("text_hash", "text").join(asked, "text_hash").dropDuplicates(["cls"]).select("cls", "text"), "near-copies")
     near = F.expr(f"{OF} * least(n, n_other) >= {ALIKE} * greatest(n, n_other)")
-    star = cut(met.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct())
-    links = cut(confirmed(star, texts))
-    roots = connected_components(links)
+    star = cut(met.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).union(near_fp).distinct())
+    linked = cut(confirmed(star, texts))
+    roots = connected_components(linked)
     rooted = met.join(roots, met["cls"] == roots["node"], "left").select("band", "cls", "n", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
     rest = cut(rooted.join(mixed, "band", "left_semi"))
@@ -110,6 +124,6 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = rest.join(other, "band").where((F.col("cls") < F.col("cls_other")) & (F.col("root") != F.col("root_other")) & near)
     pairs = cut(pairs.select(F.col("cls").alias("a"), F.col("cls_other").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     if pairs.limit(1).count():
-        roots = connected_components(links.union(confirmed(pairs, texts)))
+        roots = connected_components(linked.union(confirmed(pairs, texts)))
     named = classes.join(roots, classes["cls"] == roots["node"], "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("head").alias("head"))
     return only_rows(docs, named.select("head.id", "head.text_hash"), id_col, text_col)

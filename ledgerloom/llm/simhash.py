@@ -41,7 +41,11 @@ def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.n
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of a UTF-8 text."""
-    h = shingle_hashes(raw, shingle, seed)
+    return fingerprint_of(shingle_hashes(raw, shingle, seed))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """SimHash of shingle hashes, repeats included."""
     if not len(h):
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -213,18 +217,21 @@ def _components(each: DataFrame, radius: int, agree: int) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, agree: int = 2) -> DataFrame:
-    """docs, with all their columns, without near-duplicates: one row of each component stays. Of rows alike in id and text that
-    are kept, any one stays."""
+    """docs, with all their columns, without near-duplicates: one row of each component stays."""
     found = _components(cut(fingerprints(docs, id_col, text_col)), radius, agree)
     return only_rows(docs, found.where("kept").select("id", "text_hash"), id_col, text_col)
 
 
 def only_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of docs for each of kept (id, text_hash)."""
+    """One row of docs for each of kept (id, text_hash): of rows alike in both, the least by all columns that have an order."""
     first = kept.select(F.col("id").alias("__ll_id"), F.col("text_hash").alias("__ll_hash")).distinct()
     named = docs.withColumn("__ll_own", F.xxhash64(docs[text_col].cast("string")))
     rows = named.join(first, named[id_col].eqNullSafe(F.col("__ll_id")) & (F.col("__ll_own") == F.col("__ll_hash")), "left_semi")
-    return rows.dropDuplicates([id_col, "__ll_own"]).select(*docs.columns)
+    ordered = [c.name for c in docs.schema.fields if "map<" not in c.dataType.simpleString() and c.name not in (id_col, text_col)]
+    if not ordered:
+        return rows.dropDuplicates([id_col, "__ll_own"]).select(*docs.columns)
+    least = rows.groupBy(id_col, "__ll_own").agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("__ll_row"))
+    return least.select(*[F.col("__ll_row")[c].alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
