@@ -23,17 +23,24 @@ SAMPLE = 4096
 PIECE_ROWS = 8192
 #: Centres or points whose distances are computed by one matrix product.
 BLOCK = 512
-#: Points tried as centres of a net at a time.
-TRIED = 256
+#: Points tried as centres of a net at a time. A net that after the first GIVE_UP of them has more centres than ALONE of the points it
+#: has dealt with gathers nothing: to go on would compute the distances of all pairs, and then the traversal would again.
+TRIED, GIVE_UP, ALONE = 256, 512, 0.7
+#: How far single precision may be off in a cosine: pairs so near the threshold are computed again in double precision.
+SINGLE_SLACK = 1e-4
 #: Added to every bound, so that rounding can only lead to a pair's comparison, not to its loss.
 SLACK = 1e-6
 
 
-def net(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
-    """Groups of points, each within radius of its first one; first points of groups are further than that from each other."""
-    least, out, rest = 1 - radius * radius / 2, [], points
+def net(x: np.ndarray, points: np.ndarray, radius: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """(groups, loose): each group's points lie within radius of its first one, and first points of groups further than that from
+    each other; loose points are those of a net that was given up, and then its groups of one point too."""
+    least, out, rest, dealt = 1 - radius * radius / 2, [], points, 0
     while len(rest):
+        if dealt >= GIVE_UP and len(out) > ALONE * (len(points) - len(rest)):
+            return [g for g in out if len(g) > 1], np.concatenate([*(g for g in out if len(g) == 1), rest])
         tried = rest[:TRIED]
+        dealt += len(tried)
         near = x[tried] @ x[tried].T >= least
         free, chosen = np.ones(len(tried), dtype=bool), []
         for i in range(len(tried)):
@@ -50,14 +57,15 @@ def net(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
         for c, members in zip(tried[chosen], np.split(rest[within][order], ends), strict=True):
             out.append(np.concatenate([[c], members[members != c]]))
         rest = rest[~within]
-    return out
+    return out, rest
 
 
 class Tree:
     """Cover tree: the children of a node of level R are a net of its points of radius R / 2, the first of them at its own centre.
 
-    Levels go down from 2, the sphere's diameter, until a node is a single point or its level is below a quarter of a link. The
-    covering radius of every node is measured over all points below it, not assumed. Nodes are rows of flat arrays.
+    Levels go down from 2, the sphere's diameter, until a node is a single point or its level is below a quarter of a link. Points
+    of a net that gathers nothing are one child without children, whose points are compared by matrix products. The covering
+    radius of every node is measured over all points below it, not assumed. Nodes are rows of flat arrays.
     """
 
     def __init__(self, x: np.ndarray, points: np.ndarray, far: float):
@@ -83,8 +91,12 @@ class Tree:
         return len(self.centre) - 1
 
     def divide(self, x: np.ndarray, node: int, radius: float) -> list[int]:
-        self.children[node] = [self.add(p, node) for p in net(x, self.points[node], radius)]
-        return self.children[node]
+        groups, loose = net(x, self.points[node], radius)
+        if len(loose) == len(self.points[node]):
+            return []
+        divided = [self.add(p, node) for p in groups]
+        self.children[node] = [*divided, *([self.add(loose, node)] if len(loose) else [])]
+        return divided
 
     def below(self, nodes: np.ndarray) -> np.ndarray:
         """The nodes' children; those without any stay."""
@@ -94,7 +106,8 @@ class Tree:
 class Links:
     """Counts and components found so far; dense pairs of nodes are counted without listing their pairs."""
 
-    def __init__(self, weight: np.ndarray):
+    def __init__(self, x: np.ndarray, weight: np.ndarray):
+        self.x32 = x.astype(np.float32)
         self.weight = weight
         self.count = np.zeros(len(weight), dtype=np.int64)
         self.compared = 0  # distances computed, of centres and of points
@@ -119,19 +132,21 @@ class Links:
 
 
 def compare(x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, links: Links) -> None:
-    """Exact comparison of two blocks; a is b for one block with itself."""
+    """Exact comparison of two blocks; a is b for one block with itself. Single precision leaves out what is far from the threshold."""
     same = a is b
+    left, right = links.x32[a], links.x32[b]
     for i in range(0, len(a), BLOCK):
-        p = a[i : i + BLOCK]
         for j in range(i if same else 0, len(b), BLOCK):
-            q = b[j : j + BLOCK]
-            links.compared += len(p) * len(q)
-            near = x[p] @ x[q].T >= threshold
-            if same and i == j:
-                near = np.triu(near, 1)
-            at = np.nonzero(near)
-            if len(at[0]):
-                links.pairs(p[at[0]], q[at[1]])
+            near = left[i : i + BLOCK] @ right[j : j + BLOCK].T >= threshold - SINGLE_SLACK
+            links.compared += near.size
+            if not near.any():
+                continue
+            p, q = np.nonzero(np.triu(near, 1) if same and i == j else near)
+            for k in range(0, len(p), 65_536):
+                u, v = a[i + p[k : k + 65_536]], b[j + q[k : k + 65_536]]
+                hit = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
+                if hit.any():
+                    links.pairs(u[hit], v[hit])
 
 
 def dual(x: np.ndarray, left: Tree, right: Tree, threshold: float, links: Links) -> None:
@@ -193,7 +208,7 @@ def dual(x: np.ndarray, left: Tree, right: Tree, threshold: float, links: Links)
 
 def search(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> Links:
     """Links inside left, or between left and right."""
-    links, far = Links(weight), float(np.sqrt(2 - 2 * threshold))
+    links, far = Links(x, weight), float(np.sqrt(2 - 2 * threshold))
     a = Tree(x, left, far)
     dual(x, a, a if right is None else Tree(x, right, far), threshold, links)
     return links
