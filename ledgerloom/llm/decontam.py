@@ -21,7 +21,8 @@ WINDOW = 10
 BLOCK = 2
 #: Bytes of test texts that are sent to the executors at once; a larger test set is searched for in several passes.
 PASS_BYTES = 16_000_000
-MASK = (1 << 64) - 1
+#: Factors of the hash of a block's two words; with word numbers below 2 ** 31 it fits 64 bits.
+FACTOR_A, FACTOR_B = 0x9E3779B1, 0x85EBCA77
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -64,16 +65,10 @@ class WuManber:
         self.words = words.tobytes()
 
     def hash_blocks(self, words: np.ndarray) -> np.ndarray:
-        """Bucket of the block that begins at each place."""
+        """Bucket of the block that begins at each place: of words a and b, or of b alone (then a is 1)."""
         w = words.astype(np.uint64)
-        if self.block == 2:
-            w = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]
-        return ((w * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def bucket(self, a: int, b: int) -> int:
-        """The same for one block of words a and b, or of b alone."""
-        w = (a * 0x9E3779B97F4A7C15 + b) & MASK if self.block == 2 else b
-        return (w * 0xBF58476D1CE4E5B9 & MASK) >> (64 - self.bits)
+        before, last = (w[:-1], w[1:]) if self.block == 2 else (np.uint64(1), w)
+        return ((before * np.uint64(FACTOR_A) + last * np.uint64(FACTOR_B)) >> np.uint64(7) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def hash_windows(self, words: np.ndarray) -> np.ndarray:
         """Hash of the m words from each place on."""
@@ -89,12 +84,15 @@ class WuManber:
     def search(self, words: list[str]) -> Iterable[tuple[int, set]]:
         """(start, owners) of each occurrence."""
         m, far, shift, n, number = self.m, self.far, self.shift, len(words), self.vocabulary.get
-        two, first, end = self.block == 2, 0, m
+        two, mask, end = self.block == 2, (1 << self.bits) - 1, m
         while end <= n:
-            b = number(words[end - 1], 0)
-            a = number(words[end - 2], 0) if two else 1
-            step = shift[hashed := self.bucket(a, b)] if a and b else far
-            if step:
+            b = number(words[end - 1])
+            a = number(words[end - 2]) if two else 1
+            if a is None or b is None:
+                end += far
+                continue
+            hashed = (a * FACTOR_A + b * FACTOR_B) >> 7 & mask
+            if step := shift[hashed]:
                 end += step
                 continue
             own = np.array([number(w, 0) for w in words[end - m : end]], dtype=np.int32)
