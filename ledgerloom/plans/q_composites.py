@@ -10,11 +10,12 @@ from ..operators.latest import first_by, ranked
 from . import affiliations as AF
 from . import candidates as C
 from . import commands as CM
+from . import discovery as D
 from . import publications as PB
 from .base import fold_sql, query
 from .q_groups import CURRENT_RES, current_resolutions, n_rows
 from .q_lists import QUEUE, latest_observation, roster_resolved
-from .q_scalars import HYPHEN, N0, TITLE_SQL, clean, n2, review_kind
+from .q_scalars import CORRESPONDS, HYPHEN, N0, SURFACE, TITLE_SQL, clean, n2, review_kind
 
 # ---------------------------------------------------------------- candidates
 STRIPPED = f"regexp_replace(full_name, {TITLE_SQL}, '')"
@@ -75,7 +76,7 @@ def evidence_gate(r):
     return C.gate(evidence(r), papers).select("lec_id", "author_id").distinct()
 
 
-KNOWN = "known AS (SELECT o_custkey % 350 AS lec_id, o_orderkey AS known_id, concat('10.1000/', CAST(o_orderkey % 12000 AS VARCHAR)) AS doi FROM orders WHERE o_orderkey % 2 = 0)"
+KNOWN = "known AS (SELECT o_custkey % 350 AS lec_id, o_orderkey AS known_id, concat('10.1000/', CAST(o_orderkey % 12000 AS VARCHAR)) AS doi FROM orders)"
 ENRICHED = f"""
  , {KNOWN}, by_doi AS (SELECT lower(trim(doi)) AS doi, min(pub_id) AS pub_id FROM pub WHERE trim(doi) <> '' GROUP BY 1 HAVING count(*) = 1),
  rec AS (SELECT lec_id, known_id, pub_id FROM known JOIN by_doi USING (doi)), pairs AS (SELECT DISTINCT lec_id, author_id FROM cand)"""
@@ -83,7 +84,7 @@ ENRICHED = f"""
 
 def reconciled(r):
     """Known publications with the one publication of their DOI."""
-    known = r.table("orders").where("o_orderkey % 2 = 0").selectExpr("o_custkey % 350 AS lec_id", "o_orderkey AS known_id", "concat('10.1000/', cast(o_orderkey % 12000 as string)) AS doi")
+    known = r.table("orders").selectExpr("o_custkey % 350 AS lec_id", "o_orderkey AS known_id", "concat('10.1000/', cast(o_orderkey % 12000 as string)) AS doi")
     by_doi = r.pub.select(X.doi_for_matching(F.col("doi")).alias("doi"), "pub_id").where("doi is not null").groupBy("doi").agg(F.min("pub_id").alias("pub_id"), n_rows("n")).where("n = 1")
     return known.join(by_doi.drop("n"), "doi").select("lec_id", "known_id", "pub_id")
 
@@ -94,15 +95,14 @@ def enrich_candidates(r):
     return x.groupBy("lec_id", "author_id", "pub_id").agg(F.min("known_id").alias("known_id"))
 
 
-DISCOVERED = ENRICHED + """
+DISCOVERED = ENRICHED + f"""
  , new AS (SELECT DISTINCT lec_id, author_id, pub_id FROM rec JOIN pa USING (pub_id) ANTI JOIN pairs USING (lec_id, author_id)),
- judged AS (SELECT new.*, lec_id % 4 = author_id % 4 AS anchored FROM new)"""
+ judged AS (SELECT new.*, coalesce({CORRESPONDS}, false) AS anchored FROM new LEFT JOIN (SELECT lec_id, {SURFACE.format(STRIPPED)} AS a FROM lec) USING (lec_id) LEFT JOIN (SELECT author_id, {SURFACE.format('name')} AS b FROM author) USING (author_id))"""
 
 
-@query("discover_candidates", "pub pa cand", DISCOVERED + " SELECT lec_id, author_id, pub_id, CASE WHEN anchored THEN 'DISCOVERED' ELSE 'UNATTRIBUTED' END AS verdict FROM judged")
+@query("discover_candidates", "pub pa cand lec author", DISCOVERED + " SELECT lec_id, author_id, pub_id, CASE WHEN anchored THEN 'DISCOVERED' ELSE 'UNATTRIBUTED' END AS verdict FROM judged")
 def discover_candidates(r):
-    x = reconciled(r).join(r.pa, "pub_id").select("lec_id", "author_id", "pub_id").distinct().join(r.cand, ["lec_id", "author_id"], "left_anti")
-    return x.withColumn("verdict", F.when(F.col("lec_id") % 4 == F.col("author_id") % 4, "DISCOVERED").otherwise("UNATTRIBUTED"))
+    return D.discover(reconciled(r), r.pa, r.lec, r.author, r.cand)
 
 
 @query("prepare_observation", "cand evid", """
@@ -136,11 +136,11 @@ def savepoint_upsert(r):
 @query("normalize_publications", "raw pub", """
  , k AS (SELECT *, validation = 'VALID' AND trim(eid_raw) <> '' AND NOT contains(trim(eid_raw), ' ') AS valid, trim(eid_raw) AS key FROM raw),
  w AS (SELECT *, row_number() OVER (PARTITION BY valid, key ORDER BY row_number, raw_id) AS rk FROM k),
- old AS (SELECT concat('2-s2.0-', CAST(pub_id AS VARCHAR)) AS eid, CASE WHEN pub_id % 2 = 0 THEN concat('TITLE ', CAST(import_id % 40 AS VARCHAR)) ELSE title END AS title FROM pub WHERE pub_id % 3 = 0 AND pub_id < 4000)
+ old AS (SELECT concat('2-s2.0-', CAST(pub_id AS VARCHAR)) AS eid, CASE WHEN pub_id % 2 = 0 THEN concat('TITLE ', CAST(import_id % 40 AS VARCHAR)) ELSE title END AS title FROM pub WHERE pub_id % 3 = 0)
  SELECT raw_id, CASE WHEN valid THEN key END AS eid, CASE WHEN NOT valid THEN 'INVALID_EID' WHEN rk > 1 THEN 'INTRA_DUPLICATE' WHEN old.eid IS NULL THEN 'NEW' WHEN lower(trim(title_raw)) = lower(trim(old.title)) THEN 'EXISTING_UNCHANGED' ELSE 'EXISTING_METADATA_CHANGED' END AS outcome
  FROM w LEFT JOIN old ON valid AND old.eid = w.key""")
 def normalize_publications(r):
-    old = r.pub.where("pub_id % 3 = 0 and pub_id < 4000").selectExpr("concat('2-s2.0-', cast(pub_id as string)) AS eid", "CASE WHEN pub_id % 2 = 0 THEN concat('TITLE ', cast(import_id % 40 as string)) ELSE title END AS title")
+    old = r.pub.where("pub_id % 3 = 0").selectExpr("concat('2-s2.0-', cast(pub_id as string)) AS eid", "CASE WHEN pub_id % 2 = 0 THEN concat('TITLE ', cast(import_id % 40 as string)) ELSE title END AS title")
     return PB.normalize(r.raw, old)
 
 
@@ -337,10 +337,10 @@ def affiliation_blocks(r):
 
 @query("publication_detail", "pub pa author res", """
  , a AS (SELECT pub_id, string_agg(scopus_id, ',' ORDER BY author_order) AS authors FROM pa JOIN author USING (author_id) GROUP BY 1), n AS (SELECT pub_id, count(*) AS n_res FROM res GROUP BY 1)
- SELECT pub_id, title, authors, coalesce(n_res, 0) AS n_res FROM pub LEFT JOIN a USING (pub_id) LEFT JOIN n USING (pub_id) WHERE pub_id < 500""")
+ SELECT pub_id, title, authors, coalesce(n_res, 0) AS n_res FROM pub LEFT JOIN a USING (pub_id) LEFT JOIN n USING (pub_id)""")
 def publication_detail(r):
     a = r.pa.join(r.author, "author_id").groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("author_order", "scopus_id"))).alias("a"))
-    x = r.pub.where("pub_id < 500").join(a, "pub_id", "left").join(r.res.groupBy("pub_id").agg(n_rows("n_res")), "pub_id", "left")
+    x = r.pub.join(a, "pub_id", "left").join(r.res.groupBy("pub_id").agg(n_rows("n_res")), "pub_id", "left")
     return x.select("pub_id", "title", F.array_join("a.scopus_id", ",").alias("authors"), F.coalesce("n_res", F.lit(0)).alias("n_res"))
 
 
@@ -366,7 +366,7 @@ def build_resolution_inputs(r):
 @query("align_paper")
 def align_paper(r):
     """Slots of orders' line items against a list in which some names, places and ORCIDs differ (tested against listed cases)."""
-    slots = r.pa.where("pub_id < 3000").join(r.author, "author_id").select(F.col("pub_id").alias("paper"), "author_order", "scopus_id", F.col("name").alias("full_name"))
+    slots = r.pa.join(r.author, "author_id").select(F.col("pub_id").alias("paper"), "author_order", "scopus_id", F.col("name").alias("full_name"))
     keep = slots.where("paper % 11 <> 0 or author_order <> 3").where("paper % 13 <> 0")
     ext = keep.select("paper", F.col("author_order").alias("position"), F.when(F.col("paper") % 5 == 0, F.concat("full_name", F.lit("x"))).otherwise(F.col("full_name")).alias("name"), F.when(F.col("author_order") % 2 == 0, F.concat(F.lit("o"), "scopus_id")).alias("orcid"), F.lit(None).cast("string").alias("entity_name"), F.lit(None).cast("string").alias("entity_orcid"))
     bridge = r.author.select(F.concat(F.lit("o"), "scopus_id").alias("orcid"), "scopus_id")
@@ -398,7 +398,7 @@ def roster_plan(r):
 
 
 PRESENCE = """
- , caps AS (SELECT user_id % 5 AS scope, event_id AS cap, date_trunc('day', ts) AS instant, event_id % 3 <> 0 AS complete FROM events WHERE event_id % 20 = 0),
+ , caps AS (SELECT user_id % 5 AS scope, event_id AS cap, date_trunc('day', ts) AS instant, event_id % 3 <> 0 AS complete FROM events),
  seen AS (SELECT DISTINCT c.scope, c.cap, instant, complete, k AS claim, k % 7 = 0 AS weak FROM caps c, (SELECT unnest(range(40)) AS k) WHERE (c.cap * 31 + k * 17) % 9 < 4),
  last AS (SELECT scope, max(instant) AS latest FROM caps GROUP BY scope),
  fin AS (SELECT scope, count(*) AS n_latest, bool_and(complete) AS all_complete FROM caps JOIN last USING (scope) WHERE instant = latest GROUP BY scope),
@@ -427,7 +427,7 @@ def presence(captures, seen):
 
 
 def captures(r):
-    caps = r.table("events").where("event_id % 20 = 0").selectExpr("user_id % 5 AS scope", "event_id AS cap", "date_trunc('day', ts) AS instant", "event_id % 3 <> 0 AS complete")
+    caps = r.table("events").selectExpr("user_id % 5 AS scope", "event_id AS cap", "date_trunc('day', ts) AS instant", "event_id % 3 <> 0 AS complete")
     seen = caps.select("scope", "cap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("claim")).where("(cap * 31 + claim * 17) % 9 < 4").withColumn("weak", F.col("claim") % 7 == 0)
     return caps, seen
 

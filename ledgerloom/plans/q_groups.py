@@ -195,9 +195,9 @@ def agg_eval_precision_recall(r):
     return n.select("*", A.ratio(F.col("n_hit"), F.col("n_proposed")).alias("precision_"), A.ratio(F.col("n_hit"), F.col("n_truth")).alias("recall_"))
 
 
-@query("agg_declared_vs_actual", "raw imp", " , d AS (SELECT import_id, moment % 300 AS declared FROM imp WHERE import_id < 70), a AS (SELECT import_id, count(*) AS actual FROM raw GROUP BY 1) SELECT import_id, declared, actual, coalesce(declared = actual, false) AS same FROM d FULL JOIN a USING (import_id)")
+@query("agg_declared_vs_actual", "raw imp", " , d AS (SELECT import_id, moment % 300 AS declared FROM imp), a AS (SELECT import_id, count(*) AS actual FROM raw GROUP BY 1) SELECT import_id, declared, actual, coalesce(declared = actual, false) AS same FROM d FULL JOIN a USING (import_id)")
 def agg_declared_vs_actual(r):
-    d = r.imp.where("import_id < 70").select("import_id", (F.col("moment") % 300).alias("declared"))
+    d = r.imp.select("import_id", (F.col("moment") % 300).alias("declared"))
     a = r.raw.groupBy("import_id").agg(n_rows("actual"))
     return d.join(a, "import_id", "full_outer").withColumn("same", F.coalesce(F.col("declared") == F.col("actual"), F.lit(False)))
 
@@ -408,20 +408,20 @@ def dq_append_only(r):
 
 
 # ---------------------------------------------------------------- set operations
-@query("set_distinct", "pa ident", " SELECT DISTINCT pub_id FROM pa JOIN ident USING (author_id) WHERE lec_id IN (1, 2, 3) AND status = 'APPROVED'")
+@query("set_distinct", "pa ident", " SELECT DISTINCT pub_id FROM pa JOIN ident USING (author_id) WHERE status = 'APPROVED'")
 def set_distinct(r):
-    return r.pa.join(r.ident.where("lec_id in (1, 2, 3) and status = 'APPROVED'"), "author_id").select("pub_id").distinct()
+    return r.pa.join(r.ident.where("status = 'APPROVED'").select("author_id").distinct(), "author_id").select("pub_id").distinct()
 
 
-@query("set_union_ids", "cand ident", " SELECT author_id FROM cand WHERE status IN ('PENDING', 'ACCEPTED') AND lec_id < 20 UNION SELECT author_id FROM ident WHERE status = 'APPROVED' AND lec_id < 20")
+@query("set_union_ids", "cand ident", " SELECT author_id FROM cand WHERE status IN ('PENDING', 'ACCEPTED') UNION SELECT author_id FROM ident WHERE status = 'APPROVED'")
 def set_union_ids(r):
-    return r.cand.where("status in ('PENDING', 'ACCEPTED') and lec_id < 20").select("author_id").union(r.ident.where("status = 'APPROVED' and lec_id < 20").select("author_id")).distinct()
+    return r.cand.where("status in ('PENDING', 'ACCEPTED')").select("author_id").union(r.ident.where("status = 'APPROVED'").select("author_id")).distinct()
 
 
-@query("set_union_all_candidates", "cand ident", " SELECT lec_id, author_id, status, 'name' AS origin FROM cand WHERE lec_id < 20 UNION ALL SELECT lec_id, author_id, NULL, 'discovered' FROM ident WHERE lec_id < 20")
+@query("set_union_all_candidates", "cand ident", " SELECT lec_id, author_id, status, 'name' AS origin FROM cand UNION ALL SELECT lec_id, author_id, NULL, 'discovered' FROM ident")
 def set_union_all_candidates(r):
-    a = r.cand.where("lec_id < 20").select("lec_id", "author_id", "status", F.lit("name").alias("origin"))
-    return a.unionByName(r.ident.where("lec_id < 20").select("lec_id", "author_id", F.lit("discovered").alias("origin")), allowMissingColumns=True)
+    a = r.cand.select("lec_id", "author_id", "status", F.lit("name").alias("origin"))
+    return a.unionByName(r.ident.select("lec_id", "author_id", F.lit("discovered").alias("origin")), allowMissingColumns=True)
 
 
 @query("set_difference_pairs", "cand ident", " SELECT lec_id, author_id FROM ident EXCEPT SELECT lec_id, author_id FROM cand")
@@ -429,9 +429,9 @@ def set_difference_pairs(r):
     return r.ident.select("lec_id", "author_id").subtract(r.cand.select("lec_id", "author_id"))
 
 
-@query("set_absent_from_file", "lec ident", " SELECT lec_id FROM lec WHERE lec_id < 500 EXCEPT SELECT lec_id FROM ident WHERE status = 'PENDING'")
+@query("set_absent_from_file", "lec ident", " SELECT lec_id FROM lec EXCEPT SELECT lec_id FROM ident WHERE status = 'PENDING'")
 def set_absent_from_file(r):
-    return r.lec.where("lec_id < 500").select("lec_id").subtract(r.ident.where("status = 'PENDING'").select("lec_id"))
+    return r.lec.select("lec_id").subtract(r.ident.where("status = 'PENDING'").select("lec_id"))
 
 
 @query("set_intersect_eval", "cand ident", " SELECT lec_id, author_id FROM ident INTERSECT SELECT lec_id, author_id FROM cand")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import filters as P
 from ..operators.latest import excluded, first_by
+from . import discovery
 from .base import fold_sql, query
+from .q_scalars import CORRESPONDS, SURFACE, TITLE_SQL
 
 NULLS_LAST = "desc_nulls_last"
 
@@ -180,9 +182,9 @@ def approved_links(r):
     return x.join(excluded(r.excl), ["lec_id", "pub_id"], "left_anti").select("lec_id", "pub_id", "author_id").distinct()
 
 
-@query("join_approved_links", "pa ident lec excl", APPROVED + " SELECT lec_id, pub_id, author_id FROM links WHERE pub_id < 200")
+@query("join_approved_links", "pa ident lec excl", APPROVED + " SELECT lec_id, pub_id, author_id FROM links")
 def join_approved_links(r):
-    return approved_links(r).where("pub_id < 200")
+    return approved_links(r)
 
 
 @query("join_batch_links", "pa ident lec excl", APPROVED + " SELECT pub_id, count(*) AS n, string_agg(DISTINCT CAST(lec_id AS VARCHAR), ',' ORDER BY CAST(lec_id AS VARCHAR)) AS lecs FROM links GROUP BY pub_id")
@@ -255,9 +257,9 @@ def anti_not_in(r):
 
 @query("anti_not_excluded", "pa ident excl", """
  , gone AS (SELECT lec_id, pub_id FROM (SELECT lec_id, pub_id, max_by(action, seq) AS action FROM excl GROUP BY lec_id, pub_id) WHERE action = 'EXCLUDE')
- SELECT DISTINCT lec_id, pub_id FROM pa JOIN ident USING (author_id) ANTI JOIN gone USING (lec_id, pub_id) WHERE lec_id < 8 AND pub_id < 1500""")
+ SELECT DISTINCT lec_id, pub_id FROM pa JOIN ident USING (author_id) ANTI JOIN gone USING (lec_id, pub_id)""")
 def anti_not_excluded(r):
-    x = r.pa.where("pub_id < 1500").join(r.ident.where("lec_id < 8"), "author_id").select("lec_id", "pub_id").distinct()
+    x = r.pa.join(r.ident.select("author_id", "lec_id").distinct(), "author_id").select("lec_id", "pub_id").distinct()
     return x.join(excluded(r.excl), ["lec_id", "pub_id"], "left_anti")
 
 
@@ -331,10 +333,10 @@ def join_identity_summary(r):
 
 @query("join_candidate_detail", "cand author", """
  SELECT c.cand_id, count(DISTINCT s.cand_id) AS n_siblings, count(DISTINCT h.cand_id) AS n_sharing FROM cand c LEFT JOIN cand s ON s.lec_id = c.lec_id AND s.cand_id <> c.cand_id
- LEFT JOIN cand h ON h.author_id = c.author_id AND h.cand_id <> c.cand_id WHERE c.cand_id < 50 GROUP BY c.cand_id""")
+ LEFT JOIN cand h ON h.author_id = c.author_id AND h.cand_id <> c.cand_id GROUP BY c.cand_id""")
 def join_candidate_detail(r):
     of = lambda key, name: r.cand.groupBy(key).agg((F.count(F.lit(1)) - 1).alias(name))
-    return r.cand.where("cand_id < 50").join(of("lec_id", "n_siblings"), "lec_id").join(of("author_id", "n_sharing"), "author_id").select("cand_id", "n_siblings", "n_sharing")
+    return r.cand.join(of("lec_id", "n_siblings"), "lec_id").join(of("author_id", "n_sharing"), "author_id").select("cand_id", "n_siblings", "n_sharing")
 
 
 @query("join_assignment_check", "lec author", """
@@ -371,12 +373,15 @@ def join_evidence_pairs(r):
     return known.join(r.cand, "lec_id").join(r.pa, ["pub_id", "author_id"]).select("cand_id", "pub_id")
 
 
-@query("join_discovery", "cand pa", """
- , known AS (SELECT DISTINCT c_custkey % 350 AS lec_id, o_orderkey AS pub_id FROM customer JOIN orders ON o_custkey = c_custkey)
- SELECT DISTINCT lec_id, author_id FROM known JOIN pa USING (pub_id) ANTI JOIN cand USING (lec_id, author_id) WHERE author_id % 4 = lec_id % 4""")
+@query("join_discovery", "cand pa lec author", f"""
+ , known AS (SELECT DISTINCT c_custkey % 350 AS lec_id, o_orderkey AS pub_id FROM customer JOIN orders ON o_custkey = c_custkey),
+ new AS (SELECT DISTINCT lec_id, author_id FROM known JOIN pa USING (pub_id) ANTI JOIN cand USING (lec_id, author_id)),
+ named AS (SELECT lec_id, author_id, {SURFACE.format(f"regexp_replace(full_name, {TITLE_SQL}, '')")} AS a, {SURFACE.format('name')} AS b FROM new JOIN lec USING (lec_id) JOIN author USING (author_id))
+ SELECT lec_id, author_id FROM named WHERE {CORRESPONDS}""")
 def join_discovery(r):
     known = r.table("customer").join(r.table("orders"), F.col("o_custkey") == F.col("c_custkey")).select((F.col("c_custkey") % 350).alias("lec_id"), F.col("o_orderkey").alias("pub_id")).distinct()
-    return known.join(r.pa, "pub_id").where("author_id % 4 = lec_id % 4").select("lec_id", "author_id").distinct().join(r.cand, ["lec_id", "author_id"], "left_anti")
+    found = discovery.discover(known, r.pa, r.lec, r.author, r.cand)
+    return found.where("verdict = 'DISCOVERED'").select("lec_id", "author_id").distinct()
 
 
 @query("join_url_unique", "lec", """
@@ -422,11 +427,11 @@ def join_claim_resolve(r):
 
 
 @query("join_slot_lookup", "pub pa author", """
- , slot AS (SELECT l_orderkey AS k, concat('2-s2.0-', lpad(CAST(l_orderkey AS VARCHAR), 10, '0')) AS eid, CAST(57000000000 + l_suppkey AS VARCHAR) AS scopus_id, l_linenumber AS author_order FROM lineitem WHERE l_orderkey < 300),
+ , slot AS (SELECT l_orderkey AS k, concat('2-s2.0-', lpad(CAST(l_orderkey AS VARCHAR), 10, '0')) AS eid, CAST(57000000000 + l_suppkey AS VARCHAR) AS scopus_id, l_linenumber AS author_order FROM lineitem),
  spot AS (SELECT eid, scopus_id, min(author_order) AS found_order FROM pa JOIN pub USING (pub_id) JOIN author USING (author_id) GROUP BY ALL)
  SELECT eid, scopus_id, slot.author_order, CASE WHEN found_order IS NULL THEN 'NO_POSITION' WHEN found_order <> slot.author_order THEN 'ORDER_CHANGED' ELSE 'OK' END AS verdict FROM slot LEFT JOIN spot USING (eid, scopus_id)""")
 def join_slot_lookup(r):
-    slot = r.table("lineitem").where("l_orderkey < 300").selectExpr("concat('2-s2.0-', lpad(cast(l_orderkey as string), 10, '0')) AS eid", "cast(57000000000 + l_suppkey as string) AS scopus_id", "l_linenumber AS author_order")
+    slot = r.table("lineitem").selectExpr("concat('2-s2.0-', lpad(cast(l_orderkey as string), 10, '0')) AS eid", "cast(57000000000 + l_suppkey as string) AS scopus_id", "l_linenumber AS author_order")
     at = r.pa.join(r.pub.select("pub_id", "eid"), "pub_id").join(r.author, "author_id").groupBy("eid", "scopus_id").agg(F.min("author_order").alias("found_order"))
     verdict = F.when(F.col("found_order").isNull(), "NO_POSITION").when(F.col("found_order") != F.col("author_order"), "ORDER_CHANGED").otherwise("OK")
     return slot.join(at, ["eid", "scopus_id"], "left").select("eid", "scopus_id", "author_order", verdict.alias("verdict"))

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .base import fold_sql, query
+from .discovery import GENERIC, corresponds, surface
 
 
 def digest(c):
     return F.sha2(c, 256)
 
 
-N0 = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
-FROM, TO = X.FOLD_FROM + "ð", X.FOLD_TO + "d"
+N0 = "trim(regexp_replace(lower(nfc_normalize({0})), '\\s+', ' ', 'g'))"
 
 
 def n2(c):
-    return f"translate({N0.format(c)}, '{FROM}', '{TO}')"
+    return f"strip_accents(translate({N0.format(c)}, 'đð', 'dd'))"
 
 
 def clean(e, pattern):
@@ -43,7 +43,7 @@ unary("name_token_set", "author", "author_id", "name", X.name_token_set, f"CASE
 unary("title_prefix_has", "lec", "lec_id", "full_name", X.has_title, f"regexp_matches({{0}}, {TITLE_SQL})")
 unary("title_prefix_strip", "lec", "lec_id", "full_name", X.strip_title, f"regexp_replace({{0}}, {TITLE_SQL}, '')")
 unary("core_name", "lec", "lec_id", "full_name", X.core_name, f"trim(regexp_replace(lower(regexp_replace(regexp_replace({{0}}, {TITLE_SQL}, ''), {TITLE_SQL}, '')), '\\s+', ' ', 'g'))")
-TOKENS = f"list_sort(list_filter(regexp_split_to_array(translate(lower(regexp_replace({{0}}, '\\(\\s*\\d+\\s*\\)', ' ', 'g')), '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[^a-z0-9]+'), lambda x: x <> ''))"
+TOKENS = f"list_sort(list_filter(regexp_split_to_array(strip_accents(translate(lower(nfc_normalize(regexp_replace({{0}}, '\\(\\s*\\d+\\s*\\)', ' ', 'g'))), 'đ', 'd')), '[^a-z0-9]+'), lambda x: x <> ''))"
 unary("name_tokens", "lec", "lec_id", "full_name", lambda c: F.array_join(X.name_tokens(c), " "), f"array_to_string({TOKENS}, ' ')")
 unary("normalize_name_variant", "lec", "lec_id", "full_name", X.normalize_name_variant, "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))")
 unary("normalize_eid", "raw", "raw_id", "eid_raw", X.normalize_eid, "CASE WHEN trim({0}) <> '' AND NOT regexp_matches(trim({0}), '[ \\t]') THEN trim({0}) END")
@@ -61,7 +61,7 @@ doi_query("doi_for_matching", X.doi_for_matching, "nullif(trim(regexp_replace(lo
 doi_query("doi_plain", X.doi_plain, "nullif(lower(trim(doi)), '')")
 doi_query("doi_strict", X.doi_strict, "CASE WHEN regexp_full_match(lower(trim(doi)), '10\\.\\d+/\\S+') THEN lower(trim(doi)) END")
 
-unary("norm_email", "lec", "lec_id", "email", X.norm_email, "CASE WHEN regexp_full_match(lower(trim({0})), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN lower(trim({0})) END")
+unary("norm_email", "lec", "lec_id", "email", X.norm_email, "CASE WHEN regexp_full_match(lower(trim({0})), '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{{2,}}') THEN lower(trim({0})) END")
 unary("norm_scopus_id", "author", "author_id", "scopus_id", X.norm_scopus_id, "CASE WHEN regexp_full_match(trim({0}), '\\d{{6,15}}') THEN trim({0}) END")
 unary("split_semicolon", "doc", "doc_id", "text", lambda c: digest(F.array_join(X.split_semicolon(F.translate(c, ".", ";")), "|")), "sha256(array_to_string(list_transform(string_split(regexp_replace(translate({0}, '.', ';'), '(?:\\s*;\\s*)+$', ''), ';'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '|'))")
 unary("split_id_list", "doc", "doc_id", "text", lambda c: digest(F.array_join(X.split_id_list(c), "+")), "sha256(array_to_string(list_filter(regexp_split_to_array({0}, '[\\s,;/|]+'), lambda x: x <> ''), '+'))")
@@ -103,43 +103,29 @@ def names_compatible(r):
     return x.select("lec_id", "author_id", X.names_compatible("full_name", "name").alias("compatible"))
 
 
-@query("romanize_cyrillic")
-def romanize_cyrillic(r):
-    return r.doc.select("doc_id", F.sha2(X.romanize("text"), 256).alias("value"))
-
-
-# Common name tokens that tell nothing about a person.
-GENERIC = (
-    "nguyen tran le pham hoang huynh phan vu vo dang bui do ho ngo duong dinh ly dao doan luong thai trinh cao truong ha van thi duc thanh huu ngoc quang minh xuan kim hai tien cong duy anh"
-).split()
-
+RUSSIAN = "translate(substr(text, 1, 60), 'aeiostnrlmk', 'аеищстнрлжх')"
 
-def surface(c):
-    """struct(surname, tokens) of a name: words of two letters and more, of which the first is the surname's place."""
-    words = F.filter(F.split(F.regexp_replace(X.name_n2(c), "[,-]", " "), " "), lambda w: F.length(w) >= 2)
-    return F.struct(F.try_element_at(words, F.lit(1)).alias("surname"), F.array_distinct(words).alias("tokens"))
 
-
-def corresponds(a, b):
-    """Same surname and a further distinctive token; or the second holds the first's surname and all its distinctive tokens."""
-    common = F.array(*map(F.lit, GENERIC))
-    own = F.array(a["surname"])
-    anchored = (a["surname"] == b["surname"]) & (F.size(F.array_except(F.array_except(F.array_intersect(a["tokens"], b["tokens"]), own), common)) > 0)
-    distinctive = F.array_except(a["tokens"], common)
-    permuted = (a["surname"] != b["surname"]) & (F.size(distinctive) > 0) & (F.size(F.array_except(distinctive, b["tokens"])) == 0) & F.array_contains(b["tokens"], a["surname"])
-    return F.coalesce(anchored | permuted, F.lit(False))
+@query("romanize_cyrillic", "doc", f" SELECT doc_id, replace(replace(replace(translate(replace(lower({RUSSIAN}), 'ß', 'ss'), 'аеистнрл', 'aeistnrl'), 'щ', 'shch'), 'ж', 'zh'), 'х', 'kh') AS value FROM doc")
+def romanize_cyrillic(r):
+    """Texts' first words, some of their letters written as Russian ones."""
+    return r.doc.select("doc_id", X.romanize(F.expr(RUSSIAN)).alias("value"))
 
 
 SURFACE = f"list_filter(string_split({clean(n2('{0}'), '[,-]')}, ' '), lambda w: length(w) >= 2)"
 GENERIC_SQL = "[" + ", ".join(f"'{g}'" for g in GENERIC) + "]"
 
 
+CORRESPONDS = f"""((a[1] = b[1] AND len(list_filter(a, lambda t: list_contains(b, t) AND t <> a[1] AND NOT list_contains({GENERIC_SQL}, t))) > 0)
+  OR (a[1] <> b[1] AND list_contains(b, a[1]) AND len(list_filter(a, lambda t: NOT list_contains({GENERIC_SQL}, t))) > 0
+   AND len(list_filter(a, lambda t: NOT list_contains({GENERIC_SQL}, t) AND NOT list_contains(b, t))) = 0))"""
+
+
 @query("name_correspondence", "lec author", f"""
- , x AS (SELECT lec_id, author_id, {SURFACE.format(f"regexp_replace(full_name, {TITLE_SQL}, '')")} AS a, {SURFACE.format('name')} AS b FROM lec JOIN author ON author_id % 10 = lec_id % 10 WHERE lec_id < 300)
- SELECT lec_id, author_id FROM x WHERE (a[1] = b[1] AND len(list_filter(a, lambda t: list_contains(b, t) AND t <> a[1] AND NOT list_contains({GENERIC_SQL}, t))) > 0)
-  OR (a[1] <> b[1] AND list_contains(b, a[1]) AND len(list_filter(a, lambda t: NOT list_contains({GENERIC_SQL}, t))) > 0 AND len(list_filter(a, lambda t: NOT list_contains({GENERIC_SQL}, t) AND NOT list_contains(b, t))) = 0)""")
+ , x AS (SELECT lec_id, author_id, {SURFACE.format(f"regexp_replace(full_name, {TITLE_SQL}, '')")} AS a, {SURFACE.format('name')} AS b FROM lec JOIN author ON author_id % 10 = lec_id % 10)
+ SELECT lec_id, author_id FROM x WHERE {CORRESPONDS}""")
 def name_correspondence(r):
-    a = r.lec.where("lec_id < 300").select("lec_id", (F.col("lec_id") % 10).alias("k"), surface(X.strip_title(F.col("full_name"))).alias("a"))
+    a = r.lec.select("lec_id", (F.col("lec_id") % 10).alias("k"), surface(X.strip_title(F.col("full_name"))).alias("a"))
     b = r.author.select("author_id", (F.col("author_id") % 10).alias("k"), surface(F.col("name")).alias("b"))
     return a.join(b, "k").where(corresponds(F.col("a"), F.col("b"))).select("lec_id", "author_id")
 
@@ -226,12 +212,12 @@ def is_institution_text(r):
 
 
 @query("evidence_basis", "evid", """
- , x AS (SELECT obs_id % 500 AS ident_id, CASE kind WHEN 'MANUAL' THEN 'ORCID_EXACT' WHEN 'PUBLICATION' THEN 'DOI_EXACT' WHEN 'NAME' THEN 'NAME_SIMILARITY' ELSE 'AFFILIATION_MATCH' END AS t, evid_id % 6 <> 0 AS supports FROM evid WHERE obs_id % 3 = 0),
+ , x AS (SELECT obs_id % 500 AS ident_id, CASE kind WHEN 'MANUAL' THEN 'ORCID_EXACT' WHEN 'PUBLICATION' THEN 'DOI_EXACT' WHEN 'NAME' THEN 'NAME_SIMILARITY' ELSE 'AFFILIATION_MATCH' END AS t, evid_id % 6 <> 0 AS supports FROM evid),
  g AS (SELECT ident_id, count(*) FILTER (t = 'ORCID_EXACT' AND supports) AS a, count(*) FILTER (t = 'DOI_EXACT' AND supports) AS b, count(*) FILTER (t = 'NAME_SIMILARITY' AND supports) AS c, count(*) FILTER (NOT supports) AS d FROM x GROUP BY 1)
  SELECT ident_id, CASE WHEN a > 0 THEN 'IDENTIFIER_SUPPORT' WHEN b > 0 THEN 'PUBLICATION_SUPPORT' WHEN c > 0 THEN 'NAME_ONLY' ELSE 'NO_RECORDED_EVIDENCE' END AS level, a > 0 AND d = 0 AS verified FROM g""")
 def evidence_basis(r):
     kind = F.expr("CASE kind WHEN 'MANUAL' THEN 'ORCID_EXACT' WHEN 'PUBLICATION' THEN 'DOI_EXACT' WHEN 'NAME' THEN 'NAME_SIMILARITY' ELSE 'AFFILIATION_MATCH' END")
-    x = r.evid.where("obs_id % 3 = 0").select((F.col("obs_id") % 500).alias("ident_id"), kind.alias("t"), (F.col("evid_id") % 6 != 0).alias("supports"))
+    x = r.evid.select((F.col("obs_id") % 500).alias("ident_id"), kind.alias("t"), (F.col("evid_id") % 6 != 0).alias("supports"))
     n = lambda *t: F.count_if(F.col("t").isin(*t) & F.col("supports"))
     g = x.groupBy("ident_id").agg(n("ORCID_EXACT").alias("a"), n("DOI_EXACT", "PUBLICATION_OVERLAP", "COAUTHOR_CONFIRMED").alias("b"), n("NAME_SIMILARITY").alias("c"), F.count_if(~F.col("supports")).alias("d"))
     level = F.when(F.col("a") > 0, "IDENTIFIER_SUPPORT").when(F.col("b") > 0, "PUBLICATION_SUPPORT").when(F.col("c") > 0, "NAME_ONLY").otherwise("NO_RECORDED_EVIDENCE")

@@ -106,13 +106,13 @@ def openalex_works(r):
         F.when(F.col("author_id") % 3 == 0, F.array(inst(F.col("author_id")), inst(F.col("author_id") + 1))).otherwise(F.array(inst(F.col("author_id")))).alias("institutions"),
         F.array(F.struct(F.concat(F.lit(" Raw "), F.col("author_id").cast("string")).alias("raw_affiliation_string"), F.array(F.concat(F.lit("I"), F.col("author_id").cast("string")), F.lit("I-gone")).alias("institution_ids"))).alias("affiliations"),
     )
-    works = r.pa.where("pub_id < 3000").groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("author_order", author.alias("a")))).alias("l"))
+    works = r.pa.groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("author_order", author.alias("a")))).alias("l"))
     return works.select(F.col("pub_id").cast("string").alias("query_doi"), F.to_json(F.struct(F.col("l.a").alias("authorships"))).alias("work"))
 
 
 @query("parse_openalex", "pa", """
  SELECT CAST(pub_id AS VARCHAR) AS query_doi, CAST(row_number() OVER (PARTITION BY pub_id ORDER BY author_order) AS INTEGER) AS position_, concat('Name ', author_id) AS name, concat('E', author_id) AS entity_name,
-  concat('Raw ', author_id, ':I', author_id, CASE WHEN author_id % 3 = 0 THEN concat('|:I', author_id + 1) ELSE '' END) AS entries FROM pa WHERE pub_id < 3000""")
+  concat('Raw ', author_id, ':I', author_id, CASE WHEN author_id % 3 = 0 THEN concat('|:I', author_id + 1) ELSE '' END) AS entries FROM pa""")
 def parse_openalex(r):
     entries = F.array_join(F.transform("entries", lambda e: F.concat(F.coalesce(e["raw"], F.lit("")), F.lit(":"), F.array_join(e["orgs"], "+"))), "|")
     return documents.openalex_authors(openalex_works(r)).select("query_doi", F.col("position").alias("position_"), "name", "entity_name", entries.alias("entries"))
@@ -120,7 +120,7 @@ def parse_openalex(r):
 
 @query("parse_crossref", "pa", """
  SELECT CAST(pub_id AS VARCHAR) AS query_doi, CAST(row_number() OVER (PARTITION BY pub_id ORDER BY author_order) AS INTEGER) AS position_, CASE WHEN author_id % 4 = 0 THEN concat('Group ', author_id) ELSE concat('G', author_id, ' F') END AS name,
-  CASE WHEN author_id % 2 = 0 THEN concat('0000-0001-0000-', lpad(CAST(author_id AS VARCHAR), 4, '0')) END AS orcid, 1 AS n_affiliations FROM pa WHERE pub_id < 3000""")
+  CASE WHEN author_id % 2 = 0 THEN concat('0000-0001-0000-', lpad(CAST(author_id AS VARCHAR), 4, '0')) END AS orcid, 1 AS n_affiliations FROM pa""")
 def parse_crossref(r):
     sid = F.col("author_id").cast("string")
     group = F.col("author_id") % 4 == 0
@@ -128,7 +128,7 @@ def parse_crossref(r):
         F.when(~group, F.concat(F.lit("G"), sid)).alias("given"), F.when(~group, "F").alias("family"), F.when(group, F.concat(F.lit("Group "), sid)).alias("name"),
         F.when(F.col("author_id") % 2 == 0, F.concat(F.lit("http://orcid.org/0000-0001-0000-"), F.lpad(sid, 4, "0"))).alias("ORCID"), F.array(F.struct(F.lit(" Uni ").alias("name")), F.struct(F.lit("  ").alias("name"))).alias("affiliation"),
     )
-    works = r.pa.where("pub_id < 3000").groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("author_order", author.alias("a")))).alias("l"))
+    works = r.pa.groupBy("pub_id").agg(F.array_sort(F.collect_list(F.struct("author_order", author.alias("a")))).alias("l"))
     works = works.select(F.col("pub_id").cast("string").alias("query_doi"), F.to_json(F.struct(F.col("l.a").alias("author"))).alias("work"))
     return documents.crossref_authors(works).select("query_doi", F.col("position").alias("position_"), "name", "orcid", F.size("affiliations").alias("n_affiliations"))
 

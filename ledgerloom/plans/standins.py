@@ -6,9 +6,13 @@ from the same relations. Nulls and blanks are put in by fixed rules, as the driv
 
 from __future__ import annotations
 
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A surname with its marks as letters of their own, as some sources write it.
+DECOMPOSED = unicodedata.normalize("NFD", "Trần")
+
 #: name: (table, expressions, grouping)
 RELATIONS: dict[str, tuple[str, list[str], str]] = {
     "pub": ("orders", [
@@ -29,12 +33,12 @@ RELATIONS: dict[str, tuple[str, list[str], str]] = {
     "author": ("supplier", [
         "s_suppkey AS author_id",
         "cast(57000000000 + s_suppkey as string) AS scopus_id",
-        "concat(CASE s_suppkey % 4 WHEN 0 THEN 'Nguyễn' WHEN 1 THEN 'Trần' WHEN 2 THEN 'Lê' ELSE 'Smith' END, CASE WHEN s_suppkey % 3 = 0 THEN ', Văn ' ELSE ' Thị-' END, chr(cast(65 + s_suppkey % 26 as int)), 'nh') AS name",
+        f"concat(CASE s_suppkey % 4 WHEN 0 THEN 'Nguyễn' WHEN 1 THEN CASE WHEN s_suppkey % 8 = 1 THEN '{DECOMPOSED}' ELSE 'Trần' END WHEN 2 THEN 'Lê' ELSE CASE WHEN s_suppkey % 8 = 3 THEN 'Müller' ELSE 'Núñez' END END, CASE WHEN s_suppkey % 3 = 0 THEN ', Văn ' ELSE ' Thị-' END, chr(cast(65 + s_suppkey % 26 as int)), 'nh') AS name",
         "s_nationkey AS org_id",
     ], ""),
     "lec": ("customer", [
         "c_custkey AS lec_id",
-        "concat(CASE c_custkey % 3 WHEN 0 THEN 'TS. ' WHEN 1 THEN 'PGS.TS.  ' ELSE '' END, CASE c_custkey % 4 WHEN 0 THEN 'Nguyễn' WHEN 1 THEN 'TRẦN' WHEN 2 THEN 'Lê' ELSE 'Hoàng' END, CASE WHEN c_custkey % 5 = 0 THEN ' Thị ' ELSE ' Văn ' END, chr(cast(65 + c_custkey % 26 as int)), 'nh') AS full_name",
+        "concat(CASE c_custkey % 3 WHEN 0 THEN 'TS. ' WHEN 1 THEN 'PGS.TS.  ' ELSE '' END, CASE c_custkey % 4 WHEN 0 THEN 'Nguyễn' WHEN 1 THEN 'TRẦN' WHEN 2 THEN 'Lê' ELSE CASE WHEN c_custkey % 8 = 3 THEN 'Muller' WHEN c_custkey % 16 = 7 THEN 'Hoàng' ELSE 'Nuñez' END END, CASE WHEN c_custkey % 5 = 0 THEN ' Thị ' ELSE ' Văn ' END, chr(cast(65 + c_custkey % 26 as int)), 'nh') AS full_name",
         "c_mktsegment AS department",
         "concat('Khoa ', cast(c_nationkey as string)) AS faculty",
         "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('GV', lpad(cast(c_custkey as string), 5, '0')) END AS staff_code",
