@@ -7,25 +7,25 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import shared_dir
 from ..streaming import jobs
 from .base import query
 from .q_groups import n_rows
 
 
-def name():
-    return "drained_" + uuid.uuid4().hex
-
-
 def scratch(r, kind):
     """A folder that driver and executors share."""
-    root = r.spark.conf.get("spark.checkpoint.dir", None) or r.spark.sparkContext.getCheckpointDir()
-    return f"{(root or 'file:/tmp/checkpoints').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_dir(r.spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def drained(r, stream, mode):
+    return jobs.drain(stream, mode, scratch(r, "drained"), scratch(r, "offsets"))
 
 
 @query("stream_latest_state", "", "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stream_latest_state(r):
     log = jobs.parquet_stream(r.spark, r.sf_dir, "events")
-    return jobs.drain(jobs.latest_state(log, ["user_id"], "event_id", "event_type"), "complete", name())
+    return drained(r, jobs.latest_state(log, ["user_id"], "event_id", "event_type"), "complete")
 
 
 def imported(r, rounds=1):
@@ -53,10 +53,10 @@ def stream_recover(r):
     return imported(r, rounds=2).agg(n_rows(), F.countDistinct("raw_id").alias("n_distinct"))
 
 
-@query("stream_resume", "pub", " SELECT pub_id FROM (SELECT pub_id, row_number() OVER (ORDER BY eid) AS k FROM pub WHERE pub_id < 500) WHERE k > 120")
+@query("stream_resume", "pub", " SELECT pub_id FROM (SELECT pub_id, row_number() OVER (ORDER BY eid) AS k FROM pub) WHERE k > 120")
 def stream_resume(r):
     """The rest of an ordered work list after `processed` entries: the list's order is its key, so the rest is a comparison."""
-    todo = r.pub.where("pub_id < 500").select("pub_id", "eid")
+    todo = r.pub.select("pub_id", "eid")
     done = todo.orderBy("eid").limit(120).agg(F.max("eid").alias("last"))
     return todo.where(F.col("eid") > done.scalar()).select("pub_id")
 
@@ -64,7 +64,7 @@ def stream_resume(r):
 @query("stream_dedup_content", "", "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
 def stream_dedup_content(r):
     log = jobs.parquet_stream(r.spark, r.sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    return jobs.drain(jobs.dedup_content(log, "key", "at", "3650 days").select("key"), "append", name()).agg(n_rows())
+    return drained(r, jobs.dedup_content(log, "key", "at", "3650 days").select("key"), "append").agg(n_rows())
 
 
 @query("stream_unread", "", "SELECT e.user_id AS \"user\", event_id % 20 AS report, event_id FROM events e JOIN (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'view' GROUP BY user_id) s ON s.user_id = e.user_id AND event_id > last")
@@ -72,4 +72,4 @@ def stream_unread(r):
     seen = r.table("events").where("event_type = 'view'").groupBy(F.col("user_id").alias("user")).agg(F.max("event_id").alias("last_seen"))
     seen = seen.select("user", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("report"), "last_seen")
     activity = jobs.parquet_stream(r.spark, r.sf_dir, "events").selectExpr("user_id AS user", "event_id % 20 AS report", "event_id AS at")
-    return jobs.drain(jobs.unread(activity, seen), "append", name()).select("user", "report", F.col("at").alias("event_id"))
+    return drained(r, jobs.unread(activity, seen), "append").select("user", "report", F.col("at").alias("event_id"))

@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,9 +59,9 @@ def parse_files(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [(path, *x) for x in parse(bytes(content))]
-                for k in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[k : k + 10_000], columns=["path", "row_number", "row_hash", "headers", "row", "error"])
+                rows = ((path, *x) for x in parse(bytes(content)))
+                while part := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "row_number", "row_hash", "headers", "row", "error"])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
@@ -78,5 +79,7 @@ def value_of(name: str):
 def duplicate_candidates(rows: DataFrame) -> DataFrame:
     """Mark rows whose digest or trimmed EID stands in an earlier row of their file."""
     good = rows.where("error is null").withColumn("eid", F.nullif(F.trim(value_of("eid")), F.lit("")))
+    # rows without an EID have a window group each: together they would meet in one task
+    own = F.coalesce(F.concat(F.lit("e"), "eid"), F.concat(F.lit("r"), F.col("row_number").cast("string")))
     seen = lambda key: F.row_number().over(Window.partitionBy("path", key).orderBy("row_number")) > 1
-    return good.withColumn("duplicate", seen("row_hash") | (F.col("eid").isNotNull() & seen("eid")))
+    return good.withColumn("own", own).withColumn("duplicate", seen("row_hash") | seen("own")).drop("own")

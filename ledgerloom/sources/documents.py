@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-CARD = r'(?is)(<article\b[^>]*class="[^"]*gv-card[^"]*"[^>]*>.*?</article>)'
+# The class of profile cards, and the item properties and data attributes that hold their fields.
+CARD_CLASS, LINK, PREFIX, JOB = "gv-card", "url", "honorificPrefix", "jobTitle"
+DEGREE_DATA, RANK_DATA, POSITION_DATA = "degree", "rank", "position"
+
+CARD = rf'(?is)(<article\s(?:[^>]*\s)?class="(?:[^"]*\s)?{CARD_CLASS}(?:\s[^"]*)?"[^>]*>.*?</article>)'
 AUTHORS_OPENALEX = (
     "array<struct<raw_author_name:string,author:struct<id:string,display_name:string,orcid:string>,institutions:array<struct<id:string,display_name:string,ror:string,country_code:string>>,"
     "raw_affiliation_strings:array<string>,affiliations:array<struct<raw_affiliation_string:string,institution_ids:array<string>>>>>"
@@ -39,19 +43,24 @@ def honorific(c: Column) -> Column:
 
 def card_fields(df: DataFrame, card: str = "card") -> DataFrame:
     """Name, link, e-mail, degree, rank and position of a card; attributes of the tag stand in for missing parts."""
-    get = lambda pattern, i=1: F.nullif(F.trim(F.regexp_extract(card, pattern, i)), F.lit(""))
-    prop = lambda key: F.nullif(tagless(F.regexp_extract(card, rf'(?is)\bitemprop="{key}"[^>]*>(.*?)<', 1)), F.lit(""))
-    prefix = honorific(F.coalesce(prop("honorificPrefix"), F.lit("")))
-    attribute = lambda name: F.lower(get(rf'(?i)\bdata-{name}="([^"]*)"'))
+    get = lambda pattern: F.nullif(F.trim(F.regexp_extract(card, pattern, 1)), F.lit(""))
+    inside = lambda key, end: F.nullif(tagless(F.regexp_extract(card, rf'(?is)\sitemprop="{key}"[^>]*>(.*?){end}', 1)), F.lit(""))
+    data = lambda name: get(rf'(?i)\sdata-{name}="([^"]*)"')
+    prefix = honorific(F.coalesce(inside(PREFIX, "<"), F.lit("")))
     degree = F.expr("CASE {0} WHEN 'gs' THEN 'TS' WHEN 'pgs' THEN 'TS' WHEN 'ts' THEN 'TS' WHEN 'ths' THEN 'ThS' WHEN 'ks' THEN 'KS' WHEN 'cn' THEN 'CN' WHEN 'dh' THEN 'CN' END".format("__degree"))
-    anchor = r'(?is)<a\b[^>]*\bitemprop="url"[^>]*>'
-    mail = F.coalesce(get(r'(?i)\bhref="mailto:([^?"]+)[?"]'), get(r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})"))
-    x = df.withColumn("__degree", attribute("degree")).withColumn("__prefix", prefix)
+    link = F.regexp_extract(card, rf'(?is)(<a\s[^>]*\bitemprop="{LINK}"[^>]*>)', 1)  # the link's whole tag; its attributes may stand in any order
+    mail = F.coalesce(get(r'(?i)"mailto:([^"?]+)'), get(r"([\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,})"))
+    x = df.withColumn("__degree", F.lower(data(DEGREE_DATA))).withColumn("__prefix", prefix)
+    rank = F.upper(data(RANK_DATA))
     return x.select(
-        *df.columns, F.nullif(tagless(F.regexp_extract(card, anchor + "(.*?)</a>", 1)), F.lit("")).alias("full_name"), get(r'(?is)<a\b[^>]*\bitemprop="url"[^>]*\bhref="([^"]+)"').alias("profile_url"), F.lower(mail).alias("email"),
-        F.coalesce("__prefix.degree", degree).alias("degree"), F.coalesce("__prefix.rank", F.when(attribute("rank").isin("gs", "pgs"), F.upper(attribute("rank")))).alias("acad_rank"),
-        F.coalesce(get(r'(?i)\bdata-position="([^"]*)"'), prop("jobTitle")).alias("job"),
-    )
+        *df.columns,
+        F.nullif(tagless(F.regexp_extract(card, rf'(?is)<a\s[^>]*\bitemprop="{LINK}"[^>]*>(.*?)</a>', 1)), F.lit("")).alias("full_name"),
+        F.nullif(F.trim(F.regexp_extract(link, r'(?i)\shref="([^"]+)"', 1)), F.lit("")).alias("profile_url"),
+        F.lower(mail).alias("email"),
+        F.coalesce("__prefix.degree", degree).alias("degree"),
+        F.coalesce("__prefix.rank", F.when(rank.isin("GS", "PGS"), rank)).alias("acad_rank"),
+        F.coalesce(data(POSITION_DATA), inside(JOB, "<")).alias("job"),
+    )
 
 
 def openalex_authors(works: DataFrame, work: str = "work") -> DataFrame:
@@ -86,7 +95,7 @@ def bundle(lines: DataFrame) -> DataFrame:
 def orcid_scopus_ids(records: DataFrame) -> DataFrame:
     """(orcid, scopus_id) from records (orcid, ids: array of struct(type, value, url)): value before url, the first that holds an id."""
     e = records.select("orcid", F.explode("ids").alias("e")).where(F.lower(F.trim("e.type")) == "scopus author id")
-    found = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"(?:^|authorId=|\D)(\d{8,12})(?:\D|$)", 1), F.lit(""))
+    found = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"(\d{6,13})", 1), F.lit(""))
     return e.select("orcid", F.coalesce(found("e.value"), found("e.url")).alias("scopus_id")).where("scopus_id is not null").distinct()
 
 

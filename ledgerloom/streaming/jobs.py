@@ -55,11 +55,17 @@ def windowed_counts(stream: DataFrame, at: str, width: str, delay: str, *keys: s
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain(df: DataFrame, mode: str = "append", name: str = "drained") -> DataFrame:
-    """Run a stream over what is there into an in-memory table (tests and small results)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, mode: str, target: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there into Parquet under target, written by the executors, and read it.
+
+    In append mode each batch has a folder of its own, which a second attempt overwrites; in complete mode the last batch holds all.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number if mode == 'append' else 0}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).option("basePath", target).parquet(target).select(*df.columns)
 
 
 def parquet_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -72,4 +72,4 @@ def test_import_again_adds_nothing(spark, tmp_path):
 def test_windowed_counts(spark, tmp_path):
     spark.sql("SELECT timestamp '2024-01-01 00:00:10' + make_interval(0,0,0,0,0,id) AS at, 'k' AS key FROM range(5)").write.parquet(f"{tmp_path}/w")
     stream = spark.readStream.schema("at timestamp, key string").parquet(f"{tmp_path}/w")
-    assert [r.n for r in jobs.drain(jobs.windowed_counts(stream, "at", "2 minutes", "1 minute", "key"), "complete", "windowed").orderBy("window").collect()] == [2, 2, 1]
+    assert [r.n for r in jobs.drain(jobs.windowed_counts(stream, "at", "2 minutes", "1 minute", "key"), "complete", f"{tmp_path}/o", f"{tmp_path}/c").orderBy("window").collect()] == [2, 2, 1]
