@@ -24,6 +24,8 @@ RULES = (
 #: Least part of the labelled URLs that hold a token combination with the bad label, and least part of those holding the
 #: combination that have the label.
 SUPPORT, CONFIDENCE = 0.01, 0.8
+#: Least number of bad URLs that hold a combination, whatever the part: in a few labelled URLs any token stands in bad ones only by chance.
+LEAST_URLS = 10
 #: Rules sent to the executors at once; more are matched in further passes.
 PASS_RULES = 100_000
 BAD = "label=bad"
@@ -62,7 +64,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(host, path, names))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_urls: int = LEAST_URLS) -> DataFrame:
     """Rules (tokens, confidence, support) from rows (tokens, bad boolean): combinations that go with the bad label more often than
     bad URLs do among all, pruned by confidence and support, and by dropping those that hold a shorter rule.
 
@@ -74,6 +76,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     n, n_bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     if not n_bad:
         return rows.select("tokens", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
+    support = max(support, (least_urls - 0.5) / n)
     each = rows.select(F.explode("tokens").alias("token"), "bad", "at")
     where = [F.sum(F.xxhash64(F.lit(k), "at").cast("decimal(38,0)")).alias(f"w{k}") for k in (0, 1)]
     counted = cut(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"), *where).where(F.col("n_bad") >= F.lit(support * n)))
@@ -160,7 +163,8 @@ def op3_urls(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels)
 
 
-#: The fixed rules in SQL. No combination of tokens reaches the confidence in tables whose labels don't depend on URLs, so `mined` is null.
+#: The fixed rules in SQL. No combination of tokens reaches support and confidence in tables whose labels don't depend on URLs, so
+#: `mined` is null there.
 OP3_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
