@@ -23,6 +23,8 @@ BANDS, ROWS = 20, 4
 _RNG = np.random.default_rng(SEED)
 FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+#: Bytes of a band's texts that one task compares with as many others.
+PIECE_BYTES = 16_000_000
 #: Shingles hashed at a time, and texts whose shingles a task remembers.
 SLAB, REMEMBERED = 4096, 64
 
@@ -82,14 +84,80 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def hub_pairs(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with its bands' hubs: a band's hub is chosen by a hash of band and class, so that a class meets
+    as many different hubs as it has bands."""
+    hubs = rooted.groupBy("band").agg(F.min_by("cls", F.xxhash64("cls", "band")).alias("hub"))
+    x = rooted.join(hubs, "band").where("cls <> hub")
+    return x.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
+def edges_between(cls: np.ndarray, root: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a left and a right class that are alike, enough to connect all that are; those in one group are passed over."""
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    of, starts = np.repeat(np.arange(len(sets)), sizes), ends - sizes
+    group = np.unique(root, return_inverse=True)[1]
+    held, out = np.zeros(flat.max() + 1, dtype=bool), []
+    for i in np.flatnonzero(left):
+        own = flat[starts[i] : ends[i]]
+        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
+        ask = right & (group != group[i]) & (OF * small >= ALIKE * large)
+        if not ask.any():
+            continue
+        held[own] = True
+        at = ask[of]
+        both = np.bincount(of[at], weights=held[flat[at]], minlength=len(sets))
+        held[own] = False
+        for j in np.flatnonzero(ask & (OF * both >= ALIKE * (sizes + sizes[i] - both))):
+            if group[j] != group[i]:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def compared_in_bands(rest: DataFrame, texts: DataFrame, piece_bytes: int) -> DataFrame:
+    """Edges (a, b) between classes (band, cls, root) of a band that are alike and in different groups, enough to connect them.
+
+    A band's texts are cut into pieces of bounded size by hash, and each pair of pieces is a task that compares its shingle sets;
+    what moves grows with the texts, not with their pairs.
+    """
+    x = rest.select("band", "cls", "root").join(texts, "cls")
+    sizes = x.groupBy("band").agg(F.ceil(F.sum(F.octet_length("text")) / piece_bytes).cast("int").alias("pieces"))
+    x = x.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.greatest("pieces", F.lit(1))).cast("int"))
+    x = x.select("band", "cls", "root", "text", "own", F.explode(F.sequence(F.lit(0), F.greatest("pieces", F.lit(1)) - 1)).alias("other"))
+    x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        cls = np.array(group.column("cls").to_pylist(), dtype=object)
+        order = np.argsort(cls)
+        cls, root = cls[order], np.array(group.column("root").to_pylist(), dtype=object)[order]
+        own = group.column("own").to_numpy()[order]
+        texts = utf8(group.column("text").combine_chunks())
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        found = edges_between(cls, root, [shingle_set(texts[k]) for k in order], own == i, own == j)
+        return pa.table({"a": pa.array([cls[k] for k, _ in found], pa.binary()), "b": pa.array([cls[k] for _, k in found], pa.binary())})
+
+    return cut(x.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary"))
+
+
+def mixed_bands(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of met, with their groups' roots, of bands whose classes aren't in one group."""
+    rooted = met.join(roots, met["cls"] == roots["node"], "left").select("band", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    return cut(rooted.join(mixed, "band", "left_semi"))
+
+
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs, with all their columns, with one row of each group of near copies: the first by id (null last), then text hash.
 
     Groups are the components of all pairs of texts that are linked by the trees of SimHash fingerprints or share a band, and are
     alike by exact shingle similarity. Texts with the same shingles are one class, so copies cost one; texts without words are
-    one class too. Each class is first compared with its neighbours in the trees and the least of each of its bands, then, where
-    a band's classes aren't in one group yet, with all of them that aren't in its own. That is quadratic only in texts that share
-    a band without being alike. Of rows alike in id and text the least by their other columns stays.
+    one class too. Each class is first compared with its neighbours in the trees and a hub of each of its bands, then, where a
+    band's classes aren't in one group yet, with all of them that aren't in its own, in tasks of bounded size. That takes time,
+    not space, quadratic in texts that share a band without being alike. Of rows alike in id and text the least by their other columns stays.
     """
     source = id_and_text(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash"))
 
@@ -108,22 +176,17 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "text_hash")
     classes = cut(each.groupBy("cls").agg(F.min(rank).alias("head"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     rows = classes.select("cls", "n", F.explode("bands").alias("band"))
-    heads = cut(rows.groupBy("band").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "least"))
-    met = cut(rows.join(heads, "band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
+    met = cut(rows.join(shared, "band", "left_semi"))
     near_fp = cut(simhash_pairs(classes.select("cls", "fp"), radius))
     asked = met.select("cls").union(near_fp.select("a")).union(near_fp.select("b")).distinct().join(classes.select("cls", F.col("head.text_hash").alias("text_hash")), "cls")
     texts = written(source.select("text_hash", "text").join(asked, "text_hash").dropDuplicates(["cls"]).select("cls", "text"), "near-copies")
-    near = F.expr(f"{OF} * least(n, n_other) >= {ALIKE} * greatest(n, n_other)")
-    star = cut(met.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).union(near_fp).distinct())
-    linked = cut(confirmed(star, texts))
+    rooted = met.withColumn("root", F.col("cls"))
+    linked = cut(confirmed(near_fp.distinct(), texts))
+    linked = cut(linked.union(confirmed(hub_pairs(rooted), texts)))
     roots = connected_components(linked)
-    rooted = met.join(roots, met["cls"] == roots["node"], "left").select("band", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    rest = cut(rooted.join(mixed, "band", "left_semi"))
-    other = rest.select("band", F.col("cls").alias("cls_other"), F.col("n").alias("n_other"), F.col("root").alias("root_other"))
-    pairs = rest.join(other, "band").where((F.col("cls") < F.col("cls_other")) & (F.col("root") != F.col("root_other")) & near)
-    pairs = cut(pairs.select(F.col("cls").alias("a"), F.col("cls_other").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    if pairs.limit(1).count():
-        roots = connected_components(linked.union(confirmed(pairs, texts)))
+    rest = mixed_bands(met, roots)
+    if rest.limit(1).count():
+        roots = connected_components(linked.union(compared_in_bands(rest, texts, piece_bytes)))
     named = classes.join(roots, classes["cls"] == roots["node"], "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("head").alias("head"))
     return only_rows(docs, named.select("head.id", "head.text_hash"), id_col, text_col)

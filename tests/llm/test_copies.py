@@ -51,6 +51,9 @@ def test_stage_against_brute_force(spark, docs_of, sf_dir):
     rows += [(3000, "One two"), (3001, "one  TWO"), (3002, ""), (3003, " \n"), (3004, None), (3005, "one two three")]
     rows += [(4000 + k, f"{prose(40, 77)} {prose(60, 900 + k)}") for k in range(20)]
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs_of(rows), sf_dir).collect()) == sorted(brute(sorted(rows)))
+    alone = [(k, f"{prose(70, 77)} {prose(30, 700 + k)}") for k in range(12)]
+    crowd = [*alone, *((100 + k, edited(alone[k][1], 1, k)) for k in range(12))]
+    assert sorted(r.doc_id for r in copies.keep_firsts(docs_of(crowd), piece_bytes=2000).collect()) == sorted(brute(sorted(crowd)))
     # what 4 bits of a SimHash miss
     missed = [edited(base[1], 5, k) for k in range(20)]
     missed = [(k, t) for k, t in enumerate(missed, 1) if (simhash.fingerprint(base[1].encode()) ^ simhash.fingerprint(t.encode())).bit_count() > simhash.RADIUS]
