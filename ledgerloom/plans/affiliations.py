@@ -50,11 +50,11 @@ def decide(positions: DataFrame, current: DataFrame, active: DataFrame) -> DataF
     return x.select(*POSITION, "status", F.array_join("units", " | ").alias("units"), F.when(F.size("units") == 0, F.col("why")).alias("gap_reason"), "admin_reviewed")
 
 
-def withhold(inputs: DataFrame) -> DataFrame:
+def withhold(inputs: DataFrame, keys: list[str] = POSITION) -> DataFrame:
     """Where one source reports a contradiction of ids at a position, trusted links of the others there are withheld."""
-    culprits = inputs.where(F.col("reason").isin(*CONFLICTS)).select(*POSITION).distinct().withColumn("culprit", F.lit(True))
-    x = inputs.join(culprits, POSITION, "left")
-    held = F.col("culprit").isNotNull() & F.col("status").isin(*TRUSTED)
+    culprits = inputs.where(F.col("reason").isin(*CONFLICTS)).select(*keys).distinct().withColumn("culprit", F.lit(True))
+    x = inputs.join(culprits, keys, "left")
+    held = F.col("culprit").isNotNull() & F.coalesce(F.col("status").isin(*TRUSTED), F.lit(False))
     return x.withColumn("held", held).withColumn("reason", F.when(held, "WITHHELD_SOURCE_CONFLICT").otherwise(F.col("reason"))).withColumn("status", F.when(held, "UNRESOLVED").otherwise(F.col("status"))).drop("culprit")
 
 

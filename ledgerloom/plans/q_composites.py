@@ -11,6 +11,7 @@ from . import affiliations as AF
 from . import candidates as C
 from . import commands as CM
 from . import discovery as D
+from . import imports as IM
 from . import publications as PB
 from .base import fold_sql, query
 from .q_groups import CURRENT_RES, current_resolutions, n_rows
@@ -293,28 +294,62 @@ def cross_source_policy(r):
     return AF.withhold(r.res).select("pub_id", "author_order", "res_id", "source", "status", "reason")
 
 
-PLAN = """
- , bad AS (SELECT DISTINCT pub_id, author_order FROM res WHERE reason IN ('ID_CONFLICT', 'ID_AMBIGUOUS', 'POSITION_CLAIMED_BY_OTHER_ID')),
- x AS (SELECT res.*, bad.pub_id IS NOT NULL AND status <> 'UNRESOLVED' AS held, sha256(concat(affiliation, status)) AS sig FROM res LEFT JOIN bad USING (pub_id, author_order)),
- y AS (SELECT x.*, pa.pub_id IS NOT NULL AND x.pub_id % 50 <> 0 AS known, row_number() OVER (PARTITION BY x.pub_id, x.author_order, source, x.pub_id % 50 = 0 ORDER BY created_at, res_id, sig) AS k,
-   first_value(sig) OVER (PARTITION BY x.pub_id, x.author_order, source, x.pub_id % 50 = 0 ORDER BY created_at, res_id, sig) AS first_sig FROM x LEFT JOIN pa USING (pub_id, author_order))
- SELECT res_id, pub_id, author_order, CASE WHEN NOT known THEN 'AUTHOR_POSITION_NOT_FOUND' WHEN k > 1 AND sig = first_sig THEN 'DUPLICATE_INPUT' WHEN k > 1 THEN 'DUPLICATE_KEY_DIFFERENT_CONTENT' WHEN pub_id % 9 = 0 THEN 'REUSED' WHEN held THEN 'WITHHELD_SOURCE_CONFLICT' ELSE 'INSERTED' END AS outcome FROM y"""
-
-
-@query("plan_resolutions", "res pa", PLAN)
+# What an import brings: two sources' resolutions, with faults of every kind; some come twice, some exist already.
+INPUT = [
+    "concat(lpad(cast(pub_id as string), 12, '0'), cast(author_order as string), lpad(cast(res_id as string), 15, '0'), cast(copy as string)) AS seq",
+    "eid",
+    "CASE WHEN res_id % 41 = 0 THEN 'none' ELSE scopus_id END AS scopus_id",
+    "CASE WHEN res_id % 43 = 0 THEN author_order + 1 ELSE author_order END AS author_order",
+    "CASE WHEN res_id % 37 = 0 THEN 'X' WHEN res_id % 2 = 0 THEN ' ' || upper(doi) END AS doi",
+    "source",
+    "concat(source, CASE WHEN res_id % 3 = 0 THEN '1' ELSE '2' END) AS payload_sha256",
+    "CASE WHEN res_id % 53 = 0 THEN 'MAYBE' ELSE status END AS status",
+    "CASE status WHEN 'VERIFIED' THEN 'ORCID_SCOPUS_ID_BRIDGE' WHEN 'CORROBORATED' THEN CASE WHEN res_id % 11 = 0 THEN 'X' ELSE 'POSITION_COUNT_NAME' END END AS method",
+    "CASE WHEN res_id % 13 <> 0 THEN reason END AS reason",
+    "presence",
+    "CASE WHEN res_id % 17 <> 0 THEN author_order END AS position",
+    "CASE WHEN res_id % 7 <> 0 THEN 'o' END AS orcid",
+    "CASE WHEN status <> 'UNRESOLVED' OR res_id % 19 = 0 THEN CASE WHEN copy = 1 AND pub_id % 2 = 0 THEN concat(affiliation, '!') ELSE affiliation END END AS unit",
+    "pub_id * 10 + author_order AS own",
+    "pub_id",
+    "copy",
+]
+SIG = "concat_ws('|', status, coalesce(method, '-'), coalesce(reason, '-'), presence, coalesce(CAST(position AS VARCHAR), '-'), coalesce(orcid, '-'), coalesce({}, '-'))"
+PLAN = f"""
+ , sl AS (SELECT pub_id, author_order, eid, scopus_id, doi FROM pa JOIN author USING (author_id) JOIN pub USING (pub_id)),
+ base AS (SELECT res.*, eid, scopus_id, doi, copy FROM res JOIN sl USING (pub_id, author_order), (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR pub_id % 7 = 0),
+ i AS (SELECT DISTINCT {', '.join(INPUT)} FROM base),
+ bad AS (SELECT DISTINCT eid, scopus_id, author_order FROM i WHERE reason IN ('ID_CONFLICT', 'ID_AMBIGUOUS', 'POSITION_CLAIMED_BY_OTHER_ID')),
+ h AS (SELECT i.*, bad.eid IS NOT NULL AND status IN ('VERIFIED', 'CORROBORATED') AS held FROM i LEFT JOIN bad USING (eid, scopus_id, author_order)),
+ w AS (SELECT * REPLACE (CASE WHEN held THEN 'UNRESOLVED' ELSE status END AS status, CASE WHEN held THEN 'WITHHELD_SOURCE_CONFLICT' ELSE reason END AS reason,
+   CASE WHEN NOT held THEN method END AS method, CASE WHEN NOT held THEN unit END AS unit) FROM h),
+ p AS (SELECT eid, scopus_id, min(pub_id * 10 + author_order) AS pa_id, min(author_order) AS slot_order, min(doi) AS pub_doi FROM sl GROUP BY ALL),
+ e AS (SELECT w.*, pa_id, {SIG.format('unit')} AS sig, CASE
+   WHEN status NOT IN ('VERIFIED', 'CORROBORATED', 'UNRESOLVED') THEN 'INVALID_LINK_STATUS'
+   WHEN status = 'UNRESOLVED' AND unit IS NOT NULL THEN 'UNRESOLVED_WITH_AFFILIATION'
+   WHEN status = 'UNRESOLVED' AND (reason IS NULL OR method IS NOT NULL) THEN 'INVALID_UNRESOLVED'
+   WHEN status <> 'UNRESOLVED' AND method IS DISTINCT FROM CASE status WHEN 'VERIFIED' THEN 'ORCID_SCOPUS_ID_BRIDGE' ELSE 'POSITION_COUNT_NAME' END THEN 'INVALID_LINK_METHOD'
+   WHEN status <> 'UNRESOLVED' AND (reason IS NOT NULL OR position IS NULL) THEN 'INVALID_TRUSTED_LINK'
+   WHEN status = 'VERIFIED' AND orcid IS NULL THEN 'VERIFIED_WITHOUT_IDENTIFIER'
+   WHEN pa_id IS NULL THEN 'AUTHOR_POSITION_NOT_FOUND' WHEN slot_order <> author_order THEN 'AUTHOR_ORDER_MISMATCH'
+   WHEN doi <> '' AND lower(trim(doi)) <> lower(trim(coalesce(pub_doi, ''))) THEN 'DOI_MISMATCH' END AS early FROM w LEFT JOIN p USING (eid, scopus_id)),
+ k AS (SELECT *, first_value(seq) OVER win AS first_seq, first_value(sig) OVER win AS first_sig FROM e WHERE early IS NULL WINDOW win AS (PARTITION BY pa_id, source, payload_sha256 ORDER BY seq)),
+ stored AS (SELECT own AS pa_id, source, payload_sha256, arg_min({SIG.format("CASE WHEN pub_id % 18 = 0 THEN unit || '?' ELSE unit END")}, seq) AS old FROM i WHERE copy = 0 AND pub_id % 9 = 0 GROUP BY 1, 2, 3)
+ SELECT seq, early AS outcome, pa_id, status FROM e WHERE early IS NOT NULL
+ UNION ALL SELECT seq, CASE WHEN seq <> first_seq AND sig = first_sig THEN 'DUPLICATE_INPUT' WHEN seq <> first_seq THEN 'DUPLICATE_KEY_DIFFERENT_CONTENT' WHEN old = sig THEN 'REUSED' WHEN old IS NOT NULL THEN 'EXISTING_DIFFERENT_CONTENT'
+   WHEN held THEN 'WITHHELD_SOURCE_CONFLICT' ELSE 'INSERTED' END, pa_id, status FROM k LEFT JOIN stored USING (pa_id, source, payload_sha256)"""
+
+
+@query("plan_resolutions", "res pa author pub", PLAN)
 def plan_resolutions(r):
-    """Outcome of each input in the order of checks: position, duplicates in the file, what exists already, policy."""
-    from pyspark.sql import Window
-
-    x = AF.withhold(r.res.withColumn("sig", F.sha2(F.concat("affiliation", "status"), 256)))
-    x = x.join(r.pa.where("pub_id % 50 <> 0").select(*AF.POSITION, F.lit(True).alias("known")), AF.POSITION, "left")
-    w = Window.partitionBy(*AF.POSITION, "source", F.col("pub_id") % 50 == 0).orderBy("created_at", "res_id", "sig")
-    x = x.withColumn("k", F.row_number().over(w)).withColumn("first_sig", F.first("sig").over(w))
-    outcome = (
-        F.when(F.col("known").isNull(), "AUTHOR_POSITION_NOT_FOUND").when((F.col("k") > 1) & (F.col("sig") == F.col("first_sig")), "DUPLICATE_INPUT").when(F.col("k") > 1, "DUPLICATE_KEY_DIFFERENT_CONTENT")
-        .when(F.col("pub_id") % 9 == 0, "REUSED").when(F.col("held"), "WITHHELD_SOURCE_CONFLICT").otherwise("INSERTED")
-    )
-    return x.select("res_id", "pub_id", "author_order", outcome.alias("outcome"))
+    places = r.pa.join(r.author, "author_id").join(r.pub, "pub_id").select(*AF.POSITION, "eid", "scopus_id", "doi")
+    base = r.res.join(places, AF.POSITION).withColumn("copy", F.explode(F.expr("CASE WHEN pub_id % 7 = 0 THEN array(0, 1) ELSE array(0) END")))
+    units = lambda c: F.expr(f"CASE WHEN {c} IS NULL THEN array() ELSE array(named_struct('raw_index', 1, 'raw_text', {c}, 'org', cast(null as string))) END")
+    x = base.selectExpr(*INPUT).distinct().withColumns({"retrieved_at": F.current_date(), "work_id": F.lit(None).cast("string"), "source_doi": F.lit(None).cast("string")})
+    old = x.where("copy = 0 and pub_id % 9 = 0").withColumn("entries", units("if(pub_id % 18 = 0, unit || '?', unit)"))
+    old = old.groupBy(F.col("own").alias("pa_id"), "source", "payload_sha256").agg(F.min_by(F.struct(*IM.CONTENT), "seq").alias("c")).select("pa_id", "source", "payload_sha256", "c.*")
+    slots = places.select("eid", "scopus_id", F.expr("pub_id * 10 + author_order").alias("pa_id"), F.col("author_order").alias("slot_order"), F.col("doi").alias("pub_doi"))
+    return IM.plan_resolutions(x.withColumn("entries", units("unit")), slots, old)
 
 
 @query("ensure_orgs", "author org", " SELECT DISTINCT org_id FROM author ANTI JOIN (SELECT org_id FROM org WHERE region_id <> 3) USING (org_id)")
@@ -529,17 +564,30 @@ def rollback_import(r):
     return x.select("pub_id", F.when(F.col("other"), "KEEP").when(F.col("held"), "BLOCKED").otherwise("DELETE").alias("action"))
 
 
-@query("correction_plan", "raw pub imp", """
- , x AS (SELECT pub.pub_id, source_title AS cur, CASE WHEN raw_id % 3 = 0 THEN source_title ELSE concat('Journal ', CAST(raw_id % 4 AS VARCHAR)) END AS new, validation, imp.status, raw_id FROM pub JOIN raw USING (pub_id) JOIN imp ON imp.import_id = raw.import_id),
- n AS (SELECT pub_id, count(*) AS n FROM x GROUP BY 1)
- SELECT raw_id, CASE WHEN coalesce(cur, '') <> 'Journal of Systems' THEN CASE WHEN new <> '' AND cur = new THEN 'ALREADY_CORRECT' ELSE 'NOT_WRONG_VALUE' END WHEN n <> 1 THEN 'PROVENANCE_NOT_1TO1' WHEN status <> 'APPLIED' THEN 'IMPORT_NOT_APPLIED' WHEN validation <> 'VALID' THEN 'RAW_NOT_VALID' WHEN new = cur THEN 'NO_CHANGE' ELSE 'CORRECT' END AS outcome FROM x JOIN n USING (pub_id)""")
+# Records behind publications: some stand behind several, some publications have several or none.
+RECORD = [
+    "raw_id",
+    "to_pub AS pub_id",
+    "CASE WHEN raw_id % 23 = 0 THEN eid_raw ELSE concat(' 2-s2.0-', lpad(cast(to_pub as string), 10, '0')) END AS raw_eid",
+    "CASE WHEN raw_id % 11 = 0 THEN 'x' WHEN raw_id % 2 = 0 THEN concat('2-s2.0-', lpad(cast(to_pub as string), 10, '0')) END AS payload_eid",
+    "CASE WHEN raw_id % 8 = 0 THEN 'Scopus' ELSE ' Journal of Systems' END AS raw_source",
+    "CASE WHEN raw_id % 9 = 0 THEN NULL WHEN raw_id % 10 = 0 THEN 'Journal of Systems ' ELSE concat('Journal ', cast(raw_id % 4 as string)) END AS raw_source_title",
+    "validation",
+    "import_status",
+]
+TO_PUB = "CASE WHEN raw_id % 5 = 0 THEN pub_id ELSE raw_id END"
+
+
+@query("correction_plan", "raw pub imp", f"""
+ , l AS (SELECT raw.*, status AS import_status, unnest(CASE WHEN raw_id % 45 = 1 THEN [{TO_PUB}, raw_id + 1] ELSE [{TO_PUB}] END) AS to_pub FROM raw LEFT JOIN imp USING (import_id)),
+ x AS (SELECT {', '.join(RECORD)} FROM l),
+ y AS (SELECT pub.pub_id AS pid, eid, coalesce(source_title, '') AS cur, trim(coalesce(raw_source_title, '')) AS new, x.*, count(raw_id) OVER (PARTITION BY pub.pub_id) AS links FROM pub LEFT JOIN x ON x.pub_id = pub.pub_id),
+ z AS (SELECT * FROM y LEFT JOIN (SELECT raw_id, count(*) AS raw_links FROM x GROUP BY 1) USING (raw_id)),
+ o AS (SELECT DISTINCT pid AS pub_id, new, CASE WHEN links = 0 THEN 'NO_RAW_SOURCE' WHEN links > 1 THEN 'PROVENANCE_NOT_1TO1' WHEN cur <> 'Journal of Systems' THEN CASE WHEN new <> '' AND cur = new THEN 'ALREADY_CORRECT' ELSE 'NOT_WRONG_VALUE' END
+   WHEN raw_links > 1 THEN 'PROVENANCE_NOT_1TO1' WHEN import_status IS DISTINCT FROM 'APPLIED' THEN 'IMPORT_NOT_APPLIED' WHEN validation <> 'VALID' THEN 'RAW_NOT_VALID' WHEN trim(raw_eid) <> eid OR trim(payload_eid) <> eid THEN 'EID_MISMATCH'
+   WHEN trim(raw_source) <> cur THEN 'STORED_NOT_PROVIDER_VALUE' WHEN new = '' THEN 'SOURCE_TITLE_MISSING' WHEN new = cur THEN 'NO_CHANGE' ELSE 'CORRECT' END AS outcome FROM z WHERE links > 0 OR cur = 'Journal of Systems')
+ SELECT DISTINCT pub_id, outcome, CASE WHEN outcome = 'CORRECT' THEN new END AS new_title FROM o""")
 def correction_plan(r):
-    x = r.pub.join(r.raw.select("raw_id", "pub_id", "import_id", "validation").withColumnRenamed("import_id", "of"), "pub_id").join(r.imp.select(F.col("import_id").alias("of"), "status"), "of")
-    x = x.withColumn("new", F.when(F.col("raw_id") % 3 == 0, F.col("source_title")).otherwise(F.concat(F.lit("Journal "), (F.col("raw_id") % 4).cast("string"))))
-    x = x.join(x.groupBy("pub_id").agg(n_rows()), "pub_id")
-    cur = F.coalesce("source_title", F.lit(""))
-    outcome = (
-        F.when(cur != "Journal of Systems", F.when(F.expr("new <> '' and source_title = new"), "ALREADY_CORRECT").otherwise("NOT_WRONG_VALUE")).when(F.col("n") != 1, "PROVENANCE_NOT_1TO1")
-        .when(F.col("status") != "APPLIED", "IMPORT_NOT_APPLIED").when(F.col("validation") != "VALID", "RAW_NOT_VALID").when(F.col("new") == cur, "NO_CHANGE").otherwise("CORRECT")
-    )
-    return x.select("raw_id", outcome.alias("outcome"))
+    links = r.raw.join(r.imp.select("import_id", F.col("status").alias("import_status")), "import_id", "left")
+    links = links.withColumn("to_pub", F.explode(F.expr(f"CASE WHEN raw_id % 45 = 1 THEN array({TO_PUB}, raw_id + 1) ELSE array({TO_PUB}) END")))
+    return IM.correction_plan(r.pub.select("pub_id", "eid", "source_title"), links.selectExpr(*RECORD), "Journal of Systems")
