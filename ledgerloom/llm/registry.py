@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, covertree, decontam, licenses, lines, quality, secrets, sharding, simhash, urls
+from . import bpe, covertree, decontam, licenses, lines, quality, secrets, sharding, simhash, trie, urls
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_hilbert": sharding.op9_hilbert,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_trie": trie.op11_trie,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_urls": urls.OP3_SQL,
     "op6_covertree": covertree.OP6_SQL,
     "op10_decontamination": decontam.OP10_SQL,
+    "op11_trie": trie.OP11_SQL,
 }
