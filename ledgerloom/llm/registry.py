@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, covertree, decontam, licenses, lines, pii, quality, secrets, sharding, simhash, trie, urls
+from . import bpe, covertree, decontam, licenses, lines, negatives, pii, quality, secrets, sharding, simhash, trie, urls
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_hilbert": sharding.op9_hilbert,
     "op10_decontamination": decontam.op10_decontamination,
     "op11_trie": trie.op11_trie,
+    "op12_negatives": negatives.op12_negatives,
     "op13_pii": pii.op13_pii,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_covertree": covertree.OP6_SQL,
     "op10_decontamination": decontam.OP10_SQL,
     "op11_trie": trie.OP11_SQL,
+    "op12_negatives": negatives.OP12_SQL,
 }
