@@ -28,13 +28,21 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST_CHARS = frozenset({32, 40, 56, 64, 96, 128})
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
+#: Runs joined by dots, of which none needs to be that long.
+DOTTED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)+")
 #: Identifiers: parts that are numbers, very short, or words of one case or in camel case with a short number at the end.
 JOIN = re.compile(r"[+/_=-]+")
 PART = re.compile(r"(?:\d*|[A-Za-z0-9]{1,3}|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,4}|[A-Z]+\d{0,4})\Z")
+#: A word of one case; of RUN_CHARS letters or more it has to pass the token test, as camel case needn't.
+ONE_CASE = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)\d{0,4}\Z")
 #: Least length of a run, and of a stretch inside one.
 RUN_CHARS = 16
-#: A run with fewer characters to a token than this is taken for random.
+#: A run with fewer characters to a token than this is taken for random; long words of one case, and groups of three to five characters
+#: that are joined, at lower figures, as rare words and abbreviations come near the first.
 CHARS_PER_TOKEN = 2.1
+ONE_CASE_LESS, GROUPS_LESS = 0.1, 0.3
+#: Least and greatest length of a group, and characters of all groups of a run.
+GROUP, GROUP_CHARS = (3, 5), 12
 
 
 def base_spans(text: str, raw: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
@@ -51,17 +59,40 @@ def base_spans(text: str, raw: bytes) -> tuple[list[tuple[str, int, int]], list[
     return found, runs
 
 
-def is_known(run: str) -> bool:
+def is_long_word(part: str) -> bool:
+    """A word of one case that is so long that the token test decides."""
+    m = ONE_CASE.match(part)
+    return bool(m) and len(m[1]) >= RUN_CHARS
+
+
+def is_random(x: str, enc, least: float) -> bool:
+    """Too few characters a token for words."""
+    return len(x) < (least - ONE_CASE_LESS * is_long_word(x)) * len(enc.encode_ordinary(x))
+
+
+def is_id(run: str) -> bool:
+    """Digests and UUIDs."""
+    return bool(DIGEST.match(run) and len(run) in DIGEST_CHARS or UUID.match(run))
+
+
+def is_known(run: str, enc, least: float) -> bool:
     """Digests, UUIDs, numbers and identifiers made of words."""
-    return bool(DIGEST.match(run) and len(run) in DIGEST_CHARS or UUID.match(run) or all(PART.match(x) for x in JOIN.split(run)))
+    return is_id(run) or all(PART.match(x) and not (is_long_word(x) and is_random(x, enc, least)) for x in JOIN.split(run))
+
 
+def is_grouped(run: str, enc, least: float) -> bool:
+    """An identifier by its parts, of which those of three to five characters aren't words: such as a serial key."""
+    groups = [x for x in JOIN.split(run) if GROUP[0] <= len(x) <= GROUP[1] and not x.isdigit()]
+    size = sum(map(len, groups))
+    return size >= GROUP_CHARS and 2 * size >= len(run) and size < (least - GROUPS_LESS) * sum(len(enc.encode_ordinary(x)) for x in groups)
 
-def stretches(run: str) -> list[tuple[int, int]]:
+
+def stretches(run: str, enc, least: float) -> list[tuple[int, int]]:
     """Maximal stretches of a run between its known parts of more than three characters, without joining characters around."""
     out, parts = [], [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", run)]
     at = None
     for a, b in parts:
-        if b - a > 3 and is_known(run[a:b]):
+        if b - a > 3 and is_known(run[a:b], enc, least):
             at = None
         elif at is None:
             at = a
@@ -74,8 +105,8 @@ def stretches(run: str) -> list[tuple[int, int]]:
 def dense_spans(run: str, enc, least: float) -> list[tuple[int, int]]:
     """A run's stretches and, where one isn't low in characters a token as a whole, its parts and its tokens' densest stretch."""
     out = []
-    low = lambda x: len(x) >= RUN_CHARS and not is_known(x) and len(x) < least * len(enc.encode_ordinary(x))
-    for a, b in stretches(run):
+    low = lambda x: len(x) >= RUN_CHARS and not is_known(x, enc, least) and is_random(x, enc, least)
+    for a, b in stretches(run, enc, least):
         if low(run[a:b]):
             out.append((a, b))
             continue
@@ -95,17 +126,27 @@ def dense_spans(run: str, enc, least: float) -> list[tuple[int, int]]:
 
 
 def random_spans(text: str, runs: list[tuple[int, int]], taken: list[tuple[str, int, int]], enc, least: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
-    """Runs of few characters a token, or else such stretches inside them, that no base finding overlaps."""
+    """Runs of few characters a token, or else such stretches inside them or across dots, that no base finding overlaps."""
     out = []
+    free = lambda x, y: not any(s < y and x < e for _, s, e in taken)
     for a, b in runs:
         run = text[a:b]
-        if is_known(run):
-            continue
-        free = lambda x, y: not any(s < y and x < e for _, s, e in taken)
-        if free(a, b) and len(run) < least * len(enc.encode_ordinary(run)):
+        if is_known(run, enc, least):
+            if free(a, b) and not is_id(run) and is_grouped(run, enc, least):
+                out.append(("random", a, b))
+        elif free(a, b) and is_random(run, enc, least):
             out.append(("random", a, b))
         else:
             out += [("random", a + x, a + y) for x, y in dense_spans(run, enc, least) if free(a + x, a + y)]
+    found = set(out)
+    for m in DOTTED.finditer(text):
+        if m.end() - m.start() >= RUN_CHARS:
+            parts = [p.span() for p in re.finditer(r"[^.]+", m[0]) if p.end() - p.start() > 3 and not is_known(p[0], enc, least)]
+            size = sum(y - x for x, y in parts)
+            if len(parts) > 1 and size >= RUN_CHARS and size < least * sum(len(enc.encode_ordinary(m[0][x:y])) for x, y in parts):
+                a, b = m.start() + parts[0][0], m.start() + parts[-1][1]
+                if free(a, b) and not any(s < b and a < e for _, s, e in found):
+                    out.append(("random", a, b))
     return out
 
 

@@ -1,5 +1,9 @@
+import random
 import re
+import string
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,6 +51,51 @@ def test_random_letters():
         assert secrets.scan(f"see {plain} now".encode(), ENC) == [], plain
 
 
+def share_found(make, n=300):
+    rng = random.Random(8)
+    keys = [make(rng) for _ in range(n)]
+    return sum(any(k == "random" and a <= 4 + 2 and b >= 4 + len(x) - 2 for k, a, b in secrets.scan(f"see {x} now".encode(), ENC)) for x in keys) / n
+
+
+@pytest.mark.parametrize("size,least", [(16, 0.8), (24, 0.93), (32, 0.95), (64, 0.97)])
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase])
+def test_letters_of_one_case(size, least, letters):
+    assert share_found(lambda rng: "".join(rng.choice(letters) for _ in range(size))) >= least
+    assert share_found(lambda rng: "".join(rng.choice(letters) for _ in range(size + 8)) + str(rng.randint(0, 9999))) >= least
+
+
+@pytest.mark.parametrize("groups,size", [(5, 3), (6, 4), (4, 5)])
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase + string.digits])
+def test_joined_groups(groups, size, letters):
+    assert share_found(lambda rng: "-".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(groups))) >= 0.8
+
+
+def test_across_dots():
+    base62 = string.ascii_letters + string.digits
+    assert share_found(lambda rng: ".".join("".join(rng.choice(base62) for _ in range(12)) for _ in range(3))) >= 0.95
+
+
+def test_words_of_one_case_stay(sf_dir):
+    """Long invented words, which this vocabulary doesn't know, are hardly ever taken for random."""
+    texts = [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet'").fetchall()]
+    words = {w for t in texts for w in re.findall(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{16,}(?![A-Za-z0-9+/_=.-])", t) if secrets.is_long_word(w)}
+    assert len(words) > 1000
+    assert sum(bool(secrets.scan(w.encode(), ENC)) for w in words) <= 5
+    for known in ("foo_bar_baz_qux_v2_old", "the-cat-sat-on-the-mat", "user_id_to_new_id_map", "src/app/api/v1/get/all", "www.example.com/index.html", "org.apache.spark.sql.functions", "version.10.20.30.40.release", "new-york-to-los-angeles", "a/b/c/d/e/f/g/h/i/j"):
+        assert secrets.scan(f"see {known} now".encode(), ENC) == [], known
+
+
+def test_added_spans_against_plain_test():
+    """Undivided runs: the whole rule is the token test, but for known forms."""
+    rng = random.Random(9)
+    for _ in range(400):
+        run = "".join(rng.choice(rng.choice(["abcdefghijklmnop", "QRSTUVW", "0123456789", "xyz"])) for _ in range(rng.randint(16, 40)))
+        tokens = len(ENC.encode_ordinary(run))
+        got = secrets.scan(f"see {run} now".encode(), ENC)
+        if not secrets.is_known(run, ENC, secrets.CHARS_PER_TOKEN) and not secrets.is_long_word(run) and len(run) < secrets.CHARS_PER_TOKEN * tokens and not plain_base(run):
+            assert ("random", 4, 4 + len(run)) in got
+
+
 def test_random_inside_runs():
     key = "x9Kq3vTz7LmP2wRs8YbN4cHd"
     for before, after in (("database_connection_string_configuration_environment_variable=", ""), ("downloads/archive/documents/collections/departments/", "/internationalization")):
