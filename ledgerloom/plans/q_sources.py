@@ -11,11 +11,13 @@ from .q_groups import n_rows
 
 
 # ---------------------------------------------------------------- CSV
-def csv_files(r):
-    """A file for each import: quoted cells with commas and quotes, a blank line, and rows with a cell too many."""
+def csv_files(r, broken=False):
+    """A file for each import: quoted cells with commas and quotes, a blank line, and rows with a cell too many; broken: in each tenth
+    the last cell isn't closed."""
     line = F.expr("""concat('"', eid_raw, '","', title_raw, ' ""x"", y",', coalesce(cited_raw, ''), CASE WHEN raw_id % 23 = 0 THEN ',more' ELSE '' END, CASE WHEN raw_id % 40 = 0 THEN '\r\n , ,' ELSE '' END)""")
     lines = r.raw.groupBy("import_id").agg(F.array_sort(F.collect_list(F.struct("raw_id", line.alias("line")))).alias("l"))
-    text = F.concat(F.lit("﻿EID,Title,Cited by\r\n"), F.array_join("l.line", "\r\n"), F.lit("\r\n"))
+    end = F.when((F.col("import_id") % 10 == 9) & F.lit(broken), '"x,y\r\n').otherwise("")
+    text = F.concat(F.lit("﻿EID,Title,Cited by\r\n"), F.array_join("l.line", "\r\n"), F.lit("\r\n"), end)
     return lines.select(F.col("import_id").cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
@@ -24,9 +26,9 @@ CSV = """
  c AS (SELECT *, CAST(import_id AS VARCHAR) AS path, CAST(at AS INTEGER) AS row_no, sha256(concat('["', eid_raw, '","', title_raw, ' \\"x\\", y","', coalesce(cited_raw, ''), '"', CASE WHEN raw_id % 23 = 0 THEN ',"more"' ELSE '' END, ']')) AS row_hash FROM n)""".replace(" AS at ", " AS place ").replace("CAST(at ", "CAST(place ")
 
 
-@query("scan_csv_lossless", "raw", CSV + " SELECT path, row_no AS row_number, row_hash, CASE WHEN raw_id % 23 = 0 THEN 'COLUMN_COUNT_MISMATCH' END AS error FROM c")
+@query("scan_csv_lossless", "raw", CSV + " SELECT path, row_no AS row_number, row_hash, CASE WHEN raw_id % 23 = 0 THEN 'COLUMN_COUNT_MISMATCH' END AS error FROM c WHERE import_id % 10 <> 9 UNION ALL SELECT DISTINCT path, 0, NULL, 'INVALID_CSV' FROM c WHERE import_id % 10 = 9")
 def scan_csv_lossless(r):
-    return csv_lossless.parse_files(csv_files(r)).select("path", "row_number", "row_hash", "error")
+    return csv_lossless.parse_files(csv_files(r, broken=True)).select("path", "row_number", "row_hash", "error")
 
 
 @query("csv_dup_candidates", "raw", CSV + """

@@ -26,31 +26,39 @@ def header_problem(headers: list[str]) -> str | None:
     return None if "eid" in {n.casefold() for n in names} else "MISSING_EID_COLUMN"
 
 
-def parse(content: bytes) -> Iterator[tuple[int, str | None, list[str] | None, list[str] | None, str | None]]:
-    """(row number, digest, headers, values, error) of each row that isn't blank; one row with an error for a file that can't be read.
-
-    A file is read by rows, so only its bytes are held.
-    """
+def file_problem(content: bytes) -> tuple[list[str] | None, str | None]:
+    """(headers, error) of a whole file, whose rows are read and not kept: what can't be read to its end has an error."""
     if not content:
-        yield 0, None, None, None, "EMPTY_IMPORT_FILE"
-        return
+        return None, "EMPTY_IMPORT_FILE"
     try:
-        reader = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), strict=True)
+        reader = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""), strict=True)
         headers = next(reader, [])
         if problem := header_problem(headers):
-            yield 0, None, headers, None, problem
-            return
-        empty = True
+            return headers, problem
+        filled = 0
         for values in reader:
-            if not any(v.strip() for v in values):
-                continue
-            empty = False
+            filled += any(v.strip() for v in values)
+        return headers, None if filled else "INVALID_CSV"
+    except (UnicodeDecodeError, csv.Error):
+        return None, "INVALID_CSV"
+
+
+def parse(content: bytes) -> Iterator[tuple[int, str | None, list[str] | None, list[str] | None, str | None]]:
+    """(row number, digest, headers, values, error) of each row that isn't blank; one row with an error, and no other, for a file
+    that breaks anywhere.
+
+    A file is read twice, first to its end without keeping rows; then by rows, so only its bytes are held.
+    """
+    headers, problem = file_problem(content)
+    if problem:
+        yield 0, None, headers, None, problem
+        return
+    reader = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""), strict=True)
+    next(reader)
+    for values in reader:
+        if any(v.strip() for v in values):
             text = json.dumps(values, ensure_ascii=False, separators=(",", ":"))
             yield reader.line_num, hashlib.sha256(text.encode()).hexdigest(), headers, values, None if len(values) == len(headers) else "COLUMN_COUNT_MISMATCH"
-        if empty:
-            yield 0, None, headers, None, "INVALID_CSV"
-    except (UnicodeDecodeError, csv.Error):
-        yield 0, None, None, None, "INVALID_CSV"
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -30,6 +30,11 @@ def test_csv_problems():
     assert problem(b"") == "EMPTY_IMPORT_FILE" and problem(b"EID\n\xff") == "INVALID_CSV" and problem(b'EID\n"x') == "INVALID_CSV" and problem(b"EID\n") == "INVALID_CSV"
 
 
+def test_csv_that_breaks_late_gives_no_row():
+    for content in (b'EID,Title\n1,a\n2,b\n"3,c', b"EID,Title\n1,a\n2,b\n3,\xff\n", b'EID,Title\n1,a\n2,"b"x\n', b"EID,T\n" + b"1,a\n" * 30_000 + b'"'):
+        assert list(csv_lossless.parse(content)) == [(0, None, None, None, "INVALID_CSV")]
+
+
 def test_csv_from_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"Eid,T\n 7 ,x\n7,y\n8,x\n 7 ,x\n")
     rows = csv_lossless.read(spark, f"{tmp_path}/a.csv")
