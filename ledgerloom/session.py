@@ -48,3 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return sc.getCheckpointDir()
+
+
+def cut(df):
+    """df checkpointed in the shared folder: later steps read what is written there, whatever becomes of executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
