@@ -9,6 +9,7 @@ from ..operators import aggregates as A
 from ..operators.latest import first_by, ranked
 from . import affiliations as AF
 from . import candidates as C
+from . import claims as CL
 from . import commands as CM
 from . import discovery as D
 from . import imports as IM
@@ -444,21 +445,12 @@ PRESENCE = """
 
 
 def presence(captures, seen):
-    """CURRENT, NOT_OBSERVED or WITHDRAWN of each claim of a scope: captures at one instant are never ordered, and only complete
-    ones at a later instant withdraw a claim that a complete one listed under a key that isn't weak.
-
-    captures: scope, cap, instant, complete; seen: scope, cap, claim, weak.
-    """
-    latest = captures.groupBy("scope").agg(F.max("instant").alias("latest"))
-    at_end = captures.join(latest, "scope").where("instant = latest")
-    end = at_end.groupBy("scope").agg(n_rows("n_latest"), F.bool_and("complete").alias("all_complete"), F.first("latest").alias("latest"))
+    """(scope, claim, presence) of captures (scope, cap, instant, complete) and what they list (scope, cap, claim, weak)."""
     x = seen.join(captures, ["scope", "cap"])
-    per = x.groupBy("scope", "claim", "instant").agg(F.bool_or("complete").alias("c"), F.bool_or("weak").alias("weak"))
-    g = per.groupBy("scope", "claim").agg(F.max("instant").alias("last_seen"), F.max_by("c", "instant").alias("seen_complete"), F.bool_or("weak").alias("weak"))
-    h = seen.join(at_end.select("scope", "cap"), ["scope", "cap"], "left_semi").groupBy("scope", "claim").agg(F.countDistinct("cap").alias("n_hit"))
-    y = g.join(end, "scope").join(h, ["scope", "claim"], "left")
-    gone = F.expr("not weak and last_seen < latest and all_complete and seen_complete")
-    return y.select("scope", "claim", F.when(F.expr("n_hit = n_latest"), "CURRENT").when(F.col("n_hit").isNotNull(), "NOT_OBSERVED").when(gone, "WITHDRAWN").otherwise("NOT_OBSERVED").alias("presence"))
+    per = x.groupBy("scope", "claim", "instant").agg(F.bool_or("complete").alias("seen_complete"), F.bool_or("weak").alias("weak"), F.countDistinct("cap").alias("hits"))
+    g = per.groupBy("scope", "claim").agg(F.max_by(F.struct(F.col("instant").alias("last_seen"), "hits", "seen_complete"), "instant").alias("e"), F.bool_or("weak").alias("weak"))
+    y = g.select("scope", "claim", "weak", "e.*").join(CL.scope_ends(captures, ["scope"], "instant", "cap"), "scope")
+    return y.select("scope", "claim", CL.presence_of(F.col("last_seen"), F.col("hits"), F.col("seen_complete"), F.col("weak")).alias("presence"))
 
 
 def captures(r):
@@ -472,11 +464,6 @@ def bridge_claims(r):
     return presence(*captures(r))
 
 
-@query("stream_presence", "doc", PRESENCE.replace(" SELECT scope, claim, CASE", " , z AS (SELECT scope, claim, CASE").rstrip() + ") SELECT presence, count(*) AS n FROM z GROUP BY presence")
-def stream_presence(r):
-    return presence(*captures(r)).groupBy("presence").agg(n_rows())
-
-
 @query("assess_pairs", "cand ident", """
  , o AS (SELECT author_id, count(DISTINCT lec_id) AS n_live FROM cand WHERE cand_id % 7 <> 0 GROUP BY 1), own AS (SELECT author_id, min(lec_id) AS a, max(lec_id) AS b FROM ident WHERE status = 'APPROVED' AND ident_id % 5 = 0 GROUP BY 1),
  p AS (SELECT lec_id, author_id, bool_or(cand_id % 7 <> 0) AS live, bool_or(status IN ('REJECTED', 'REVOKED')) AS negative FROM cand GROUP BY ALL),

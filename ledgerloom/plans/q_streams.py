@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..session import shared_dir
 from ..streaming import jobs
+from ..streaming import presence as SP
 from .base import query
+from .q_composites import PRESENCE
 from .q_groups import n_rows
 
 
@@ -73,3 +75,13 @@ def stream_unread(r):
     seen = seen.select("user", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("report"), "last_seen")
     activity = jobs.parquet_stream(r.spark, r.sf_dir, "events").selectExpr("user_id AS user", "event_id % 20 AS report", "event_id AS at")
     return drained(r, jobs.unread(activity, seen), "append").select("user", "report", F.col("at").alias("event_id"))
+
+
+@query("stream_presence", "doc", PRESENCE.replace(" SELECT scope, claim, CASE", " , z AS (SELECT scope, claim, CASE").rstrip() + ") SELECT presence, count(*) AS n FROM z GROUP BY presence")
+def stream_presence(r):
+    """Captures as a stream, with state for each scope and each claim; what stands is a join of the two states."""
+    caps = jobs.parquet_stream(r.spark, r.sf_dir, "events").selectExpr("user_id % 5 AS scope", "event_id AS cap", "unix_micros(date_trunc('day', ts)) AS instant", "event_id % 3 <> 0 AS complete")
+    seen = caps.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("claim")).where("(cap * 31 + claim * 17) % 9 < 4").withColumn("weak", F.col("claim") % 7 == 0)
+    with jobs.keyed_state(r.spark):
+        claims, scopes = drained(r, SP.claim_updates(seen), "append"), drained(r, SP.scope_updates(caps), "append")
+    return SP.presence(claims, scopes).groupBy("presence").agg(n_rows())

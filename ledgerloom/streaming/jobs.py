@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,18 @@ def drain(df: DataFrame, mode: str, target: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).option("basePath", target).parquet(target).select(*df.columns)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep keyed state in a store that holds more than memory does, as processors with state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def parquet_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table of a data folder as a stream of files."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
