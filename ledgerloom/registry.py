@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import q_composites, q_groups, q_lists, q_reviews, q_scalars, q_sources, q_streams  # noqa: F401  (importing them registers their queries)
+from .plans import q_composites, q_exports, q_groups, q_lists, q_reviews, q_scalars, q_sources, q_streams  # noqa: F401  (importing them registers their queries)
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
