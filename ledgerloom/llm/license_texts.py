@@ -39,13 +39,23 @@ BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
     PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
     ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
     WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-GNU_HEADER = """This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by
-    the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is
+GNU_FIRST = """This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by
+    the Free Software Foundation, either version {version} of the License, or (at your option) any later version."""
+GNU_HEADER = GNU_FIRST + """ This {what} is
     distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
     FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along
     with this {what}. {end}"""
 GNU_SEE = "If not, see https://www.gnu.org/licenses/."
 GNU_WRITE = "If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+GNU_OPENING = """GNU {name} Version {dated} Copyright (C) {year} Free Software Foundation, Inc. Everyone is permitted to copy and distribute
+    verbatim copies of this license document, but changing it is not allowed."""
+APACHE_OPENING = """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND
+    DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by
+    Sections 1 through 9 of this document."""
+MPL_OPENING = """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates,
+    contributes to the creation of, or owns Covered Software."""
+EPL_OPENING = """Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT").
+    ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""
 CC_NOTICE = """This work is licensed under a Creative Commons {name} {version} International License. To view a copy of this license,
     visit https://creativecommons.org/licenses/{code}/{version}/"""
 CC0_NOTICE = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.
@@ -63,6 +73,10 @@ GNU = (
     ("LGPL-3.0", "Lesser General Public License", "library", "3"),
     ("AGPL-3.0", "Affero General Public License", "program", "3"),
 )
+GNU_DATED = {
+    "GPL-2.0": ("2, June 1991", "1989, 1991"), "GPL-3.0": ("3, 29 June 2007", "2007"), "LGPL-2.1": ("2.1, February 1999", "1991, 1999"),
+    "LGPL-3.0": ("3, 29 June 2007", "2007"), "AGPL-3.0": ("3, 19 November 2007", "2007"),
+}
 CC = (
     ("BY", "Attribution"),
     ("BY-SA", "Attribution-ShareAlike"),
@@ -73,7 +87,7 @@ CC = (
 )
 
 #: (license, template name, text).
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "line", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "header", APACHE_HEADER),
     ("MIT", "line", "Released under the MIT License."),
@@ -81,6 +95,11 @@ TEMPLATES = (
     ("MIT", "text", MIT_TEXT),
     *((spdx, "line", f"This work is licensed under the GNU {name}, version {v}.") for spdx, name, _, v in GNU),
     *((spdx, f"header {k}", GNU_HEADER.format(name=name, what=what, version=v, end=end)) for spdx, name, what, v in GNU for k, end in enumerate((GNU_SEE, GNU_WRITE))),
+    *((spdx, "first paragraph", GNU_FIRST.format(name=name, what=what, version=v)) for spdx, name, what, v in GNU),
+    *((spdx, "opening", GNU_OPENING.format(name=name, dated=GNU_DATED[spdx][0], year=GNU_DATED[spdx][1])) for spdx, name, _, _ in GNU),
+    ("Apache-2.0", "opening", APACHE_OPENING),
+    ("MPL-2.0", "opening", MPL_OPENING),
+    ("EPL-2.0", "opening", EPL_OPENING),
     *((f"CC-{code}-{v}", "line", f"Licensed under CC {code} {v}.") for code, _ in CC for v in ("3.0", "4.0")),
     *((f"CC-{code}-{v}", "notice", CC_NOTICE.format(name=name, code=code.lower(), version=v)) for code, name in CC for v in ("3.0", "4.0")),
     ("CC0-1.0", "notice", CC0_NOTICE),
@@ -93,3 +112,5 @@ TEMPLATES = (
     ("Zlib", "text", ZLIB_TEXT),
     ("proprietary", "line", "All rights reserved."),
 )
+#: Licenses are also named by their identifiers.
+TEMPLATES = (*NOTICES, *((spdx, "identifier", f"SPDX-License-Identifier: {spdx}") for spdx in dict.fromkeys(x[0] for x in NOTICES) if spdx != "proprietary"))

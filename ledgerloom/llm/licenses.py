@@ -30,17 +30,23 @@ DIFFER = {
     b"gnu": {b"affero", b"lesser", b"library"},
     b"creative": {b"nc", b"nd", b"noncommercial", b"noderivatives", b"noderivs", b"sa", b"sharealike", b"zero"},
     b"redistributions": {b"endorse", b"neither"},
+    b"spdx": {b"0bsd", b"agpl", b"gpl", b"lgpl", b"mpl", b"epl", b"unlicense"},
 }
 SAME = {b"cc": b"creative", b"cc0": b"creative", b"nc": b"noncommercial", b"nd": b"noderivatives", b"noderivs": b"noderivatives", b"sa": b"sharealike"}
 #: A number after one of these is a version.
-BEFORE_VERSION = {b"version", b"v", b"license", b"gpl", b"lgpl", b"agpl", b"mpl", b"by", b"zero", b"attribution", b"cc0"} | DIFFER[b"creative"]
+BEFORE_VERSION = {b"version", b"v", b"license", b"gpl", b"lgpl", b"agpl", b"mpl", b"epl", b"bsd", b"by", b"zero", b"attribution", b"cc0"} | DIFFER[b"creative"]
+#: In or just before a match of a template of at most SHORT words, these say that the license doesn't hold.
+SHORT, NEGATIONS = 16, frozenset({b"not", b"never", b"nor", b"neither", b"unlike", b"isn", b"aren", b"wasn", b"cannot"})
 
 
 def told_by(words: list[bytes]) -> frozenset[bytes]:
-    """What of words (in lower case) can tell licenses apart: names, members' words, and versions without .0 at the end."""
+    """What of words (in lower case) can tell licenses apart: names, members' words, and versions without .0 at the end. A member's word
+    of the GNU family counts in a license's name only: any program may be called a library."""
     out, k = set(), 0
     for k, w in enumerate(words):
-        if w in NAMES or any(w in x for x in DIFFER.values()):
+        if w in DIFFER[b"gnu"]:
+            out |= {w} if words[k + 1 : k + 2] == [b"general"] else set()
+        elif w in NAMES or any(w in x for x in DIFFER.values()):
             out.add(SAME.get(w, w))
         elif w.isdigit() and k and words[k - 1] in BEFORE_VERSION:
             run = [w, *(x for x in words[k + 1 : k + 2] if x.isdigit())]
@@ -82,6 +88,11 @@ class Templates:
         version = lambda x: {w for w in x if w[:1].isdigit()}
         return must <= have and not have & never and (not version(must) or version(have) == version(must))
 
+    def denied(self, t: int, before: list[bytes], words: list[bytes]) -> bool:
+        """Whether a short notice is put in the negative."""
+        said = NEGATIONS.intersection(before) | NEGATIONS.intersection(words)
+        return len(self.words[t]) <= SHORT and any(self.vocabulary.get(w) not in self.words[t] for w in said)
+
     def gram(self, words) -> int:
         value = 0
         for w in words:
@@ -166,7 +177,7 @@ def scan(raw: bytes, templates: Templates, coverage: float = COVERAGE) -> list[t
             matched, a, b, between = align(template, words, shift + band // 2, band)
             end = shift + band // 2
             covered = coverage_of(matched, len(template), between, b - a)
-            if covered >= coverage and templates.agrees(t, found[a:b]):
+            if covered >= coverage and templates.agrees(t, found[a:b]) and not templates.denied(t, found[max(0, a - 3) : a], found[a:b]):
                 matches.append((matched, covered, *templates.names[t], a, b))
     kept = []
     for m in sorted(matches, key=lambda m: (-m[0], -m[1], m[4], m[5], m[2], m[3])):

@@ -38,6 +38,24 @@ def test_every_template_is_found_alone(prose):
         ("This work is licensed under the GNU General Public License.", set()),
         ("Licensed under the Apache License, Version 1.1.", set()),
         ("Released under the BSD License.", set()),
+        (TEXT["LGPL-2.1", "header 0"].replace("This library", "This program"), {"LGPL-2.1"}),
+        (TEXT["LGPL-3.0", "header 1"].replace("This library", "FFmpeg").replace("this library", "FFmpeg"), {"LGPL-3.0"}),
+        (TEXT["GPL-3.0", "header 0"].replace("This program", "This library").replace("this program", "this library"), {"GPL-3.0"}),
+        (TEXT["LGPL-2.1", "first paragraph"].replace("This library", "FFmpeg"), {"LGPL-2.1"}),
+        (TEXT["AGPL-3.0", "first paragraph"], {"AGPL-3.0"}),
+        ("GNU Library General Public License, version 2.", set()),
+        ("// SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", {"GPL-3.0"}),
+        ("SPDX-License-Identifier: LGPL-3.0-only", {"LGPL-3.0"}),
+        ("SPDX-License-Identifier: BSD-2-Clause", {"BSD-2-Clause"}),
+        ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", {"CC-BY-NC-SA-4.0"}),
+        ("SPDX-License-Identifier: GPL-1.0", set()),
+        ("SPDX-License-Identifier: Beerware", set()),
+        ("This is not licensed under the MIT License.", set()),
+        ("It was never released under the MIT License.", set()),
+        ("This does not matter. Some more words follow here. Released under the MIT License.", {"MIT"}),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.", {"GPL-3.0"}),
+        ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", {"LGPL-2.1"}),
         (TEXT["ISC", "text"], {"ISC"}),
         (TEXT["0BSD", "text"], {"0BSD"}),
         (TEXT["MIT", "text"].replace("AUTHORS", "FREE SOFTWARE FOUNDATION"), {"MIT"}),
@@ -62,7 +80,7 @@ def at_every_place(text, coverage=licenses.COVERAGE):
     for t, template in enumerate(T.words):
         m, a, b, between = licenses.align(template, ids, (len(ids) - len(template)) // 2, len(ids) + len(template))
         c = licenses.coverage_of(m, len(template), between, b - a)
-        if c >= coverage and T.agrees(t, words[a:b]):
+        if c >= coverage and T.agrees(t, words[a:b]) and not T.denied(t, words[max(0, a - 3) : a], words[a:b]):
             out.append((-m, -c, a, b, *T.names[t]))
     return [(x[4], x[5], round(-x[1], 4)) for x in sorted(out)[:1]]
 
