@@ -33,12 +33,12 @@ def discover(known: DataFrame, positions: DataFrame, people: DataFrame, authors:
     """Rows (lec_id, author_id, pub_id, verdict): authors of a person's known publications who are no candidates yet.
 
     DISCOVERED if the names correspond, else UNATTRIBUTED, as every co-author stands on the same publication. known: lec_id, pub_id;
-    positions: pub_id, author_id; people: lec_id, full_name; authors: author_id, name; candidates: lec_id, author_id. Names are
-    compared once a pair, not once a publication.
+    positions: pub_id, author_id; people: lec_id, full_name; authors: author_id, name, one row for each form of an author's name, of which
+    any may correspond; candidates: lec_id, author_id. Names are compared once a pair and form, not once a publication.
     """
     new = known.join(positions, "pub_id").select("lec_id", "author_id", "pub_id").distinct()
     new = new.join(candidates.select("lec_id", "author_id"), ["lec_id", "author_id"], "left_anti")
     names = people.select("lec_id", surface(X.strip_title(F.col("full_name"))).alias("a"))
     pairs = new.select("lec_id", "author_id").distinct().join(names, "lec_id").join(authors.select("author_id", surface(F.col("name")).alias("b")), "author_id")
-    found = pairs.where(corresponds(F.col("a"), F.col("b"))).select("lec_id", "author_id", F.lit("DISCOVERED").alias("verdict"))
+    found = pairs.where(corresponds(F.col("a"), F.col("b"))).select("lec_id", "author_id", F.lit("DISCOVERED").alias("verdict")).distinct()
     return new.join(found, ["lec_id", "author_id"], "left").select("lec_id", "author_id", "pub_id", F.coalesce("verdict", F.lit("UNATTRIBUTED")).alias("verdict"))

@@ -3,28 +3,45 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.diff import changed_fields
 from ..operators.latest import ranked
 
 
-def normalize(raw: DataFrame, existing: DataFrame) -> DataFrame:
-    """Outcome of each raw row: the first valid row of an EID makes a publication or is compared with the existing one, which is
-    never overwritten; later rows of the EID only add provenance."""
+def normalize(raw: DataFrame, existing: DataFrame, fields: dict[str, Column] | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(raw_id, eid, outcome, changed): the first valid row of an EID makes a publication or is compared with the existing one, which is
+    never overwritten; later rows of the EID only add provenance.
+
+    raw: raw_id, row_number, eid_raw, validation and what fields use. fields: for each column of existing that is compared, the value that
+    a raw row gives it, normalised as it is stored; changed maps those that differ to their old and new value. Without it the titles'
+    normalised forms are compared. links: raw_id, eid of provenance that exists; a row linked to another publication is an error.
+    """
     x = raw.withColumn("key", X.normalize_eid(F.col("eid_raw")))
     valid = (F.col("validation") == "VALID") & F.col("key").isNotNull()
     # invalid rows rank alone: without a key of their own they would all meet in one task
     x = x.withColumn("valid", valid).withColumn("group", F.when(F.col("valid"), F.col("key")).otherwise(F.concat(F.lit("\0"), F.col("raw_id").cast("string"))))
     x = ranked(x, ["group"], [F.asc("row_number"), F.asc("raw_id")], "k")
-    old = existing.select(F.col("eid").alias("key"), F.col("title").alias("old_title"), F.lit(True).alias("known"))
-    x = x.join(old, "key", "left")
+    pairs = fields or {"title": F.col("title_raw")}
+    x = x.select("raw_id", "key", "valid", "k", F.struct(*[v.alias(f) for f, v in pairs.items()]).alias("new"))
+    x = x.join(existing.select(F.col("eid").alias("key"), F.struct(*pairs).alias("old"), F.lit(True).alias("known")), "key", "left")
+    if links is not None:
+        x = x.join(links.select("raw_id", F.col("eid").alias("linked")), "raw_id", "left")
+    form = (lambda c: c) if fields else X.normalize_title
+    changed = changed_fields({f: (form(F.col(f"old.{f}")), form(F.col(f"new.{f}"))) for f in pairs})
+    elsewhere = F.col("linked").isNotNull() & (F.col("linked") != F.col("key")) if links is not None else F.lit(False)
     outcome = (
-        F.when(~F.col("valid"), "INVALID_EID").when(F.col("k") > 1, "INTRA_DUPLICATE").when(F.col("known").isNull(), "NEW")
-        .when(X.normalize_title(F.col("title_raw")) == X.normalize_title(F.col("old_title")), "EXISTING_UNCHANGED").otherwise("EXISTING_METADATA_CHANGED")
+        F.when(~F.col("valid"), "INVALID_EID").when(elsewhere, "NORMALIZATION_ERROR").when(F.col("k") > 1, "INTRA_DUPLICATE").when(F.col("known").isNull(), "NEW")
+        .when(F.size(changed) == 0, "EXISTING_UNCHANGED").otherwise("EXISTING_METADATA_CHANGED")
     )
-    return x.select("raw_id", F.when(F.col("valid"), F.col("key")).alias("eid"), outcome.alias("outcome"))
+    return x.select("raw_id", F.when(F.col("valid"), F.col("key")).alias("eid"), outcome.alias("outcome"), F.when(outcome == "EXISTING_METADATA_CHANGED", changed).alias("changed"))
+
+
+def provenance(normalized: DataFrame, links: DataFrame) -> DataFrame:
+    """(raw_id, eid): links that a normalisation adds: each row that isn't refused belongs to its EID's publication, once."""
+    return normalized.where("outcome not in ('INVALID_EID', 'NORMALIZATION_ERROR')").select("raw_id", "eid").join(links.select("raw_id"), "raw_id", "left_anti")
 
 
 def author_occurrences(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import aggregates as A
+from ..operators.diff import names_of
 from ..operators.latest import first_by, ranked
 from . import affiliations as AF
 from . import candidates as C
@@ -97,14 +98,18 @@ def enrich_candidates(r):
     return x.groupBy("lec_id", "author_id", "pub_id").agg(F.min("known_id").alias("known_id"))
 
 
+FORMS = "CASE WHEN author_id % 5 = 0 THEN concat('Hoàng Văn ', chr(cast(65 + author_id % 26 as int)), 'nh') ELSE upper(name) END"
 DISCOVERED = ENRICHED + f"""
+ , forms AS (SELECT author_id, name FROM author UNION ALL SELECT author_id, {FORMS} FROM author WHERE author_id % 10 < 6)
  , new AS (SELECT DISTINCT lec_id, author_id, pub_id FROM rec JOIN pa USING (pub_id) ANTI JOIN pairs USING (lec_id, author_id)),
- judged AS (SELECT new.*, coalesce({CORRESPONDS}, false) AS anchored FROM new LEFT JOIN (SELECT lec_id, {SURFACE.format(STRIPPED)} AS a FROM lec) USING (lec_id) LEFT JOIN (SELECT author_id, {SURFACE.format('name')} AS b FROM author) USING (author_id))"""
+ judged AS (SELECT new.*, coalesce({CORRESPONDS}, false) AS anchored FROM new LEFT JOIN (SELECT lec_id, {SURFACE.format(STRIPPED)} AS a FROM lec) USING (lec_id) LEFT JOIN (SELECT author_id, {SURFACE.format('name')} AS b FROM forms) USING (author_id))"""
 
 
-@query("discover_candidates", "pub pa cand lec author", DISCOVERED + " SELECT lec_id, author_id, pub_id, CASE WHEN anchored THEN 'DISCOVERED' ELSE 'UNATTRIBUTED' END AS verdict FROM judged")
+@query("discover_candidates", "pub pa cand lec author", DISCOVERED + " SELECT lec_id, author_id, pub_id, CASE WHEN bool_or(anchored) THEN 'DISCOVERED' ELSE 'UNATTRIBUTED' END AS verdict FROM judged GROUP BY ALL")
 def discover_candidates(r):
-    return D.discover(reconciled(r), r.pa, r.lec, r.author, r.cand)
+    """By every form of an author's name."""
+    forms = r.author.select("author_id", "name").union(r.author.where("author_id % 10 < 6").selectExpr("author_id", FORMS))
+    return D.discover(reconciled(r), r.pa, r.lec, forms, r.cand)
 
 
 @query("prepare_observation", "cand evid", """
@@ -143,7 +148,31 @@ def savepoint_upsert(r):
  FROM w LEFT JOIN old ON valid AND old.eid = w.key""")
 def normalize_publications(r):
     old = r.pub.where("pub_id % 3 = 0").selectExpr("concat('2-s2.0-', cast(pub_id as string)) AS eid", "CASE WHEN pub_id % 2 = 0 THEN concat('TITLE ', cast(import_id % 40 as string)) ELSE title END AS title")
-    return PB.normalize(r.raw, old)
+    return PB.normalize(r.raw, old).drop("changed")
+
+
+METADATA = [
+    ("title", "trim(title_raw)", "CASE WHEN raw_id % 4 = 0 THEN concat('Title ', cast(import_id % 7 as string)) ELSE title_raw END"),
+    ("cited", "cited_raw", "CASE WHEN raw_id % 5 = 0 THEN '0' ELSE cited_raw END"),
+    ("doi", "concat('10.1/', cast(raw_id as string))", "CASE WHEN raw_id % 6 = 0 THEN NULL ELSE concat('10.1/', cast(raw_id as string)) END"),
+    ("source_title", "CASE WHEN raw_id % 7 = 0 THEN NULL ELSE 'Journal' END", "CASE WHEN raw_id % 14 = 0 THEN 'Journal' WHEN raw_id % 7 = 0 THEN NULL ELSE 'Journal' END"),
+]
+
+
+@query("normalize_metadata", "raw", f"""
+ , k AS (SELECT *, validation = 'VALID' AND trim(eid_raw) <> '' AND NOT contains(trim(eid_raw), ' ') AS valid, trim(eid_raw) AS key FROM raw),
+ w AS (SELECT *, row_number() OVER (PARTITION BY valid, key ORDER BY row_number, raw_id) AS rk FROM k),
+ old AS (SELECT key, {', '.join(f'{o} AS {f}' for f, _, o in METADATA)} FROM w WHERE valid AND rk = 1 AND raw_id % 3 = 0),
+ c AS (SELECT raw_id, w.valid, w.rk, w.key, old.key AS had, raw_id % 17 = 0 AND w.valid AS elsewhere, concat_ws(',', {', '.join(f"CASE WHEN old.{f} IS DISTINCT FROM {n} THEN '{f}' END" for f, n, _ in sorted(METADATA))}) AS diff FROM w LEFT JOIN old ON w.valid AND old.key = w.key)
+ SELECT raw_id, CASE WHEN valid THEN key END AS eid, CASE WHEN NOT valid THEN 'INVALID_EID' WHEN elsewhere THEN 'NORMALIZATION_ERROR' WHEN rk > 1 THEN 'INTRA_DUPLICATE' WHEN had IS NULL THEN 'NEW' WHEN diff = '' THEN 'EXISTING_UNCHANGED' ELSE 'EXISTING_METADATA_CHANGED' END AS outcome,
+  CASE WHEN valid AND NOT elsewhere AND rk = 1 AND had IS NOT NULL THEN diff ELSE '' END AS changed FROM c""")
+def normalize_metadata(r):
+    """All fields of a publication compared, and provenance that another publication has."""
+    valid = r.raw.withColumn("key", X.normalize_eid(F.col("eid_raw"))).where("validation = 'VALID' and key is not null")
+    old = first_by(valid, ["key"], [F.asc("row_number"), F.asc("raw_id")]).where("raw_id % 3 = 0").selectExpr("key AS eid", *[f"{o} AS {f}" for f, _, o in METADATA])
+    links = r.raw.where("raw_id % 17 = 0").selectExpr("raw_id", "'other' AS eid")
+    out = PB.normalize(r.raw, old, {f: F.expr(n) for f, n, _ in METADATA}, links)
+    return out.withColumn("changed", F.coalesce(names_of(F.col("changed")), F.lit("")))
 
 
 OCCURRENCES = """

@@ -1,4 +1,4 @@
-"""Queries: exports that are written and read back, and tables that are merged."""
+"""Queries: exports that are written and read back, tables that are merged, and rosters."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.diff import names_of
 from ..session import shared_dir
 from ..sources import sinks
 from ..sources.merge import KeyedTable
 from . import affiliations as AF
 from . import exports as E
 from . import generations as G
+from . import roster as RO
 from .base import query
 from .q_composites import decided
 from .q_groups import CURRENT_RES, current_resolutions
@@ -110,3 +112,42 @@ def generation_runs(r):
     results = [store.persist("run-1", "rules", "v1", "{}", candidates, evidence) for _ in range(2)]
     out = store.of_run("run-1").select("lec_id", "author_id", F.size("evidence").cast("long").alias("n_evidence"), "run_id")
     return out.withColumn("status", F.lit(store.run("run-1")["status"])).withColumn("replayed", F.lit(results[1].idempotent_replay and not results[0].idempotent_replay))
+
+
+# ---------------------------------------------------------------- rosters
+def roster_world(r):
+    """(records, lecturers, bindings): a file that repeats people, changes some fields, and gives some keys of others."""
+    full = "full_name staff_code email degree acad_rank job faculty department orcid specialization gender birth phone url active".split()
+    lec = r.lec.selectExpr(
+        "lec_id", "full_name", "staff_code", "lower(email) AS email", "degree", "acad_rank", "job", "faculty", "department", "CASE WHEN lec_id % 6 = 0 THEN concat('o', cast(lec_id as string)) END AS orcid", "cast(NULL as string) AS specialization",
+        "cast(NULL as string) AS gender", "cast(NULL as string) AS birth", "cast(NULL as string) AS phone", "CASE WHEN lec_id % 7 = 0 THEN concat('u', cast(lec_id as string)) END AS url", "cast(active as string) AS active",
+    )
+    bindings = lec.where("lec_id % 3 = 0").selectExpr("lec_id", "concat('q', cast(lec_id as string)) AS source_id")
+    changes = {
+        "department": "CASE WHEN lec_id % 4 = 1 THEN 'Moved' ELSE department END", "phone": "CASE WHEN lec_id % 10 = 1 THEN '0' END", "orcid": "CASE WHEN lec_id % 44 = 0 THEN 'o12' ELSE orcid END",
+        "staff_code": "CASE WHEN lec_id % 15 = 2 THEN NULL WHEN lec_id % 15 = 4 THEN concat('NEW', cast(lec_id div 30 as string)) ELSE staff_code END", "email": "CASE WHEN lec_id % 15 IN (2, 4) THEN NULL ELSE email END",
+    }
+    source = "CASE WHEN lec_id % 3 = 0 THEN concat('q', cast(CASE WHEN lec_id % 33 = 0 THEN lec_id + 3 ELSE lec_id END as string)) END AS source_id"
+    records = lec.where("lec_id % 5 <> 3").selectExpr("lec_id AS line", source, *[f"{changes.get(f, f)} AS {f}" for f in full])
+    return records, lec, bindings
+
+
+@query("roster_import_plan")
+def roster_import_plan(r):
+    """What an import does with each record of a file, keys claimed by earlier records included; a test holds it against a loop."""
+    out = RO.plan(*roster_world(r))
+    return out.select("line", "action", "lec_id", F.array_join("blocking", ",").alias("blocking"), F.coalesce(names_of(F.col("changed")), F.lit("")).alias("changed"), "warned")
+
+
+@query("rollback_roster", "lec ident", """
+ , s AS (SELECT event_id AS snap_id, user_id * 4 + event_id % 4 AS lec_id, event_id % 6 AS import_id, CASE WHEN event_type = 'view' THEN 'CRAW' ELSE 'A' END AS source_system, ts, CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('name ', event_id) END AS name FROM events),
+ made AS (SELECT lec_id, lec_id % 6 AS import_id FROM lec WHERE lec_id % 5 <> 0),
+ t AS (SELECT lec_id FROM s WHERE import_id = 2 UNION SELECT lec_id FROM made WHERE import_id = 2),
+ o AS (SELECT lec_id, name, row_number() OVER (PARTITION BY lec_id ORDER BY ts DESC, snap_id DESC) AS k FROM s WHERE import_id <> 2 AND source_system <> 'CRAW'),
+ x AS (SELECT lec_id, CASE WHEN o.lec_id IS NOT NULL THEN CASE WHEN name IS NOT NULL THEN 'RESTORE' ELSE 'KEEP_OTHER_SOURCE' END WHEN lec_id IN (SELECT lec_id FROM made) THEN 'DELETE' ELSE 'KEEP_MANUAL' END AS action, name FROM t SEMI JOIN lec USING (lec_id) LEFT JOIN (SELECT * FROM o WHERE k = 1) o USING (lec_id))
+ SELECT lec_id, action, CASE WHEN action = 'DELETE' THEN CASE WHEN lec_id % 9 = 1 THEN 'LINKED_ACCOUNT' WHEN lec_id IN (SELECT lec_id FROM ident WHERE status = 'APPROVED') THEN 'SCOPUS_IDENTITY' END END AS blocker, CASE WHEN action = 'RESTORE' THEN name END AS restored FROM x""")
+def rollback_roster(r):
+    s = r.table("events").selectExpr("event_id AS snap_id", "user_id * 4 + event_id % 4 AS lec_id", "event_id % 6 AS import_id", "CASE WHEN event_type = 'view' THEN 'CRAW' ELSE 'A' END AS source_system", "ts AS created_at", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE named_struct('full_name', concat('name ', cast(event_id as string))) END AS canonical")
+    made = r.lec.where("lec_id % 5 <> 0").selectExpr("lec_id", "lec_id % 6 AS import_id")
+    users = r.lec.selectExpr("lec_id", "CASE WHEN lec_id % 9 = 1 THEN 'ADMIN' ELSE 'LECTURER' END AS role")
+    return RO.rollback(2, s, made, r.lec, users, r.ident.where("status = 'APPROVED'")).withColumn("restored", F.col("restored.full_name"))
