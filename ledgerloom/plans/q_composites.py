@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators.diff import names_of
 from ..operators.latest import first_by, ranked
+from ..session import shared_dir
+from ..sources.merge import KeyedTable
 from . import affiliations as AF
 from . import candidates as C
 from . import claims as CL
@@ -131,12 +136,22 @@ def persist_generation(r):
 
 @query("insert_ignore", "cand ident", " SELECT lec_id, author_id FROM cand ANTI JOIN ident USING (lec_id, author_id) GROUP BY ALL")
 def insert_ignore(r):
-    return r.cand.select("lec_id", "author_id").distinct().join(r.ident, ["lec_id", "author_id"], "left_anti")
+    """Pairs merged into a table that has some: what it has stays as it is."""
+    schema = T.StructType([T.StructField("lec_id", T.LongType()), T.StructField("author_id", T.LongType()), T.StructField("source", T.StringType())])
+    table = KeyedTable(r.spark, f"{shared_dir(r.spark)}/pairs-{uuid.uuid4().hex}", schema, ["lec_id", "author_id"], 8)
+    table.merge(r.ident.select("lec_id", "author_id", F.lit("ident").alias("source")))
+    table.merge(r.cand.select("lec_id", "author_id", F.lit("cand").alias("source")))
+    return table.read().where("source = 'cand'").select("lec_id", "author_id")
 
 
 @query("savepoint_upsert", "pa author", " SELECT author_id, min(pub_id * 10 + author_order) AS first_seen FROM pa ANTI JOIN (SELECT author_id FROM author WHERE author_id % 2 = 0) USING (author_id) GROUP BY author_id")
 def savepoint_upsert(r):
-    return r.pa.join(r.author.where("author_id % 2 = 0"), "author_id", "left_anti").groupBy("author_id").agg(F.min(F.col("pub_id") * 10 + F.col("author_order")).alias("first_seen"))
+    """Authors put into a table that has the even ones, each with where it was seen first."""
+    schema = T.StructType([T.StructField("author_id", T.LongType()), T.StructField("first_seen", T.LongType())])
+    table = KeyedTable(r.spark, f"{shared_dir(r.spark)}/authors-{uuid.uuid4().hex}", schema, ["author_id"], 8)
+    table.merge(r.author.where("author_id % 2 = 0").select("author_id", F.lit(None).cast("long").alias("first_seen")))
+    table.merge(r.pa.select("author_id", (F.col("pub_id") * 10 + F.col("author_order")).alias("first_seen")), order=["first_seen"])
+    return table.read().where("first_seen is not null")
 
 
 # ---------------------------------------------------------------- publications and authors

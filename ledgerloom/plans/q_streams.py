@@ -35,8 +35,8 @@ def imported(r, rounds=1):
     target = scratch(r, "imports")
     for _ in range(rounds):
         stream = jobs.parquet_stream(r.spark, r.sf_dir, "orders").selectExpr("o_orderkey % 4000 AS pub_id", "o_orderkey AS raw_id", "concat(' 2-s2.0-', cast(o_orderkey % 4000 as string)) AS eid_raw")
-        jobs.import_batches(stream, jobs.append_new(target, ["raw_id"]), scratch(r, "offsets")).awaitTermination()
-    return r.spark.read.schema(stream.schema).option("basePath", target).parquet(target).select("pub_id", "raw_id", "eid_raw")
+        jobs.import_batches(stream, jobs.append_new(target, ["raw_id"], 8), scratch(r, "offsets")).awaitTermination()
+    return jobs.imported(r.spark, target, stream.schema, ["raw_id"], 8)
 
 
 @query("stream_import_batches", "", "SELECT o_orderkey AS raw_id, o_orderkey % 4000 AS pub_id FROM orders")

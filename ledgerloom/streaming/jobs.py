@@ -7,35 +7,34 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.merge import KeyedTable
+
 
 def import_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand each micro-batch to write() once all that is there has come; a restart goes on where the checkpoint stands."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A writer that leaves out rows whose keys the target has, so that a batch that is run again adds nothing.
+def append_new(target: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A writer that leaves out rows whose keys the target has, so that a batch that is run again adds nothing; read with imported().
 
-    Each batch writes a folder of its own, which it overwrites: a failed attempt leaves no half batch behind.
+    Each batch is merged into a keyed table: it reads and rewrites the buckets that its keys fall into, and is seen as a whole or not at all.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        parts = f"{target}/batch="
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(target)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = [f"{s.getPath()}" for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName() != f"batch={number}"]
-        if old:
-            new = new.join(spark.read.schema(batch.schema).parquet(*old), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{parts}{number}")
+        KeyedTable(batch.sparkSession, target, batch.schema, keys, buckets).merge(batch)
 
     return write
 
 
+def imported(spark: SparkSession, target: str, schema: T.StructType, keys: list[str], buckets: int = 64) -> DataFrame:
+    """What append_new() has written."""
+    return KeyedTable(spark, target, schema, keys, buckets).read()
+
+
 def latest_state(log: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
     """Each key's value after its last event; for update or complete mode."""
     return log.groupBy(*keys).agg(F.max(F.struct(seq, value)).alias("last")).select(*keys, f"last.{seq}", f"last.{value}")

@@ -66,7 +66,7 @@ def test_import_again_adds_nothing(spark, tmp_path):
         spark.createDataFrame([(i, "x") for i in range(10 * (k + 1))], "id int, t string").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("id int, t string").parquet(source)
         jobs.import_batches(stream, jobs.append_new(target, ["id"]), f"{tmp_path}/c{k // 2}").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(30))
+    assert sorted(r.id for r in jobs.imported(spark, target, stream.schema, ["id"]).collect()) == list(range(30))
 
 
 def test_windowed_counts(spark, tmp_path):
