@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators.diff import names_of
 from ..session import shared_dir
-from ..sources import sinks
+from ..sources import http, sinks
 from ..sources.merge import KeyedTable
 from . import affiliations as AF
 from . import exports as E
@@ -17,6 +18,7 @@ from . import roster as RO
 from .base import query
 from .q_composites import decided
 from .q_groups import CURRENT_RES, current_resolutions
+from .q_sources import HTTP, known_dois, replay
 
 
 def scratch(r, kind):
@@ -151,3 +153,17 @@ def rollback_roster(r):
     made = r.lec.where("lec_id % 5 <> 0").selectExpr("lec_id", "lec_id % 6 AS import_id")
     users = r.lec.selectExpr("lec_id", "CASE WHEN lec_id % 9 = 1 THEN 'ADMIN' ELSE 'LECTURER' END AS role")
     return RO.rollback(2, s, made, r.lec, users, r.ident.where("status = 'APPROVED'")).withColumn("restored", F.col("restored.full_name"))
+
+
+# ---------------------------------------------------------------- lookups
+@query("http_resume", "pub", HTTP)
+def http_resume(r):
+    """Lookups that are stopped after a round and gone on with: the second run asks the rest."""
+    store = KeyedTable(r.spark, scratch(r, "answers"), http.ANSWER, ["key"], 8)
+    keys = known_dois(r).select(F.col("doi").alias("key"))
+    rounds = iter((True, False))
+    how = {"lanes": 4, "rate": 1e9, "round_keys": 5000}
+    with contextlib.suppress(http.Cancelled):
+        http.fetch_all(keys, replay, store, should_continue=lambda: next(rounds), **how)
+    http.fetch_all(keys, replay, store, **(how | {"round_keys": 1_000_000}))
+    return store.read().select(F.col("key").alias("query_doi"), "http", F.col("record").isNotNull().alias("found"))

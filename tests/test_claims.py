@@ -145,7 +145,7 @@ def small_world(spark, seed):
     return [spark.createDataFrame(rows, s) for rows, s in zip((obs, caps, lec, [(100 + i, str(i)) for i in range(57, 62)], decisions), schemas)]
 
 
-@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+@pytest.mark.parametrize("seed", [None, 1])
 def test_bridge_against_plain_rules(spark, sf_dir, seed):
     world = claim_world(Relations(spark, sf_dir)) if seed is None else small_world(spark, seed)
     evidence, findings, pairs = plain(*[f.collect() for f in world])

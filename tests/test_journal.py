@@ -114,7 +114,7 @@ def shown(frame):
     return sorted(((r.seq, r.outcome, r.error, r.own) for r in frame.collect()), key=lambda x: x[0])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_table_against_a_loop(spark, seed):
     rows = made_up(seed)
     plain = Plain()
