@@ -14,8 +14,9 @@ from ..sources.merge import KeyedTable
 from . import affiliations as AF
 from . import exports as E
 from . import generations as G
+from . import needs_review as NR
 from . import roster as RO
-from .base import query
+from .base import fold_sql, query
 from .q_composites import decided
 from .q_groups import CURRENT_RES, current_resolutions
 from .q_sources import HTTP, known_dois, replay
@@ -167,3 +168,39 @@ def http_resume(r):
         http.fetch_all(keys, replay, store, should_continue=lambda: next(rounds), **how)
     http.fetch_all(keys, replay, store, **(how | {"round_keys": 1_000_000}))
     return store.read().select(F.col("key").alias("query_doi"), "http", F.col("record").isNotNull().alias("found"))
+
+
+# ---------------------------------------------------------------- positions to review
+REVIEWED = CURRENT_RES + f""" , c AS (SELECT *, {RES_ID} AS rid FROM cur),
+ s AS (SELECT pub_id, author_order, string_agg(concat_ws('/', source, status, coalesce(reason, ''), affiliation), ';' ORDER BY source) AS summaries, bool_or(status = 'VERIFIED') AS v, bool_or(status = 'UNRESOLVED') AS u, bool_and(status = 'UNRESOLVED') AS only_u, bool_and(status = 'VERIFIED') AS fine,
+   coalesce(bool_or(reason IN ('ID_CONFLICT', 'ID_AMBIGUOUS', 'POSITION_CLAIMED_BY_OTHER_ID')), false) AS bad FROM c GROUP BY ALL),
+ o AS (SELECT pub_id, author_order, bool_or(state = 'ACTIVE') AS has_override, string_agg(concat(over_id, '/', state), ';' ORDER BY over_id DESC) AS overrides FROM over GROUP BY ALL),
+ tied AS (SELECT author_id FROM cand WHERE status IN ('PENDING', 'ACCEPTED') UNION SELECT author_id FROM ident WHERE status = 'APPROVED' AND ident_id % 7 = 0),
+ i AS (SELECT pub_id, author_order, eid, scopus_id, CASE WHEN (v AND u) OR bad THEN 'CONFLICTING_SOURCES' WHEN only_u THEN 'UNRESOLVED' ELSE 'LOW_CONFIDENCE' END AS kind, summaries, coalesce(has_override, false) AS has_override, overrides,
+   concat_ws(' ', {fold_sql('name')}, scopus_id, eid, {fold_sql('title')}) AS target
+  FROM pa SEMI JOIN tied USING (author_id) JOIN pub USING (pub_id) JOIN author USING (author_id) JOIN s USING (pub_id, author_order) LEFT JOIN o USING (pub_id, author_order) WHERE NOT fine)"""
+
+
+def review_items(r, **how):
+    cur = current_resolutions(r).withColumn("res_id", F.expr(RES_ID))
+    texts = cur.select("res_id", F.lit(0).alias("ord"), F.col("affiliation").alias("raw_text"))
+    positions = r.pa.join(r.pub.select("pub_id", "eid", "title", "doi"), "pub_id").join(r.author.select("author_id", "scopus_id", "name"), "author_id")
+    tied = r.cand.where("status in ('PENDING', 'ACCEPTED')").select("author_id").union(r.ident.where("status = 'APPROVED' and ident_id % 7 = 0").select("author_id"))
+    items = NR.list_items(positions, cur, texts, r.over, tied, **how)
+    line = F.transform("summaries", lambda s: F.concat_ws("/", s["source"], s["status"], F.coalesce(s["reason"], F.lit("")), F.array_join(s["raw_affiliations"], "|")))
+    over = F.transform("overrides", lambda o: F.concat_ws("/", o["over_id"].cast("string"), o["state"]))
+    return items.select("pub_id", "author_order", "eid", "scopus_id", "kind", F.array_join(line, ";").alias("summaries"), "has_override", F.array_join(over, ";").alias("overrides"))
+
+
+FOUND = " SELECT pub_id, author_order, eid, scopus_id, kind, summaries, has_override, overrides FROM i"
+
+
+@query("needs_review_search", "pub pa author res over cand ident", REVIEWED + FOUND + " WHERE contains(target, 'danh nguyen') OR (contains(target, 'danh') AND contains(target, 'nguyen'))")
+def needs_review_search(r):
+    """Positions of authors tied to people, by words of name and title, with what each source says and overrides."""
+    return review_items(r, query="Đánh  Nguyễn,")
+
+
+@query("needs_review_adjusted", "pub pa author res over cand ident", REVIEWED + FOUND + " WHERE has_override")
+def needs_review_adjusted(r):
+    return review_items(r, kind="ADJUSTED")
