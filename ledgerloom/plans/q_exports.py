@@ -12,12 +12,14 @@ from ..session import shared_dir
 from ..sources import http, sinks
 from ..sources.merge import KeyedTable
 from . import affiliations as AF
+from . import authors as AU
 from . import exports as E
 from . import generations as G
 from . import needs_review as NR
+from . import publications as PB
 from . import roster as RO
 from .base import fold_sql, query
-from .q_composites import decided
+from .q_composites import OCCURRENCES, author_lists, decided
 from .q_groups import CURRENT_RES, current_resolutions
 from .q_sources import HTTP, known_dois, replay
 
@@ -204,3 +206,26 @@ def needs_review_search(r):
 @query("needs_review_adjusted", "pub pa author res over cand ident", REVIEWED + FOUND + " WHERE has_override")
 def needs_review_adjusted(r):
     return review_items(r, kind="ADJUSTED")
+
+
+# ---------------------------------------------------------------- authors
+def occurrences_of(r):
+    """Sound author lists of raw rows, two of which belong to one publication; every nineteenth row belongs to none."""
+    o = PB.author_occurrences(author_lists(r)).where("error is null").selectExpr("raw_id * 1000 + author_order AS seq", "raw_id", "scopus_id", "name AS display", "full_name", "CASE WHEN raw_id % 23 = 0 THEN NULL ELSE author_order END AS author_order")
+    provenance = r.table("orders").where("o_orderkey % 19 <> 0").selectExpr("o_orderkey AS raw_id", "o_orderkey div 2 AS pub_id")
+    return AU.attributed(o, provenance)
+
+
+@query("author_records", "author", " , o AS (" + OCCURRENCES.replace(", r AS", "WITH r AS", 1).strip() + """), g AS (SELECT scopus_id, min_by(coalesce(nullif(full_name, ''), name), raw_id * 1000 + author_order) AS name FROM o WHERE error IS NULL AND raw_id % 19 <> 0 AND raw_id IN (SELECT o_orderkey FROM orders) GROUP BY 1),
+ e AS (SELECT CAST(author_id AS VARCHAR) AS scopus_id, CASE WHEN author_id % 3 <> 0 THEN name END AS preferred FROM author WHERE author_id % 4 <> 0)
+ SELECT g.scopus_id, CASE WHEN e.scopus_id IS NULL THEN 'CREATED' WHEN preferred IS NULL THEN 'NAMED' ELSE 'EXISTING' END AS action, coalesce(preferred, g.name) AS preferred FROM g LEFT JOIN e USING (scopus_id)""")
+def author_records(r):
+    existing = r.author.where("author_id % 4 <> 0").selectExpr("cast(author_id as string) AS scopus_id", "CASE WHEN author_id % 3 <> 0 THEN name END AS preferred")
+    return AU.authors(occurrences_of(r).where("pub_id is not null"), existing)
+
+
+@query("author_links")
+def author_links(r):
+    """Links of occurrences as if they came one by one; a test holds them against a loop."""
+    links = r.pa.where("pub_id % 5 = 0").selectExpr("pub_id", "cast(author_id as string) AS scopus_id", "author_order").groupBy("pub_id", "scopus_id").agg(F.min("author_order").alias("author_order"))
+    return AU.links(occurrences_of(r).where("pub_id is not null"), links)
