@@ -120,8 +120,8 @@ def edges_between(cls: np.ndarray, root: np.ndarray, sets: list[np.ndarray], lef
 def compared_in_bands(rest: DataFrame, texts: DataFrame, piece_bytes: int) -> DataFrame:
     """Edges (a, b) between classes (band, cls, root) of a band that are alike and in different groups, enough to connect them.
 
-    A band's texts are cut into pieces of bounded size by hash, and each pair of pieces is a task that compares its shingle sets;
-    what moves grows with the texts, not with their pairs.
+    A band's texts are cut into pieces of bounded size by hash, and each pair of pieces is a task that compares its shingle sets. So
+    tasks are bounded, but of a band of B bytes B ** 2 / piece_bytes are moved.
     """
     x = rest.select("band", "cls", "root").join(texts, "cls")
     sizes = x.groupBy("band").agg(F.ceil(F.sum(F.octet_length("text")) / piece_bytes).cast("int").alias("pieces"))
@@ -156,8 +156,8 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are the components of all pairs of texts that are linked by the trees of SimHash fingerprints or share a band, and are
     alike by exact shingle similarity. Texts with the same shingles are one class, so copies cost one; texts without words are
     one class too. Each class is first compared with its neighbours in the trees and a hub of each of its bands, then, where a
-    band's classes aren't in one group yet, with all of them that aren't in its own, in tasks of bounded size. That takes time,
-    not space, quadratic in texts that share a band without being alike. Of rows alike in id and text the least by their other columns stays.
+    band's classes aren't in one group yet, with all of them that aren't in its own, in tasks of bounded size. That takes time
+    and moves quadratic in texts that share a band without being alike. Of rows alike in id and text the least by their other columns stays.
     """
     source = id_and_text(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash"))
 
