@@ -370,7 +370,9 @@ def hash_join_doi_title(r):
 @query("join_evidence_pairs", "cand pa", " SELECT cand_id, pub_id FROM (SELECT DISTINCT c_custkey % 350 AS lec_id, o_orderkey AS pub_id FROM customer JOIN orders ON o_custkey = c_custkey) known JOIN cand USING (lec_id) JOIN pa USING (pub_id, author_id)")
 def join_evidence_pairs(r):
     known = r.table("customer").join(r.table("orders"), F.col("o_custkey") == F.col("c_custkey")).select((F.col("c_custkey") % 350).alias("lec_id"), F.col("o_orderkey").alias("pub_id")).distinct()
-    return known.join(r.cand, "lec_id").join(r.pa, ["pub_id", "author_id"]).select("cand_id", "pub_id")
+    # positions first: a person's publications times their candidates would be far more rows than either
+    positions = r.pa.join(r.cand.select("author_id").distinct(), "author_id", "left_semi")
+    return known.join(positions, "pub_id").join(r.cand, ["lec_id", "author_id"]).select("cand_id", "pub_id")
 
 
 @query("join_discovery", "cand pa lec author", f"""
