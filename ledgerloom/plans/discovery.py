@@ -29,6 +29,19 @@ def corresponds(a, b):
     return F.coalesce(anchored | permuted, F.lit(False))
 
 
+def matching(people: DataFrame, authors: DataFrame, block: list[str]) -> DataFrame:
+    """(lec_id, author_id) of people (lec_id, full_name) and authors (author_id, name) whose names correspond and whose block columns
+    are equal.
+
+    Nothing corresponds unless the second name holds the first's surname, so distinct names meet on that word only, and each pair
+    of them is compared once, however many bear it.
+    """
+    a = people.select(*block, "full_name").distinct().withColumn("a", surface(X.strip_title(F.col("full_name")))).withColumn("word", F.col("a.surname"))
+    b = authors.select(*block, "name").distinct().withColumn("b", surface(F.col("name"))).withColumn("word", F.explode("b.tokens"))
+    pairs = a.join(b, [*block, "word"]).where(corresponds(F.col("a"), F.col("b"))).select(*block, "full_name", "name")
+    return people.join(pairs, [*block, "full_name"]).join(authors, [*block, "name"]).select("lec_id", "author_id")
+
+
 def discover(known: DataFrame, positions: DataFrame, people: DataFrame, authors: DataFrame, candidates: DataFrame) -> DataFrame:
     """Rows (lec_id, author_id, pub_id, verdict): authors of a person's known publications who are no candidates yet.
 

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerloom import registry
 from ledgerloom.plans import discovery as D
 
@@ -13,3 +15,14 @@ def optimized(spark, sf_dir, name):
 def test_evidence_pairs_meet_by_both_ids(spark, sf_dir):
     """A person's publications and candidates never meet by the person alone."""
     assert not re.search(r"Join Inner, \(lec_id#\w+ = lec_id#\w+\)", optimized(spark, sf_dir, "join_evidence_pairs"))
+
+
+def test_matching_names(spark):
+    names = ["Trần Văn Binh", "TS. Trần Văn Binh", "Binh Trần", "Lê Cuc", "Le Thi Cuc", "Cuc", "", None, "Nguyen Van"]
+    people = spark.createDataFrame([(i, i % 2, names[i // 2 % len(names)]) for i in range(4 * len(names))], "lec_id int, k int, full_name string")
+    authors = spark.createDataFrame([(i, i % 2, names[i // 3 % len(names)]) for i in range(4 * len(names))], "author_id int, k int, name string")
+    got = D.matching(people, authors, ["k"])
+    assert re.search(r"word#\d+ = word#\d+", got._jdf.queryExecution().optimizedPlan().toString())
+    a = people.withColumn("a", D.surface(D.X.strip_title(F.col("full_name"))))
+    want = a.join(authors.withColumn("b", D.surface(F.col("name"))), "k").where(D.corresponds(F.col("a"), F.col("b"))).select("lec_id", "author_id").collect()
+    assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
