@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerloom import registry
+from ledgerloom.plans import candidates as C
 from ledgerloom.plans import discovery as D
 
 
@@ -31,3 +32,51 @@ def test_matching_names(spark):
     a = people.withColumn("a", D.surface(D.X.strip_title(F.col("full_name"))))
     want = a.join(authors.withColumn("b", D.surface(F.col("name"))), "k").where(D.corresponds(F.col("a"), F.col("b"))).select("lec_id", "author_id").collect()
     assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+
+
+def world(spark):
+    names = ["Trần Văn Binh", "TS. Trần Văn Binh", "Binh Trần Văn", "Lê Cuc", "Cuc Lê", "Trần-Văn Binh", "A"]
+    people = spark.createDataFrame([(i, names[i % len(names)]) for i in range(20)], "lec_id int, full_name string")
+    forms = [(i, "PREFERRED_NAME", names[i % 4].replace(" ", ", ", 1)) for i in range(12)] + [(i, "VARIANT", names[i % 3]) for i in range(0, 12, 2)]
+    return people, spark.createDataFrame(forms + forms[:2], "author_id int, kind string, surface string")
+
+
+def plain(people, surfaces):
+    """Evidence pair by pair, with the names of each person and author by themselves."""
+    surfaces = surfaces.distinct()
+    out = set()
+    hits = C.people_keys(people).join(C.surface_keys(surfaces), ["rule", "value"]).collect()
+    ordered = {(h.lec_id, h.author_id) for h in hits if h.rule < C.TOKEN_SET}
+    best = {}
+    for h in hits:
+        if h.rule < C.TOKEN_SET or (h.lec_id, h.author_id) not in ordered:
+            key = (h.lec_id, h.author_id, h.kind, h.value)
+            best[key] = min(best.get(key, (99, "")), (h.rule, h.surface))
+    for (lec, author, kind, value), (rule, surface) in best.items():
+        out.add((lec, author, rule, kind, surface, value))
+    return out
+
+
+def test_evidence_of_equal_names(spark):
+    people, surfaces = world(spark)
+    found = C.generate(people, surfaces)
+    # nothing is grouped once the pairs of all bearers are made
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "Join" in "".join(top[:3]) and "Aggregate" not in "".join(top[:3])
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain(people, surfaces)
+
+
+def test_gated_pairs_of_equal_names(spark):
+    people, surfaces = world(spark)
+    papers = spark.createDataFrame([(1, 2), (2, 0), (6, 1)], "author_id int, n int")
+    got = [tuple(r) for r in C.gated_pairs(people, surfaces, papers).collect()]
+    want = {tuple(r) for r in C.gate(C.generate(people, surfaces), papers).select("lec_id", "author_id").distinct().collect()}
+    every = {(r.lec_id, r.author_id) for r in C.generate(people, surfaces).collect()}
+    assert len(got) == len(set(got)) and set(got) == want < every
+
+
+def test_rule_counts_of_equal_names(spark):
+    people, surfaces = world(spark)
+    hits = C.people_keys(people).join(C.surface_keys(surfaces), ["rule", "value"]).groupBy("rule").count()
+    assert sorted(map(tuple, C.rule_counts(people, surfaces).collect())) == sorted(map(tuple, hits.collect()))
