@@ -5,8 +5,11 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerloom import registry
+from ledgerloom.functions import text as X
 from ledgerloom.plans import candidates as C
 from ledgerloom.plans import discovery as D
+from ledgerloom.plans import publications as PB
+from ledgerloom.streaming import journal as J
 
 
 def optimized(spark, sf_dir, name):
@@ -80,3 +83,13 @@ def test_rule_counts_of_equal_names(spark):
     people, surfaces = world(spark)
     hits = C.people_keys(people).join(C.surface_keys(surfaces), ["rule", "value"]).groupBy("rule").count()
     assert sorted(map(tuple, C.rule_counts(people, surfaces).collect())) == sorted(map(tuple, hits.collect()))
+
+
+def test_known_plans_are_streams(spark):
+    """No group of its own for each list; existing keys come first, those of nobody's list give nothing."""
+    rows = spark.createDataFrame([(s, line, f"10.1/{line % 3}" if line % 2 else None, f"T {line % 4}") for s in range(50) for line in range(8)], "snapshot long, line long, doi string, title string")
+    existing = spark.createDataFrame([(s, "doi:10.1/1") for s in range(0, 60, 2)] + [(3, None)], "snapshot long, key string")
+    got = PB.plan_known(rows, existing)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    plan = lambda s: PB.known_plan([(line, f"10.1/{line % 3}" if line % 2 else None, f"t {line % 4}") for line in range(8)], {"doi:10.1/1"} if s % 2 == 0 else set())
+    assert sorted(map(tuple, got.collect())) == sorted((s, *p) for s in range(50) for p in plan(s))
