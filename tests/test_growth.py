@@ -93,3 +93,9 @@ def test_known_plans_are_streams(spark):
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
     plan = lambda s: PB.known_plan([(line, f"10.1/{line % 3}" if line % 2 else None, f"t {line % 4}") for line in range(8)], {"doi:10.1/1"} if s % 2 == 0 else set())
     assert sorted(map(tuple, got.collect())) == sorted((s, *p) for s in range(50) for p in plan(s))
+
+
+def test_orcid_check_has_no_loop(spark):
+    x = spark.createDataFrame([("0000-0002-1825-0097",), ("0000-0002-1694-233X",), ("0000-0002-1825-0098",), ("0000-0002-1825-009",), ("𝟘000-0002-1825-0097",), ("",), (None,)], "o string").select(X.orcid_check(F.col("o")).alias("ok"))
+    assert "lambda" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.ok for r in x.collect()] == [True, True, False, False, False, False, None]
