@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +99,39 @@ def conflict(c, get, effective) -> str | None:
     return "HYBRID_REVOCATION_INVALID" if c.kind == SUPERSEDE and get(c.replacement)["compensated"] else None
 
 
+class Stream:
+    """A candidate's stream: its last sequence number and digest, its effective proposal, and its events, which get() and put() keep by key."""
+
+    def __init__(self, cand_id, head, get, put):
+        self.cand_id, self.get, self.put = cand_id, get, put
+        self.seq, self.own, self.effective = head
+
+    def step(self, c) -> tuple:
+        """The row EVENT of one command, which is recorded if nothing speaks against it."""
+        import hashlib
+
+        get, put = self.get, self.put
+        error, old, previous, place, digest = refusal(c, get), get(c.op_key), None, None, None
+        if error is None and old is not None:
+            outcome, place, digest = "ALREADY_RECORDED", old["seq"], old["own"]
+        elif error is None and (error := conflict(c, get, self.effective)) is None:
+            outcome, previous, place = "RECORDED", self.own, self.seq + 1
+            whole = "|".join("" if v is None else str(v) for v in (self.cand_id, place, previous, c.kind, c.op_key, c.snapshot_hash, c.actor, c.second))
+            self.seq, self.own = place, hashlib.sha256(whole.encode()).hexdigest()
+            digest = self.own
+            put(c.op_key, {"seq": place, "kind": c.kind, "branch": c.branch, "actor": c.actor, "principal": c.principal, "compensated": False, "own": digest})
+            if c.kind == PROPOSE:
+                self.effective = c.op_key
+            elif c.kind in (REVOKE, SUPERSEDE):
+                put(c.target, get(c.target) | {"compensated": True})
+                self.effective = None if self.effective == c.target else self.effective
+        if error is not None:
+            outcome = "REFUSED"
+        return (self.cand_id, c.seq, c.kind, c.op_key, c.snapshot_hash, outcome, error, place, previous, digest, c.actor, c.second, c.target, c.replacement)
+
+
 class Journal(StatefulProcessor):
-    """A candidate's stream: its last sequence number and digest, its effective proposal, and its events by key.
+    """A candidate's Stream in keyed state.
 
     Events are read by key when a command names one, so a long stream isn't loaded. Within a micro-batch a candidate's commands are
     taken in order of seq; a micro-batch is bounded by its source's limits.
@@ -109,48 +142,45 @@ class Journal(StatefulProcessor):
         self.events = handle.getMapState("events", "key string", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        seq, own, effective = self.head.get() if self.head.exists() else (0, None, None)
         fields = STATE.replace(" long", "").replace(" string", "").replace(" boolean", "").split(", ")
         get = lambda k: dict(zip(fields, self.events.getValue((k,)))) if k and self.events.containsKey((k,)) else None
         put = lambda k, e: self.events.updateValue((k,), tuple(e[f] for f in fields))
+        stream = Stream(key[0], self.head.get() if self.head.exists() else (0, None, None), get, put)
         frame = pd.concat(rows).sort_values("seq", kind="stable")
-        out = []
-        for c in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
-            error, old, previous, place, digest = refusal(c, get), get(c.op_key), None, None, None
-            if error is None and old is not None:
-                outcome, place, digest = "ALREADY_RECORDED", old["seq"], old["own"]
-            elif error is None and (error := conflict(c, get, effective)) is None:
-                outcome, previous, place = "RECORDED", own, seq + 1
-                whole = "|".join("" if v is None else str(v) for v in (key[0], place, previous, c.kind, c.op_key, c.snapshot_hash, c.actor, c.second))
-                seq, own = place, hashlib.sha256(whole.encode()).hexdigest()
-                digest = own
-                put(c.op_key, {"seq": seq, "kind": c.kind, "branch": c.branch, "actor": c.actor, "principal": c.principal, "compensated": False, "own": own})
-                if c.kind == PROPOSE:
-                    effective = c.op_key
-                elif c.kind in (REVOKE, SUPERSEDE):
-                    put(c.target, get(c.target) | {"compensated": True})
-                    effective = None if effective == c.target else effective
-            if error is not None:
-                outcome = "REFUSED"
-            out.append((key[0], c.seq, c.kind, c.op_key, c.snapshot_hash, outcome, error, place, previous, digest, c.actor, c.second, c.target, c.replacement))
-        self.head.update((seq, own, effective))
+        out = [stream.step(c) for c in frame.astype(object).where(frame.notna(), None).itertuples(index=False)]
+        self.head.update((stream.seq, stream.own, stream.effective))
         yield pd.DataFrame(out, columns=EVENT.names).astype({"stream_seq": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows EVENT of commands sorted by cand_id and seq; a task holds the events of one candidate at a time."""
+    stream = None
+    for batch in batches:
+        row = namedtuple("Command", batch.schema.names)
+        out = []
+        for c in map(row._make, zip(*(x.to_pylist() for x in batch.columns))):
+            if stream is None or c.cand_id != stream.cand_id:
+                events: dict = {}
+                stream = Stream(c.cand_id, (0, None, None), events.get, events.__setitem__)
+            out.append(stream.step(c))
+        if out:
+            kinds = [pa.int64()] * 2 + [pa.string()] * 5 + [pa.int64()] + [pa.string()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=EVENT.names)
+
+
 def decide(commands: DataFrame) -> DataFrame:
     """Rows EVENT, one a command: RECORDED with its place in the chain, ALREADY_RECORDED, or REFUSED with why.
 
     commands: rows COMMAND, a stream, whose state is kept under its query's checkpoint and goes on after a restart, or a table, which
-    is one batch from nothing.
+    is one batch from nothing: each candidate's commands are one sorted stream, and no state is stored.
     """
+    if not commands.isStreaming:
+        return cut(keyed(commands).repartition("cand_id").sortWithinPartitions("cand_id", "seq").mapInArrow(_at_once, EVENT))
     commands.sparkSession.streams  # noqa: B018  (a session without streams yet has no coordinator of state)
-    decided = keyed(commands).groupBy("cand_id").transformWithStateInPandas(Journal(), EVENT, "append", "none")
-    return decided if commands.isStreaming else cut(decided)  # what it gives can't be joined with itself otherwise
+    return keyed(commands).groupBy("cand_id").transformWithStateInPandas(Journal(), EVENT, "append", "none")
 
 
 def journal(decided: DataFrame) -> DataFrame:

@@ -95,6 +95,14 @@ def test_known_plans_are_streams(spark):
     assert sorted(map(tuple, got.collect())) == sorted((s, *p) for s in range(50) for p in plan(s))
 
 
+def test_journal_of_a_table_keeps_no_state(spark, sf_dir, monkeypatch):
+    """One batch is a sorted stream a candidate: no state store is opened."""
+    monkeypatch.setattr(J, "cut", lambda df: df)
+    commands = spark.createDataFrame([(c, 1, "PROPOSE", "STANDARD", "u", "p", None, None, None, None, "r", "s", False) for c in range(3)], J.COMMAND)
+    assert "MapInArrow" in J.decide(commands)._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.outcome, r.stream_seq) for r in J.decide(commands).collect()] == [("RECORDED", 1)] * 3
+
+
 def test_orcid_check_has_no_loop(spark):
     x = spark.createDataFrame([("0000-0002-1825-0097",), ("0000-0002-1694-233X",), ("0000-0002-1825-0098",), ("0000-0002-1825-009",), ("𝟘000-0002-1825-0097",), ("",), (None,)], "o string").select(X.orcid_check(F.col("o")).alias("ok"))
     assert "lambda" not in x._jdf.queryExecution().optimizedPlan().toString()
