@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut
-from .affiliations import TRUSTED, withhold
+from ..session import kept
+from .affiliations import CONFLICTS, TRUSTED
 
 # The method that each kind of trusted link is made by.
 METHODS = {"VERIFIED": "ORCID_SCOPUS_ID_BRIDGE", "CORROBORATED": "POSITION_COUNT_NAME"}
@@ -41,13 +41,18 @@ def plan_resolutions(inputs: DataFrame, slots: DataFrame, existing: DataFrame) -
     Then come faults of the input, its position, inputs before it with the same key, and what exists under that key.
 
     The first input of a key is found by an aggregate and joined back, so that a key with many inputs isn't one task's work;
-    inputs that have failed before get no key and are spread by their seq. What is used more than once, the inputs and their early
-    faults, is worked out once and checkpointed.
+    inputs that have failed before get no key and are spread by their seq. The inputs are read twice, so they had better be a table.
+    They are wide, so they meet places and contradictions in one join, and their early faults are worked out once and kept in columns.
     """
-    x = withhold(cut(inputs), ["eid", "scopus_id", "author_order"])
-    x = x.withColumn("method", F.when(~F.col("held"), F.col("method"))).withColumn("entries", F.when(F.col("held"), F.slice("entries", 1, 0)).otherwise(F.col("entries")))
-    places = slots.groupBy("eid", "scopus_id").agg(F.min(F.struct("pa_id", "slot_order", "pub_doi")).alias("slot"))
-    x = x.join(places, ["eid", "scopus_id"], "left").select(*x.columns, "slot.*")
+    at = ["eid", "scopus_id"]
+    places = slots.groupBy(*at).agg(F.min(F.struct("pa_id", "slot_order", "pub_doi")).alias("slot"))
+    culprits = inputs.where(F.col("reason").isin(*CONFLICTS)).groupBy(*at).agg(F.collect_set("author_order").alias("contradicted"))
+    x = inputs.join(places.join(culprits, at, "full"), at, "left").select(*inputs.columns, "slot.*", "contradicted")
+    held = F.coalesce(F.array_contains("contradicted", F.col("author_order")) & F.col("status").isin(*TRUSTED), F.lit(False))
+    x = x.withColumn("held", held).withColumns({
+        "reason": F.when(F.col("held"), "WITHHELD_SOURCE_CONFLICT").otherwise(F.col("reason")), "status": F.when(F.col("held"), "UNRESOLVED").otherwise(F.col("status")),
+        "method": F.when(~F.col("held"), F.col("method")), "entries": F.when(F.col("held"), F.slice("entries", 1, 0)).otherwise(F.col("entries")),
+    })
     folded = lambda c: F.lower(X.strip(F.coalesce(F.col(c), F.lit(""))))
     early = F.coalesce(
         input_fault(),
@@ -57,7 +62,7 @@ def plan_resolutions(inputs: DataFrame, slots: DataFrame, existing: DataFrame) -
     )
     key = ["spread", "pa_id", "source", "payload_sha256"]
     x = x.select("seq", "pa_id", "source", "payload_sha256", "status", "held", F.struct(*CONTENT).alias("content"), early.alias("early"))
-    x = cut(x).withColumn("spread", F.when(F.col("early").isNotNull(), F.xxhash64("seq")).otherwise(F.lit(0)))
+    x = kept(x).withColumn("spread", F.when(F.col("early").isNotNull(), F.xxhash64("seq")).otherwise(F.lit(0)))
     first = x.where("early is null").groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min_by("content", "seq").alias("first_content"))
     old = existing.select(F.lit(0).cast("long").alias("spread"), *key[1:], F.struct(*CONTENT).alias("old"))
     x = x.join(first, key, "left").join(old, key, "left")

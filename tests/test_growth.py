@@ -107,3 +107,9 @@ def test_orcid_check_has_no_loop(spark):
     x = spark.createDataFrame([("0000-0002-1825-0097",), ("0000-0002-1694-233X",), ("0000-0002-1825-0098",), ("0000-0002-1825-009",), ("𝟘000-0002-1825-0097",), ("",), (None,)], "o string").select(X.orcid_check(F.col("o")).alias("ok"))
     assert "lambda" not in x._jdf.queryExecution().optimizedPlan().toString()
     assert [r.ok for r in x.collect()] == [True, True, False, False, False, False, None]
+
+
+def test_resolution_inputs_are_kept_in_columns(spark, sf_dir):
+    """What an import's inputs are cut to is compressed by column, and they meet places and contradictions in one join."""
+    plan = optimized(spark, sf_dir, "plan_resolutions")
+    assert "kept-" in registry.QUERIES["plan_resolutions"](spark, sf_dir).inputFiles()[0] and "ExistingRDD" not in plan and "LogicalRDD" not in plan
