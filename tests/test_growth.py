@@ -113,3 +113,10 @@ def test_resolution_inputs_are_kept_in_columns(spark, sf_dir):
     """What an import's inputs are cut to is compressed by column, and they meet places and contradictions in one join."""
     plan = optimized(spark, sf_dir, "plan_resolutions")
     assert "kept-" in registry.QUERIES["plan_resolutions"](spark, sf_dir).inputFiles()[0] and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_author_lists_are_read_once(spark, sf_dir):
+    """Even and uneven lists are taken apart in one pass, and rows with an error are left out without a second one."""
+    for name in ("parse_author_occurrences", "normalize_authors"):
+        plan = optimized(spark, sf_dir, name)
+        assert plan.count("Relation [") == 1 and "Join" not in plan
