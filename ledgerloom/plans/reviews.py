@@ -146,7 +146,14 @@ def prepare(commands: DataFrame, candidates: DataFrame, observations: DataFrame,
         F.count(F.lit(1)).alias("n"), F.countDistinct("cand_id").alias("n_cands"), F.bool_and("reasoned").alias("all_reasoned"),
         F.count_if(F.col("grp_main") & F.col("cand_id").isNull()).alias("loose"),
     )
+    pairs = identities.groupBy("lec_id", "author_id").agg(F.min("status").alias("identity"))
+    owners = identities.where("status = 'APPROVED'").groupBy("author_id").agg(F.array_sort(F.collect_set("lec_id")).alias("owners"))
+    active = candidates.where(F.col("status").isin(*ACTIVE))
+    count = lambda key, name: active.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    ever = history.groupBy("cand_id").agg(F.bool_or(F.col("action") == "REJECT").alias("ever_rejected"), F.bool_or(F.col("action") == "ACCEPT").alias("ever_accepted"))
+    # what holds of a candidate meets it before the commands do: those on unknown ones have no author or lecturer to join by
     known = candidates.select("cand_id", F.lit(True).alias("found"), "lec_id", "author_id", "status", F.col("version").cast("long").alias("now_version"))
+    known = known.join(pairs, ["lec_id", "author_id"], "left").join(owners, "author_id", "left").join(count("author_id", "author_active"), "author_id", "left").join(count("lec_id", "lec_active"), "lec_id", "left").join(ever, "cand_id", "left")
     x = x.where("cand_id is not null").join(groups, "grp", "left").join(known, "cand_id", "left")
     size = F.col("n") - F.col("loose")
     x = x.withColumn("grp_fault", F.when(F.col("grp").isNotNull(),
@@ -158,13 +165,7 @@ def prepare(commands: DataFrame, candidates: DataFrame, observations: DataFrame,
     of = observations.select("obs_id", F.lit(True).alias("obs_known"), F.col("cand_id").alias("of_cand"), F.col("is_current").alias("obs_current"), "has_pub")
     x = x.join(of, "obs_id", "left").withColumn("obs_own", F.col("of_cand").eqNullSafe(F.col("cand_id")))
     done = history.groupBy("cand_id", "obs_id").agg(F.bool_or(F.col("action") == "ACCEPT").alias("accepted_before"), F.bool_or(F.col("action") == "REJECT").alias("rejected_before"))
-    ever = history.groupBy("cand_id").agg(F.bool_or(F.col("action") == "REJECT").alias("ever_rejected"), F.bool_or(F.col("action") == "ACCEPT").alias("ever_accepted"))
-    x = x.join(done, ["cand_id", "obs_id"], "left").join(ever, "cand_id", "left")
-    pairs = identities.groupBy("lec_id", "author_id").agg(F.min("status").alias("identity"))
-    owners = identities.where("status = 'APPROVED'").groupBy("author_id").agg(F.array_sort(F.collect_set("lec_id")).alias("owners"))
-    active = candidates.where(F.col("status").isin(*ACTIVE))
-    count = lambda key, name: active.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    x = x.join(pairs, ["lec_id", "author_id"], "left").join(owners, "author_id", "left").join(count("author_id", "author_active"), "author_id", "left").join(count("lec_id", "lec_active"), "lec_id", "left")
+    x = x.join(done, ["cand_id", "obs_id"], "left")
     false = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     flags = ["found", "user_known", "may_review", "may_revoke", "obs_known", "obs_own", "obs_current", "has_pub", "accepted_before", "rejected_before", "ever_rejected"]
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -185,12 +186,16 @@ def review_batch(commands: DataFrame, candidates: DataFrame, observations: DataF
     history: cand_id, obs_id, action of earlier reviews. Ids are longs.
 
     outcome is APPLIED, IDEMPOTENT (decided so before), or GROUP_FAILED: a member that would pass, in a group of which another doesn't;
-    such a group writes nothing. Rounds are as many as the longest chain of commands that depend on each other across authors.
+    such a group writes nothing. Rounds are as many as the longest chain of commands that depend on each other across authors. Commands
+    on unknown candidates always fail and change nothing, so they are decided once, apart: they have no author or lecturer to be ordered by.
     """
     x = cut(prepare(commands, candidates, observations, users, identities, history))
+    x = x.withColumn("group_ok", F.lit(True)).withColumn("lec_change", F.lit(0).cast("long"))
+    unknown, x = x.where("not found"), x.where("found")
+    failed = unknown.where("grp is not null").select("grp").distinct().withColumn("group_fails", F.lit(True))
+    x = cut(x.join(failed, "grp", "left"))
     by_lecturer = Window.partitionBy("lec_id").orderBy("seq", "item").rowsBetween(Window.unboundedPreceding, -1)
-    assumed = x.withColumn("group_ok", F.lit(True)).withColumn("lec_change", F.lit(0).cast("long"))
-    before = None
+    assumed, before = x, None
     while True:
         decided = cut(fold(assumed))
         now = _digest(decided)
@@ -199,9 +204,10 @@ def review_batch(commands: DataFrame, candidates: DataFrame, observations: DataF
         before = now
         told = x.join(decided.select("seq", "item", "error", "delta"), ["seq", "item"])
         change = told.withColumn("lec_change", F.coalesce(F.sum("delta").over(by_lecturer), F.lit(0))).select("seq", "item", "lec_change")
-        whole = told.where("grp is not null").groupBy("grp").agg(F.bool_and(F.col("error").isNull()).alias("group_ok"))
-        assumed = x.join(change, ["seq", "item"]).join(whole, "grp", "left")
-    return decided.join(x.select("seq", "item", "action"), ["seq", "item"]).select("seq", "item", "cand_id", "action", "error", "outcome", "from_status", "to_status", "version")
+        whole = told.where("grp is not null").groupBy("grp").agg(F.bool_and(F.col("error").isNull() & F.col("group_fails").isNull()).alias("group_ok"))
+        assumed = x.drop("lec_change", "group_ok").join(change, ["seq", "item"]).join(whole, "grp", "left")
+    decided = decided.join(x.select("seq", "item", "action"), ["seq", "item"]).unionByName(fold(unknown).join(unknown.select("seq", "item", "action"), ["seq", "item"]))
+    return decided.select("seq", "item", "cand_id", "action", "error", "outcome", "from_status", "to_status", "version")
 
 
 def group_errors(decided: DataFrame, commands: DataFrame) -> DataFrame:

@@ -208,3 +208,14 @@ def test_query(spark, sf_dir):
     got = {(r.seq, r.item): (r.error, r.outcome, r.from_status, r.to_status, r.version) for r in QUERIES["review_batch"](spark, sf_dir).collect()}
     assert got == want
     assert {a for (_, a, *_) in got.values()} >= {"APPLIED", "IDEMPOTENT"} and len({e for (e, *_) in got.values()}) > 6
+
+
+def test_unknown_candidates_are_decided_once(spark, monkeypatch):
+    """Commands on unknown candidates have no lecturer: in the rounds they would all be one window's rows."""
+    unknown = []
+    monkeypatch.setattr(R, "fold", lambda commands, fold=R.fold: (unknown.append(commands.where("not found").count()), fold(commands))[1])
+    commands, *rest = world(0)
+    more = [(10_000 + k, 0, None, "ACCEPT", 90_000 + k, 1, 0, 1, "seen", None, None) for k in range(50)]
+    got = R.review_batch(*frames(spark, ([*commands, *more], *rest)))
+    assert sum(n > 0 for n in unknown) == 1 and max(unknown) >= 50
+    assert got.where("cand_id >= 90000 and error is not null and outcome is null").count() == 50
