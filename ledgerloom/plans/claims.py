@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Claim types, the rule that makes evidence, and statuses that count as a negative decision.
 OWNED, ORCID, EMAIL, UNOWNED = "SCOPUS_ID_OWNED", "ORCID_DECLARED", "EMAIL_DECLARED", ("SCOPUS_ID_AMBIGUOUS", "SCOPUS_ID_UNASSIGNED")
 RULE, RULE_VERSION = "SOURCE_DECLARED_SCOPUS_ID", "1"
@@ -40,28 +44,45 @@ def presence_of(last_seen: Column, hits: Column, seen_complete: Column, weak: Co
     return F.when(at_end & (hits == F.col("n_latest")), "CURRENT").when(~at_end & gone, "WITHDRAWN").otherwise("NOT_OBSERVED")
 
 
-def current_claims(observations: DataFrame, captures: DataFrame) -> DataFrame:
-    """One row a claim of a scope: its last observation's columns, presence, whether captures of its last instant disagree, and all
-    observations of it. Repeated captures and analyses of a claim are one; a claim of another source is another.
+def current_claims(observations: DataFrame, captures: DataFrame, refs: bool = True) -> DataFrame:
+    """One row a claim of a scope: its last observation's columns, presence, whether captures of its last instant disagree, how many
+    observations of it there are, and with refs all of them. Repeated captures and analyses of a claim are one; a claim of another
+    source is another.
 
-    Observations are summed up by instant before they meet, so a claim that is listed all the time is cheap.
+    A few claims may be listed very often. First each claim's last instant is found, by sums and maxima that need little room; only
+    captures of such instants are counted one by one, and the last one's columns are looked up. Only refs are gathered by claim.
     """
     caps = captures.select("capture_id", *SCOPE, "captured_at", (F.col("completeness") == "COMPLETE").alias("complete"), "completeness")
-    x = observations.join(caps, "capture_id")
-    last = F.struct("capture_id", "claim_type", "value_raw", "value_normalized", "is_primary", "listed", "record_key", "key_method", "key_strength", "record_source_id", "record_email", "rules")
-    ref = F.struct("captured_at", "capture_id", "completeness", "analysis_id", "claim_id", "record_id")
-    per = x.groupBy(*CLAIM, "captured_at").agg(
-        F.max_by(last, "capture_id").alias("o"), F.countDistinct("capture_id").alias("hits"), F.countDistinct("is_primary", "listed").alias("n_flags"),
-        F.bool_or("complete").alias("seen_complete"), F.bool_or(F.col("key_strength") == "WEAK").alias("weak"), F.collect_list(ref).alias("refs"),
-    )
-    one = per.groupBy(*CLAIM).agg(
-        F.max_by(F.struct("o", "hits", "n_flags", "seen_complete", F.col("captured_at").alias("last_seen")), "captured_at").alias("e"), F.bool_or("weak").alias("weak"), F.array_sort(F.flatten(F.collect_list("refs"))).alias("observed_in")
+    # which of the four pairs of flags there are, as bits; a pair with a null doesn't count
+    flags = F.when(F.col("is_primary").isNotNull() & F.col("listed").isNotNull(), F.when(F.col("is_primary"), 4).otherwise(1) * F.when(F.col("listed"), 2).otherwise(1))
+    at = caps.drop("completeness")
+    times = observations.select("capture_id", "claim_key", (F.col("key_strength") == "WEAK").alias("weak")).join(at.drop("complete"), "capture_id")
+    times = cut(times.groupBy(*CLAIM).agg(F.max("captured_at").alias("last_seen"), F.bool_or("weak").alias("weak"), F.count(F.lit(1)).alias("n_observed")))
+    ends = times.select(*SCOPE, F.col("last_seen").alias("captured_at")).distinct()
+    final = observations.select("capture_id", "claim_key", flags.alias("flags")).join(at.join(ends, [*SCOPE, "captured_at"], "left_semi"), "capture_id")
+    final = final.groupBy(*CLAIM, "captured_at", "capture_id").agg(F.bit_or("flags").alias("flags"), F.bool_or("complete").alias("complete"))
+    final = final.groupBy(*CLAIM, F.col("captured_at").alias("last_seen")).agg(
+        F.count(F.lit(1)).alias("hits"), F.max("capture_id").alias("last_capture"), F.coalesce(F.bit_count(F.bit_or("flags")), F.lit(0)).alias("n_flags"), F.bool_or("complete").alias("seen_complete")
     )
-    y = one.select(*CLAIM, "weak", "observed_in", "e.*").join(scope_ends(caps, SCOPE, "captured_at", "capture_id"), SCOPE)
+    one = cut(_with(times, final, [*CLAIM, "last_seen"]))
+    last = F.struct("capture_id", "claim_type", "value_raw", "value_normalized", "is_primary", "listed", "record_key", "key_method", "key_strength", "record_source_id", "record_email", "rules")
+    asked = one.select(F.col("last_capture").alias("capture_id"), F.col("claim_key").alias("asked_key"))
+    found = observations.join(asked, (observations["capture_id"] == asked["capture_id"]) & observations["claim_key"].eqNullSafe(asked["asked_key"]), "left_semi")
+    found = found.select("capture_id", "claim_key", last.alias("o")).groupBy(F.col("capture_id").alias("last_capture"), "claim_key").agg(F.first("o").alias("o"))
+    y = _with(one, found, ["last_capture", "claim_key"]).join(scope_ends(caps, SCOPE, "captured_at", "capture_id"), SCOPE)
+    if refs:
+        ref = F.struct("captured_at", "capture_id", "completeness", "analysis_id", "claim_id", "record_id")
+        y = _with(y, observations.join(caps, "capture_id").groupBy(*CLAIM).agg(F.array_sort(F.collect_list(ref)).alias("observed_in")), CLAIM)
     differs = (F.col("last_seen") == F.col("latest")) & (F.col("hits") < F.col("n_latest"))
     doubt = F.when(differs, "PRESENCE_DIFFERS").when(F.col("n_flags") > 1, "FLAGS_DIFFER")
     presence = presence_of(F.col("last_seen"), F.col("hits"), F.col("seen_complete"), F.col("weak"))
-    return y.select(*CLAIM, "o.*", presence.alias("presence"), doubt.alias("doubt"), "hits", "observed_in")
+    return y.select(*CLAIM, "o.*", presence.alias("presence"), doubt.alias("doubt"), "hits", "n_observed", *["observed_in"] * refs)
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, null where it has no row; null keys are equal."""
+    named = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    return left.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]), "left").drop(*[f"__{c}" for c in keys])
 
 
 def _hits(lecturers: DataFrame, key: str, name: str) -> DataFrame:
@@ -82,13 +103,13 @@ def resolve(claims: DataFrame, lecturers: DataFrame) -> DataFrame:
     return x.select(*claims.columns, how.alias("resolution"), lec.alias("lec_id"))
 
 
-def bridge(observations: DataFrame, captures: DataFrame, lecturers: DataFrame, authors: DataFrame) -> DataFrame:
+def bridge(observations: DataFrame, captures: DataFrame, lecturers: DataFrame, authors: DataFrame, refs: bool = True) -> DataFrame:
     """Resolved claims with their author and the lecturer's own data: what evidence() and findings() are made from.
 
-    Run problems() first: its rows say why observations can't be taken. authors: author_id, scopus_id.
+    Run problems() first: its rows say why observations can't be taken. authors: author_id, scopus_id. refs: with each claim's observations.
     """
     known = lecturers.select("lec_id", F.col("email").alias("lec_email"), F.col("orcid").alias("lec_orcid"))
-    x = resolve(current_claims(observations, captures), lecturers).join(known, "lec_id", "left")
+    x = resolve(current_claims(observations, captures, refs), lecturers).join(known, "lec_id", "left")
     return x.join(authors.select("author_id", F.col("scopus_id").alias("value_normalized")), "value_normalized", "left")
 
 
@@ -96,7 +117,7 @@ def evidence(bridged: DataFrame) -> DataFrame:
     """One row for each claim of an owned ID that is resolved and in the catalog, with the digest of its key as fingerprint."""
     key = F.array(*[c.cast("string") if isinstance(c, Column) else F.col(c).cast("string") for c in ("lec_id", "author_id", F.lit(RULE), F.lit(RULE_VERSION), *CLAIM)])
     own = bridged.where((F.col("claim_type") == OWNED) & F.col("lec_id").isNotNull() & F.col("author_id").isNotNull())
-    return own.select("lec_id", "author_id", F.col("value_normalized").alias("scopus_id"), *CLAIM, F.sha2(F.to_json(key), 256).alias("fingerprint"), "resolution", F.coalesce("is_primary", F.lit(False)).alias("is_primary"), F.coalesce("listed", F.lit(True)).alias("listed"), "presence", "rules", "observed_in")
+    return own.select("lec_id", "author_id", F.col("value_normalized").alias("scopus_id"), *CLAIM, F.sha2(F.to_json(key), 256).alias("fingerprint"), "resolution", F.coalesce("is_primary", F.lit(False)).alias("is_primary"), F.coalesce("listed", F.lit(True)).alias("listed"), "presence", "rules", *[c for c in ("n_observed", "observed_in") if c in bridged.columns])
 
 
 def _rules(bridged: DataFrame) -> list[Column]:

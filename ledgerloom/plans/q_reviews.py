@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..streaming import journal as J
 from . import claims as CL
 from . import reviews as R
@@ -89,13 +90,13 @@ def claim_world(r):
 
 def bridged(r):
     observations, caps, lec, authors, decisions = claim_world(r)
-    return CL.bridge(observations, caps, lec, authors), decisions
+    return cut(CL.bridge(observations, caps, lec, authors, refs=False)), decisions  # one row a claim, read several times
 
 
 @query("bridge_evidence")
 def bridge_evidence(r):
     b, _ = bridged(r)
-    return CL.evidence(b).select("lec_id", "author_id", "scopus_id", *CL.CLAIM, "fingerprint", "resolution", "is_primary", "listed", "presence", F.size("observed_in").cast("long").alias("n_observed"))
+    return CL.evidence(b).select("lec_id", "author_id", "scopus_id", *CL.CLAIM, "fingerprint", "resolution", "is_primary", "listed", "presence", "n_observed")
 
 
 @query("bridge_pairs")

@@ -120,3 +120,9 @@ def test_author_lists_are_read_once(spark, sf_dir):
     for name in ("parse_author_occurrences", "normalize_authors"):
         plan = optimized(spark, sf_dir, name)
         assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_claims_are_summed_up_before_they_meet(spark, sf_dir):
+    """No claim's observations are gathered in one place, no row is expanded for distinct counts, and all read one result."""
+    for name in ("bridge_evidence", "bridge_pairs", "bridge_findings"):
+        assert not re.search(r"Expand|collect_list\(|event_id", optimized(spark, sf_dir, name)), name
