@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.diff import names_of
-from ..session import shared_dir
+from ..session import kept, shared_dir
 from ..sources import http, sinks
 from ..sources.merge import KeyedTable
 from . import affiliations as AF
@@ -41,18 +41,16 @@ RES_ID = "pub_id * 100 + author_order * 10 + CASE WHEN source = 'openalex' THEN
 
 
 def affiliation_rows(res):
-    rows = None
-    for aff_id, index, text, org, where in AFFILIATIONS:
-        part = res.where(where).selectExpr("res_id", aff_id, f"cast({index.split(' AS ')[0]} as int) AS raw_index", f"cast({text.split(' AS ')[0]} as string) AS raw_text", org, "CASE WHEN res_id % 2 = 0 THEN 'VN' END AS country")
-        rows = part if rows is None else rows.union(part)
-    return rows
+    """The entries of each resolution, all from one pass over them."""
+    entries = ", ".join(f"CASE WHEN {where} THEN named_struct('aff_id', {aff_id.split(' AS ')[0]}, 'raw_index', cast({index.split(' AS ')[0]} as int), 'raw_text', cast({text.split(' AS ')[0]} as string), 'org_name', {org.split(' AS ')[0]}) END" for aff_id, index, text, org, where in AFFILIATIONS)
+    return res.select("res_id", F.expr(f"inline(array_compact(array({entries})))")).withColumn("country", F.expr("CASE WHEN res_id % 2 = 0 THEN 'VN' END"))
 
 
-def units_of(r):
-    """Units of current trusted resolutions, with their positions."""
-    cur = current_resolutions(r).where("status <> 'UNRESOLVED' and presence <> 'ABSENT'").withColumn("res_id", F.expr(RES_ID))
+def units_of(r, current=None):
+    """Units of current trusted resolutions, with their positions. current: the current resolutions, where they are at hand."""
+    cur = (current_resolutions(r) if current is None else current).where("status <> 'UNRESOLVED' and presence <> 'ABSENT'").withColumn("res_id", F.expr(RES_ID))
     heads = cur.select("res_id", "status", "source", F.lit(None).cast("string").alias("work_url"), F.concat(F.lit("10.1/"), F.col("pub_id").cast("string")).alias("doi"))
-    return cur, E.build_units(heads, affiliation_rows(cur.select("res_id", "affiliation")))
+    return cur, E.build_units(heads, affiliation_rows(cur.select("res_id", "affiliation").repartition("res_id")))
 
 
 @query("unit_groups", "res", CURRENT_RES + f" , t AS (SELECT {RES_ID} AS res_id, affiliation, status, source, pub_id FROM cur WHERE status <> 'UNRESOLVED' AND presence <> 'ABSENT'), a AS (" + " UNION ALL ".join(f"SELECT res_id, {a}, {i}, {t}, {o}, CASE WHEN res_id % 2 = 0 THEN 'VN' END AS country FROM t WHERE {w}" for a, i, t, o, w in AFFILIATIONS) + """),
@@ -67,11 +65,12 @@ def unit_groups(r):
 
 def export_world(r):
     """(publications, positions, units, decisions, lecturers) of the stand-ins."""
-    cur, units = units_of(r)
+    current = kept(current_resolutions(r).select(*AF.POSITION, "source", "status", "presence", "reason", "affiliation"))
+    cur, units = units_of(r, current)
     placed = cur.select("res_id", *AF.POSITION, F.when(F.col("status") == "VERIFIED", 0).otherwise(1).alias("rank"))
     pubs = r.pub.select("pub_id", "eid", "doi", "title", "year", "source_title")
     positions = r.pa.join(r.author, "author_id").join(pubs.select("pub_id"), "pub_id", "left_semi").select(*AF.POSITION, "scopus_id", F.col("name").alias("author_name"))
-    d = decided(r).select(*AF.POSITION, F.col("status").alias("affiliation_status"), "gap_reason", "admin_reviewed")
+    d = decided(r, current).select(*AF.POSITION, F.col("status").alias("affiliation_status"), "gap_reason", "admin_reviewed")
     links = r.ident.where("status = 'APPROVED'").select("author_id", "lec_id").distinct().join(r.lec.select("lec_id", "full_name"), "lec_id")
     lecturers = r.pa.join(links, "author_id").select(*AF.POSITION, "full_name")
     return pubs, positions, placed.join(units, "res_id").select(*AF.POSITION, "rank", "place", "label", "confidence", "source", "evidence_url"), d, lecturers

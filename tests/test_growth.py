@@ -126,3 +126,15 @@ def test_claims_are_summed_up_before_they_meet(spark, sf_dir):
     """No claim's observations are gathered in one place, no row is expanded for distinct counts, and all read one result."""
     for name in ("bridge_evidence", "bridge_pairs", "bridge_findings"):
         assert not re.search(r"Expand|collect_list\(|event_id", optimized(spark, sf_dir, name)), name
+
+
+def test_export_takes_current_resolutions_once(spark, sf_dir):
+    """Units, positions and decisions of an export read what is kept, and entries come from one pass."""
+    from ledgerloom.plans import q_exports as Q
+    from ledgerloom.plans.standins import Relations
+
+    _, _, units, decisions, _ = Q.export_world(Relations(spark, sf_dir))
+    for df in (units, decisions):
+        assert "row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
+    entries = Q.affiliation_rows(Relations(spark, sf_dir).res.select("res_id", "affiliation"))
+    assert "Union" not in entries._jdf.queryExecution().optimizedPlan().toString()
