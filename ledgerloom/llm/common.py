@@ -45,14 +45,17 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """mapInArrow; make() runs once a task and returns what is applied to each batch."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType, rows: int | None = None) -> DataFrame:
+    """mapInArrow; make() runs once a task and returns what is applied to each batch, or to each `rows` rows of it. Workers outlive
+    their tasks, so a task gives back the memory that Arrow would keep for the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, rows or max(batch.num_rows, 1)):
+                yield step(batch.slice(at, rows))
+        del step
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

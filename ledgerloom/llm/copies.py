@@ -25,8 +25,8 @@ FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 ADDENDS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 #: Bytes of a band's texts that one task compares with as many others.
 PIECE_BYTES = 16_000_000
-#: Shingles hashed at a time, and texts whose shingles a task remembers.
-SLAB, REMEMBERED = 4096, 64
+#: Shingles hashed at a time, texts whose shingles a task remembers, and texts taken from a batch at a time.
+SLAB, REMEMBERED, TEXTS = 4096, 64, 1000
 
 
 def shingle_set(raw: bytes) -> np.ndarray:
@@ -94,25 +94,31 @@ def hub_pairs(rooted: DataFrame) -> DataFrame:
 
 def edges_between(cls: np.ndarray, root: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a left and a right class that are alike, enough to connect all that are; those in one group are passed over."""
-    sizes = np.array([len(x) for x in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    if not sets:
+        return []
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order])
+    left, right, group = left[order], right[order], np.unique(root, return_inverse=True)[1][order]
+    # shingles as numbers, set after set from the smallest: those of sizes that can be alike lie side by side
+    names = np.unique(np.concatenate(sets))
     ends = np.cumsum(sizes)
-    of, starts = np.repeat(np.arange(len(sets)), sizes), ends - sizes
-    group = np.unique(root, return_inverse=True)[1]
-    held, out = np.zeros(flat.max() + 1, dtype=bool), []
+    starts, flat = ends - sizes, np.empty(ends[-1], dtype=np.int32)
+    for k, a, b in zip(order, starts, ends, strict=True):
+        flat[a:b] = np.searchsorted(names, sets[k])
+    held, out = np.zeros(len(names), dtype=bool), []
+    del names
     for i in np.flatnonzero(left):
-        own = flat[starts[i] : ends[i]]
-        small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        ask = right & (group != group[i]) & (OF * small >= ALIKE * large)
+        low, high = np.searchsorted(sizes, -(-ALIKE * sizes[i] // OF)), np.searchsorted(sizes, OF * sizes[i] // ALIKE, side="right")
+        ask = right[low:high] & (group[low:high] != group[i])
         if not ask.any():
             continue
+        own = flat[starts[i] : ends[i]]
         held[own] = True
-        at = ask[of]
-        both = np.bincount(of[at], weights=held[flat[at]], minlength=len(sets))
+        both = np.add.reduceat(held[flat[starts[low] : ends[high - 1]]], starts[low:high] - starts[low], dtype=np.int64)
         held[own] = False
-        for j in np.flatnonzero(ask & (OF * both >= ALIKE * (sizes + sizes[i] - both))):
+        for j in low + np.flatnonzero(ask & (OF * both >= ALIKE * (sizes[low:high] + sizes[i] - both))):
             if group[j] != group[i]:
-                out.append((i, j))
+                out.append((order[i], order[j]))
                 group[group == group[j]] = group[i]
     return out
 
@@ -135,9 +141,9 @@ def compared_in_bands(rest: DataFrame, texts: DataFrame, piece_bytes: int) -> Da
         order = np.argsort(cls)
         cls, root = cls[order], np.array(group.column("root").to_pylist(), dtype=object)[order]
         own = group.column("own").to_numpy()[order]
-        texts = utf8(group.column("text").combine_chunks())
+        sets = [shingle_set(x.as_py() or b"") for x in group.column("text").cast(pa.binary())]  # one text at a time
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        found = edges_between(cls, root, [shingle_set(texts[k]) for k in order], own == i, own == j)
+        found = edges_between(cls, root, [sets[k] for k in order], own == i, own == j)
         return pa.table({"a": pa.array([cls[k] for k, _ in found], pa.binary()), "b": pa.array([cls[k] for _, k in found], pa.binary())})
 
     return cut(x.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary"))
@@ -172,7 +178,7 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return step
 
-    each = arrow_map(source, make, T.StructType([source.schema["id"], source.schema["text_hash"], T.StructField("cls", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    each = arrow_map(source, make, T.StructType([source.schema["id"], source.schema["text_hash"], T.StructField("cls", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), TEXTS)
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "text_hash")
     classes = cut(each.groupBy("cls").agg(F.min(rank).alias("head"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     rows = classes.select("cls", "n", F.explode("bands").alias("band"))

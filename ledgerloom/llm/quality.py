@@ -20,39 +20,40 @@ BUCKETS = 1 << 18
 FIT_ROWS = 8192
 #: A document is kept if the highest grade is at least this likely.
 KEEP = 0.5
-#: Words remembered with their buckets by a Python worker.
-REMEMBERED = 400_000
-
-_known: dict[bytes, tuple[int, ...]] = {}
+#: Words that a task remembers with their buckets, and texts it turns into Python objects at a time. Workers outlive their tasks, so
+#: what a task remembers goes with it.
+REMEMBERED, TEXTS = 50_000, 1000
 
 
 def bucket(feature: bytes) -> int:
     return zlib.crc32(feature) & (BUCKETS - 1)
 
 
-def of_word(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word: its core in lower case, and the marks that stand around the core if they aren't plain punctuation."""
-    got = _known.get(word)
+def of_word(word: bytes, known: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
+    """Buckets of a word: its core in lower case, and the marks that stand around the core if they aren't plain punctuation. known:
+    words met before, of which it holds REMEMBERED at most."""
+    got = known.get(word)
     if got is None:
         core = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         marks = word.replace(core, b"", 1) if core else word
         out = [bucket(b"w " + core.decode("utf-8", "replace").lower().encode())] if core else []
         if len(marks) > 1 or marks and marks not in b".,;:!?":
             out.append(bucket(b"m " + marks))
-        if len(_known) > REMEMBERED:
-            _known.clear()
-        got = _known[word] = tuple(out)
+        if len(known) >= REMEMBERED:
+            known.clear()
+        got = known[word] = tuple(out)
     return got
 
 
-def features(raw: bytes) -> np.ndarray:
+def features(raw: bytes, known: dict[bytes, tuple[int, ...]] | None = None) -> np.ndarray:
     """Sorted distinct buckets of a UTF-8 text: words, marks, and steps of what can be said of the whole text."""
+    known = {} if known is None else known
     words = raw.split()
     counts = Counter(words)
-    out = {b for w in counts for b in of_word(w)}
+    out = {b for w in counts for b in of_word(w, known)}
     n = len(words)
     if n:
-        marked = sum(c for w, c in counts.items() if len(of_word(w)) != 1 or not w[:1].isalnum() and w[:1] < b"\x80")
+        marked = sum(c for w, c in counts.items() if len(of_word(w, known)) != 1 or not w[:1].isalnum() and w[:1] < b"\x80")
         shouted = sum(c for w, c in counts.items() if len(w) > 2 and w.isupper())
         again = sum(a == b for a, b in zip(words, words[1:], strict=False))
         for name, value in ((b"marked", marked / n), (b"shouted", shouted / n), (b"again", again / n), (b"distinct", len(counts) / n)):
@@ -137,12 +138,14 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = 3, fit_rows: int =
     sample = sample.groupBy("id").agg(F.min("grade").alias("grade"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("grade", "text")
 
     def make():
+        known = {}
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x).tobytes() for x in utf8(batch.column(1))], pa.binary())], names=["grade", "x"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x, known).tobytes() for x in utf8(batch.column(1))], pa.binary())], names=["grade", "x"])
 
         return step
 
-    rows = arrow_map(sample, make, T.StructType([sample.schema["grade"], T.StructField("x", T.BinaryType())])).toArrow()
+    rows = arrow_map(sample, make, T.StructType([sample.schema["grade"], T.StructField("x", T.BinaryType())]), TEXTS).toArrow()
     y = rows.column("grade").to_numpy().astype(np.int64)
     x = [np.frombuffer(b, dtype=np.int32) for b in rows.column("x").to_pylist()]
     # an order of its own, so that the fit doesn't follow the order in which rows arrive
@@ -162,15 +165,15 @@ def score(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     def make():
-        own = sent.value
+        own, known = sent.value, {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tails = np.array([own.tails(features(x)) for x in utf8(batch.column(1))])
+            tails = np.array([own.tails(features(x, known)) for x in utf8(batch.column(1))])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep)], names=schema.names)
 
         return step
 
-    return arrow_map(source, make, schema)
+    return arrow_map(source, make, schema, TEXTS)
 
 
 def keep_good(docs: DataFrame, model: Ordinal | None, text_col: str = "text", keep: float = KEEP) -> DataFrame:
@@ -180,14 +183,14 @@ def keep_good(docs: DataFrame, model: Ordinal | None, text_col: str = "text", ke
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def make():
-        own = sent.value
+        own, known = sent.value, {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array([bool(own.tails(features(x))[-1] >= keep) for x in utf8(batch.column(at))], pa.bool_()))
+            return batch.filter(pa.array([bool(own.tails(features(x, known))[-1] >= keep) for x in utf8(batch.column(at))], pa.bool_()))
 
         return step
 
-    return arrow_map(docs, make, docs.schema)
+    return arrow_map(docs, make, docs.schema, TEXTS)
 
 
 def graded(labels: DataFrame) -> DataFrame:

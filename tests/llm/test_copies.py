@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from ledgerloom.llm import copies, simhash
 
 
@@ -66,3 +68,29 @@ def test_repeated_rows(docs_of):
     rows = [(1, prose(50, 1))] * 3 + [(None, prose(50, 1)), (2, prose(50, 2)), (2, prose(50, 2).upper()), (2, prose(50, 3))]
     assert sorted((r.doc_id, (r.text or "").lower()) for r in copies.keep_firsts(docs_of(rows)).collect()) == sorted([(1, prose(50, 1)), (2, prose(50, 2)), (2, prose(50, 3))])
     assert copies.keep_firsts(docs_of([])).count() == 0
+
+
+def test_memory_of_a_comparison():
+    """Two pieces of a band take a few arrays of their shingles at once, and all that are alike are connected."""
+    rng = np.random.default_rng(1)
+    base = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in rng.integers(1, 4000, 200)]
+    sets = [np.unique(np.r_[x[: len(x) - len(x) // k], y]) for k in (9, 3) for x in base for y in [rng.integers(0, 2**63, len(x) // k, dtype=np.uint64)]]
+    sets += [np.unique(x) for x in base]
+    n, total = len(sets), sum(map(len, sets))
+    left = rng.random(n) < 0.5
+    tracemalloc.start()
+    found = copies.edges_between(np.arange(n), np.arange(n), sets, left, ~left)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {(i, j) for i in np.flatnonzero(left) for j in np.flatnonzero(~left) if copies.alike(sets[i], sets[j])}
+    assert len(want) > 50 and {(int(i), int(j)) for i, j in found} <= want
+    root = copies_roots(n, found)
+    assert all(root[i] == root[j] for i, j in want)
+    assert peak < 30 * total
+
+
+def copies_roots(n, pairs):
+    parent = np.arange(n)
+    for i, j in pairs:
+        parent[parent == parent[j]] = parent[i]
+    return parent

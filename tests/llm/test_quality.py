@@ -1,4 +1,8 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality
@@ -123,3 +127,18 @@ def test_on_the_documents(spark):
     clean, toxic = F.expr("quality = 1 and toxic = 0"), F.expr("toxic = 1")
     r = found.agg(F.avg(F.when(clean, F.col("kept").cast("int"))).alias("clean"), F.avg(F.when(toxic, F.col("kept").cast("int"))).alias("toxic")).first()
     assert r.clean > 0.97 and r.toxic < 0.5, r
+
+
+def test_a_task_forgets_its_words():
+    """Workers outlive their tasks: what one remembers is bounded, and goes with it."""
+    ran = []
+    texts = [" ".join(f"word{k}" for k in range(at, at + 2000)) for at in range(0, 200_000, 2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), columns=batch.schema.names, schema=None, mapInArrow=lambda run, _: ran.append(run))
+    quality.keep_good(docs, quality.Ordinal(np.ones(quality.BUCKETS, dtype=np.float32), np.zeros(2)))
+    tracemalloc.start()
+    assert sum(b.num_rows for b in ran[0](iter([batch]))) == len(texts)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 2_000_000 and peak < 25_000_000
