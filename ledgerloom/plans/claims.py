@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, dealt
 
 # Claim types, the rule that makes evidence, and statuses that count as a negative decision.
 OWNED, ORCID, EMAIL, UNOWNED = "SCOPUS_ID_OWNED", "ORCID_DECLARED", "EMAIL_DECLARED", ("SCOPUS_ID_AMBIGUOUS", "SCOPUS_ID_UNASSIGNED")
@@ -51,15 +51,16 @@ def current_claims(observations: DataFrame, captures: DataFrame, refs: bool = Tr
 
     A few claims may be listed very often. First each claim's last instant is found, by sums and maxima that need little room; only
     captures of such instants are counted one by one, and the last one's columns are looked up. Only refs are gathered by claim.
+    Neither observations nor captures are broadcast, as both grow with the input.
     """
     caps = captures.select("capture_id", *SCOPE, "captured_at", (F.col("completeness") == "COMPLETE").alias("complete"), "completeness")
     # which of the four pairs of flags there are, as bits; a pair with a null doesn't count
     flags = F.when(F.col("is_primary").isNotNull() & F.col("listed").isNotNull(), F.when(F.col("is_primary"), 4).otherwise(1) * F.when(F.col("listed"), 2).otherwise(1))
     at = caps.drop("completeness")
-    times = observations.select("capture_id", "claim_key", (F.col("key_strength") == "WEAK").alias("weak")).join(at.drop("complete"), "capture_id")
+    times = observations.select("capture_id", "claim_key", (F.col("key_strength") == "WEAK").alias("weak")).join(dealt(at.drop("complete")), "capture_id")
     times = cut(times.groupBy(*CLAIM).agg(F.max("captured_at").alias("last_seen"), F.bool_or("weak").alias("weak"), F.count(F.lit(1)).alias("n_observed")))
     ends = times.select(*SCOPE, F.col("last_seen").alias("captured_at")).distinct()
-    final = observations.select("capture_id", "claim_key", flags.alias("flags")).join(at.join(ends, [*SCOPE, "captured_at"], "left_semi"), "capture_id")
+    final = observations.select("capture_id", "claim_key", flags.alias("flags")).join(dealt(at.join(ends, [*SCOPE, "captured_at"], "left_semi")), "capture_id")
     final = final.groupBy(*CLAIM, "captured_at", "capture_id").agg(F.bit_or("flags").alias("flags"), F.bool_or("complete").alias("complete"))
     final = final.groupBy(*CLAIM, F.col("captured_at").alias("last_seen")).agg(
         F.count(F.lit(1)).alias("hits"), F.max("capture_id").alias("last_capture"), F.coalesce(F.bit_count(F.bit_or("flags")), F.lit(0)).alias("n_flags"), F.bool_or("complete").alias("seen_complete")
@@ -72,7 +73,7 @@ def current_claims(observations: DataFrame, captures: DataFrame, refs: bool = Tr
     y = _with(one, found, ["last_capture", "claim_key"]).join(scope_ends(caps, SCOPE, "captured_at", "capture_id"), SCOPE)
     if refs:
         ref = F.struct("captured_at", "capture_id", "completeness", "analysis_id", "claim_id", "record_id")
-        y = _with(y, observations.join(caps, "capture_id").groupBy(*CLAIM).agg(F.array_sort(F.collect_list(ref)).alias("observed_in")), CLAIM)
+        y = _with(y, observations.join(dealt(caps), "capture_id").groupBy(*CLAIM).agg(F.array_sort(F.collect_list(ref)).alias("observed_in")), CLAIM)
     differs = (F.col("last_seen") == F.col("latest")) & (F.col("hits") < F.col("n_latest"))
     doubt = F.when(differs, "PRESENCE_DIFFERS").when(F.col("n_flags") > 1, "FLAGS_DIFFER")
     presence = presence_of(F.col("last_seen"), F.col("hits"), F.col("seen_complete"), F.col("weak"))
@@ -92,7 +93,7 @@ def _hits(lecturers: DataFrame, key: str, name: str) -> DataFrame:
 def resolve(claims: DataFrame, lecturers: DataFrame) -> DataFrame:
     """claims with resolution and lec_id: by profile address, or else by e-mail; null where the key is weak, several lecturers have it,
     the two disagree, or none has either. lecturers: lec_id, url, email, orcid, all normalised or null."""
-    x = claims.join(_hits(lecturers, "url", "record_source_id"), "record_source_id", "left").join(_hits(lecturers, "email", "record_email"), "record_email", "left")
+    x = claims.join(dealt(_hits(lecturers, "url", "record_source_id")), "record_source_id", "left").join(dealt(_hits(lecturers, "email", "record_email")), "record_email", "left")
     url_n, email_n = F.coalesce("record_source_id_n", F.lit(0)), F.coalesce("record_email_n", F.lit(0))
     other = (email_n > 1) | ((email_n == 1) & (F.col("record_email_lec") != F.col("record_source_id_lec")))
     how = (
@@ -109,8 +110,8 @@ def bridge(observations: DataFrame, captures: DataFrame, lecturers: DataFrame, a
     Run problems() first: its rows say why observations can't be taken. authors: author_id, scopus_id. refs: with each claim's observations.
     """
     known = lecturers.select("lec_id", F.col("email").alias("lec_email"), F.col("orcid").alias("lec_orcid"))
-    x = resolve(current_claims(observations, captures, refs), lecturers).join(known, "lec_id", "left")
-    return x.join(authors.select("author_id", F.col("scopus_id").alias("value_normalized")), "value_normalized", "left")
+    x = resolve(current_claims(observations, captures, refs), lecturers).join(dealt(known), "lec_id", "left")
+    return x.join(dealt(authors.select("author_id", F.col("scopus_id").alias("value_normalized"))), "value_normalized", "left")
 
 
 def evidence(bridged: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def assess(found: DataFrame, decisions: DataFrame, bridged: DataFrame) -> DataFr
     approved = decisions.where("identity_status = 'APPROVED'").groupBy("author_id").agg(F.min("lec_id").alias("owner_a"), F.max("lec_id").alias("owner_b"))
     loose = bridged.where(F.col("claim_type").isin(*UNOWNED) & (F.col("presence") == "CURRENT")).groupBy(F.col("value_normalized").alias("scopus_id"))
     loose = loose.agg(F.array_join(F.array_sort(F.collect_set(F.regexp_replace("claim_type", "^SCOPUS_ID_", ""))), "_AND_").alias("also"))
-    x = by.join(decisions, ["lec_id", "author_id"], "left").join(live, "author_id", "left").join(approved, "author_id", "left").join(loose, "scopus_id", "left")
+    x = by.join(dealt(decisions), ["lec_id", "author_id"], "left").join(live, "author_id", "left").join(approved, "author_id", "left").join(loose, "scopus_id", "left")
     negative = F.coalesce(F.col("candidate_status").isin(*NEGATIVE_CANDIDATE), F.lit(False)) | F.coalesce(F.col("identity_status").isin(*NEGATIVE_IDENTITY), F.lit(False))
     other = F.coalesce((F.col("owner_a") != F.col("lec_id")) | (F.col("owner_b") != F.col("lec_id")), F.lit(False))
     several, also = F.coalesce(F.col("n_live") > 1, F.lit(False)), F.col("also").isNotNull()

@@ -138,3 +138,23 @@ def test_export_takes_current_resolutions_once(spark, sf_dir):
         assert "row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
     entries = Q.affiliation_rows(Relations(spark, sf_dir).res.select("res_id", "affiliation"))
     assert "Union" not in entries._jdf.queryExecution().optimizedPlan().toString()
+
+
+def broadcast_keys(df):
+    """The first key of each join that would send a side to the driver."""
+    return re.findall(r"Broadcast\w*Join \[(?:\w+\()*(\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_claims_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Spark takes exploded observations for few bytes; they and their captures are dealt out, however few it takes them for."""
+    from ledgerloom.plans import claims as CL
+    from ledgerloom.plans import q_reviews as Q
+    from ledgerloom.plans.standins import Relations
+
+    monkeypatch.setattr(CL, "cut", lambda df: df)
+    observations, captures, lecturers, authors, decisions = Q.claim_world(Relations(spark, sf_dir))
+    b = CL.bridge(observations, captures, lecturers, authors, refs=False)
+    plan = CL.assess(CL.evidence(b), decisions, b)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"SortMergeJoin \[capture_id#\w+\], \[capture_id#\w+\], Inner", plan)) >= 2
+    for key in (r"capture_id#\w+\], \[capture_id#\w+\], Inner", r"record_source_id#", r"record_email#", r"value_normalized#", r"lec_id#"):
+        assert not re.search(r"Broadcast\w*Join \[" + key, plan), key
