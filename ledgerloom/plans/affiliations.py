@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import dealt
 
 # Reasons for a gap, the one that governs first.
 GAP_REASONS = (
@@ -42,7 +43,7 @@ def decide(positions: DataFrame, current: DataFrame, active: DataFrame) -> DataF
     r = current.groupBy(*POSITION).agg(F.max(rank_of(F.col("status"))).alias("best"), F.array_sort(F.collect_list(unit)).alias("units"), F.min(reason_rank(why)).alias("why"))
     manual = F.when(F.col("confidence") == "CORROBORATED", F.struct("over_id", F.col("affiliation").alias("text")))
     o = active.groupBy(*POSITION).agg(F.array_sort(F.collect_list(manual)).alias("manual"), F.bool_or(F.col("confidence") == "UNRESOLVED").alias("marked"))
-    x = positions.join(r, POSITION, "left").join(o, POSITION, "left")
+    x = positions.join(dealt(r), POSITION, "left").join(dealt(o), POSITION, "left")
     texts = F.when(F.size("manual") > 0, F.col("manual.text")).when(F.size("units") > 0, F.col("units.affiliation")).otherwise(F.array().cast("array<string>"))
     status = F.when(F.col("best") == 2, "VERIFIED").when(F.col("best") == 1, "CORROBORATED").when(F.col("best") == 0, "UNRESOLVED").otherwise("NOT_RECONCILED")
     reason = F.when(F.col("marked"), GAP_REASONS[0]).when(F.col("best").isNull(), "NOT_RECONCILED").otherwise(F.element_at(F.array(*map(F.lit, GAP_REASONS)), F.coalesce("why", F.lit(0)) + 1))

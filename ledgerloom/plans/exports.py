@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import dealt
 
 JOIN = " | "
 POSITION = ["pub_id", "author_order"]
@@ -25,7 +26,7 @@ def build_units(resolutions: DataFrame, affiliations: DataFrame) -> DataFrame:
     units = affiliations.withColumn("unit", own).groupBy("res_id", "unit").agg(
         F.min("aff_id").alias("place"), F.min_by("raw_text", "aff_id").alias("text"), F.array_sort(F.collect_list(org)).alias("orgs")
     )
-    x = units.join(resolutions.select("res_id", F.col("status").alias("confidence"), "source", X.evidence_url(F.col("work_url"), F.col("doi")).alias("evidence_url")), "res_id")
+    x = units.join(dealt(resolutions.select("res_id", F.col("status").alias("confidence"), "source", X.evidence_url(F.col("work_url"), F.col("doi")).alias("evidence_url"))), "res_id")
     orgs = F.transform("orgs", lambda o: F.struct(o["name"].alias("name"), o["country"].alias("country")))
     label = F.coalesce(F.nullif("text", F.lit("")), F.when(F.size("orgs") > 0, F.col("orgs")[0]["name"]), F.lit(""))
     return x.select("res_id", "place", "text", orgs.alias("organizations"), "confidence", "source", "evidence_url", label.alias("label"))
@@ -62,8 +63,10 @@ def export_rows(publications: DataFrame, positions: DataFrame, units: DataFrame,
     position_units() takes them; decisions: pub_id, author_order, affiliation_status, gap_reason; lecturers: pub_id, author_order, full_name.
     """
     counts = positions.groupBy("pub_id").agg(F.count(F.lit(1)).alias("author_count"))
-    full = positions.join(position_units(units), POSITION, "left").join(decisions.select(*POSITION, "affiliation_status", "gap_reason"), POSITION, "left").join(lecturer_cells(lecturers), POSITION, "left")
-    x = publications.join(counts, "pub_id", "left").join(full, "pub_id", "left")
+    full = positions
+    for of_position in (position_units(units), decisions.select(*POSITION, "affiliation_status", "gap_reason"), lecturer_cells(lecturers)):
+        full = full.join(dealt(of_position), POSITION, "left")
+    x = publications.join(dealt(counts), "pub_id", "left").join(dealt(full), "pub_id", "left")
     has = F.col("author_order").isNotNull()
     cells = [F.when(has, F.coalesce(c, F.lit(""))).alias(c) for c in ("affiliation", "confidence", "source", "evidence_url", "lecturers")]
     return x.select("pub_id", *[F.col(c) for c in CSV_COLUMNS if c not in ("author_count", "affiliation", "confidence", "source", "evidence_url", "lecturers")], F.coalesce("author_count", F.lit(0)).alias("author_count"), *cells).select("pub_id", *CSV_COLUMNS)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.diff import names_of
-from ..session import kept, shared_dir
+from ..session import dealt, kept, shared_dir
 from ..sources import http, sinks
 from ..sources.merge import KeyedTable
 from . import affiliations as AF
@@ -69,11 +69,11 @@ def export_world(r):
     cur, units = units_of(r, current)
     placed = cur.select("res_id", *AF.POSITION, F.when(F.col("status") == "VERIFIED", 0).otherwise(1).alias("rank"))
     pubs = r.pub.select("pub_id", "eid", "doi", "title", "year", "source_title")
-    positions = r.pa.join(r.author, "author_id").join(pubs.select("pub_id"), "pub_id", "left_semi").select(*AF.POSITION, "scopus_id", F.col("name").alias("author_name"))
+    positions = r.pa.join(r.author, "author_id").join(dealt(pubs.select("pub_id")), "pub_id", "left_semi").select(*AF.POSITION, "scopus_id", F.col("name").alias("author_name"))
     d = decided(r, current).select(*AF.POSITION, F.col("status").alias("affiliation_status"), "gap_reason", "admin_reviewed")
-    links = r.ident.where("status = 'APPROVED'").select("author_id", "lec_id").distinct().join(r.lec.select("lec_id", "full_name"), "lec_id")
+    links = r.ident.where("status = 'APPROVED'").select("author_id", "lec_id").distinct().join(dealt(r.lec.select("lec_id", "full_name")), "lec_id")
     lecturers = r.pa.join(links, "author_id").select(*AF.POSITION, "full_name")
-    return pubs, positions, placed.join(units, "res_id").select(*AF.POSITION, "rank", "place", "label", "confidence", "source", "evidence_url"), d, lecturers
+    return pubs, positions, placed.join(dealt(units), "res_id").select(*AF.POSITION, "rank", "place", "label", "confidence", "source", "evidence_url"), d, lecturers
 
 
 @query("export_csv_file")

@@ -158,3 +158,12 @@ def test_claims_are_not_broadcast(spark, sf_dir, monkeypatch):
     assert len(re.findall(r"SortMergeJoin \[capture_id#\w+\], \[capture_id#\w+\], Inner", plan)) >= 2
     for key in (r"capture_id#\w+\], \[capture_id#\w+\], Inner", r"record_source_id#", r"record_email#", r"value_normalized#", r"lec_id#"):
         assert not re.search(r"Broadcast\w*Join \[" + key, plan), key
+
+
+def test_export_broadcasts_authors_only(spark, sf_dir):
+    """Kept resolutions compress well, so that their files look small; no table of positions or publications goes to the driver."""
+    from ledgerloom.plans import exports as E
+    from ledgerloom.plans import q_exports as Q
+    from ledgerloom.plans.standins import Relations
+
+    assert set(broadcast_keys(E.export_rows(*Q.export_world(Relations(spark, sf_dir))))) <= {"author_id"}
