@@ -167,3 +167,17 @@ def test_export_broadcasts_authors_only(spark, sf_dir):
     from ledgerloom.plans.standins import Relations
 
     assert set(broadcast_keys(E.export_rows(*Q.export_world(Relations(spark, sf_dir))))) <= {"author_id"}
+
+
+def test_all_names_are_compared(spark, sf_dir):
+    """People and authors whose ids end differently correspond too; equal common surnames alone don't bring names together."""
+    from ledgerloom.plans.standins import Relations
+
+    r = Relations(spark, sf_dir)
+    a = r.lec.withColumn("a", D.surface(X.strip_title(F.col("full_name"))))
+    want = a.crossJoin(r.author.withColumn("b", D.surface(F.col("name")))).where(D.corresponds(F.col("a"), F.col("b"))).select("lec_id", "author_id").collect()
+    got = [tuple(x) for x in registry.QUERIES["name_correspondence"](spark, sf_dir).collect()]
+    assert any(lec % 10 != author % 10 for lec, author in got) and sorted(got) == sorted(map(tuple, want))
+    people = spark.createDataFrame([(1, "Nguyễn Văn Khoa"), (2, "Nguyễn Thị Lan"), (3, "Lan Nguyễn")], "lec_id int, full_name string")
+    authors = spark.createDataFrame([(7, "Nguyen, Van"), (8, "Thi Lan Nguyen"), (9, "Nguyen, Lan Khoa")], "author_id int, name string")
+    assert sorted(map(tuple, D.matching(people, authors).collect())) == [(1, 9), (2, 8), (2, 9), (3, 8), (3, 9)]
