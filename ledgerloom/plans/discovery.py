@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import dealt
+from ..session import spread_join
 
 # Common name tokens that tell nothing about a person.
 GENERIC = (
     "nguyen tran le pham hoang huynh phan vu vo dang bui do ho ngo duong dinh ly dao doan luong thai trinh cao truong ha van thi duc thanh huu ngoc quang minh xuan kim hai tien cong duy anh"
 ).split()
-#: Into how many parts those who bear one name are dealt.
-PARTS = 16
 
 
 def surface(c):
@@ -39,15 +37,13 @@ def matching(people: DataFrame, authors: DataFrame, block: Sequence[str] = ()) -
     if any are asked for, are equal.
 
     Nothing corresponds unless both names hold a distinctive word, so distinct names meet on such words only, not on common surnames,
-    and are compared once, however many bear them. Those who bear one name are dealt to PARTS parts, as each may meet many authors.
+    and are compared once, however many bear them. Those who bear one name are dealt to parts, as each may meet many authors.
     """
     words = lambda c: F.explode(F.array_except(F.col(f"{c}.tokens"), F.array(*map(F.lit, GENERIC))))
     a = people.select(*block, "full_name").distinct().withColumn("a", surface(X.strip_title(F.col("full_name")))).withColumn("word", words("a"))
     b = authors.select(*block, "name").distinct().withColumn("b", surface(F.col("name"))).withColumn("word", words("b"))
     pairs = a.join(b, [*block, "word"]).where(corresponds(F.col("a"), F.col("b"))).select(*block, "full_name", "name").distinct()
-    people = people.withColumn("part", F.pmod(F.xxhash64("lec_id"), F.lit(PARTS)).cast("int"))
-    pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return dealt(people).join(pairs, [*block, "full_name", "part"]).join(authors, [*block, "name"]).select("lec_id", "author_id")
+    return spread_join(people, pairs, [*block, "full_name"], "lec_id").join(authors, [*block, "name"]).select("lec_id", "author_id")
 
 
 def discover(known: DataFrame, positions: DataFrame, people: DataFrame, authors: DataFrame, candidates: DataFrame) -> DataFrame:

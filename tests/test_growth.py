@@ -181,3 +181,16 @@ def test_all_names_are_compared(spark, sf_dir):
     people = spark.createDataFrame([(1, "Nguyễn Văn Khoa"), (2, "Nguyễn Thị Lan"), (3, "Lan Nguyễn")], "lec_id int, full_name string")
     authors = spark.createDataFrame([(7, "Nguyen, Van"), (8, "Thi Lan Nguyen"), (9, "Nguyen, Lan Khoa")], "author_id int, name string")
     assert sorted(map(tuple, D.matching(people, authors).collect())) == [(1, 9), (2, 8), (2, 9), (3, 8), (3, 9)]
+
+
+def test_bearers_of_one_name_are_dealt_out(spark, sf_dir):
+    """The pairs of all who bear a name aren't one task's work, and people aren't broadcast to the few rows of distinct names."""
+    from ledgerloom.session import spread_join
+
+    for name in ("generate_candidates", "name_correspondence"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[(?:lec_rep|full_name)#\w+, __part#\w+\]", plan), name
+    many = spark.range(1000).selectExpr("id", "id % 2 AS k")
+    few = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c")], "k long, v string")
+    got = spread_join(many, few, ["k"], "id")
+    assert got.columns == ["k", "id", "v"] and sorted(map(tuple, got.collect())) == sorted((0, i, v) for i in range(0, 1000, 2) for v in "ab")
