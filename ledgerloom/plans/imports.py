@@ -64,7 +64,8 @@ def plan_resolutions(inputs: DataFrame, slots: DataFrame, existing: DataFrame) -
     x = x.select("seq", "pa_id", "source", "payload_sha256", "status", "held", F.struct(*CONTENT).alias("content"), early.alias("early"))
     x = kept(x).withColumn("spread", F.when(F.col("early").isNotNull(), F.xxhash64("seq")).otherwise(F.lit(0)))
     first = x.where("early is null").groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min_by("content", "seq").alias("first_content"))
-    old = existing.select(F.lit(0).cast("long").alias("spread"), *key[1:], F.struct(*CONTENT).alias("old"))
+    # a zero that isn't a constant: with one, Spark would join by the other three columns and shuffle all inputs once more
+    old = existing.select((F.col("pa_id") - F.col("pa_id")).cast("long").alias("spread"), *key[1:], F.struct(*CONTENT).alias("old"))
     x = x.join(first, key, "left").join(old, key, "left")
     again = F.col("seq") != F.col("first_seq")
     outcome = (

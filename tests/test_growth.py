@@ -194,3 +194,18 @@ def test_bearers_of_one_name_are_dealt_out(spark, sf_dir):
     few = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c")], "k long, v string")
     got = spread_join(many, few, ["k"], "id")
     assert got.columns == ["k", "id", "v"] and sorted(map(tuple, got.collect())) == sorted((0, i, v) for i in range(0, 1000, 2) for v in "ab")
+
+
+def test_planned_inputs_are_dealt_out_once(spark, sf_dir):
+    """First inputs and existing resolutions are met by one key, and what was shuffled for a kept table goes with it."""
+    from ledgerloom.session import SHUFFLE_CLEANUP, kept
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["plan_resolutions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"SortMergeJoin \[spread#\w+, pa_id#\w+, source#\w+, payload_sha256#\w+\]", plan)) == 2
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    assert kept(spark.range(10).repartition(3)).count() == 10 and spark.conf.get(SHUFFLE_CLEANUP, None) == was
